@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensfold.llm import decontaminate, language_id, simhash_dedup
+import corpus_pipeline
+from lensfold.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.contamination_report(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op6_simhash_dedup": lambda s, d: simhash_dedup.simhash_report(_table(s, d, "documents")),
+        "op7_packing": lambda s, d: packing.pack(_table(s, d, "documents")),
         "op9_language_id": lambda s, d: language_id.predict_languages(_table(s, d, "documents")),
+        "op10_substring_dedup": lambda s, d: substring_dedup.substring_report(_table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
