@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lensfold.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup
+from lensfold.llm import decontaminate, html_text, language_id, packing, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.contamination_report(_table(s, d, "documents"), _table(s, d, "benchmark")),
+        "op5_html_text": lambda s, d: html_text.extract(_table(s, d, "pages")),
         "op6_simhash_dedup": lambda s, d: simhash_dedup.simhash_report(_table(s, d, "documents")),
         "op7_packing": lambda s, d: packing.pack(_table(s, d, "documents")),
+        "op8_url_filter": lambda s, d: url_filter.judge_urls(_table(s, d, "pages"), url_filter.rules_table(s)),
         "op9_language_id": lambda s, d: language_id.predict_languages(_table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.substring_report(_table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": url_filter.ORACLE}
