@@ -71,6 +71,30 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of one value each, from rows that come sorted by ``key`` (no nulls)."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = column(batch, key).to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        if held and column(held[0], key)[0].as_py() != keys[0]:
+            yield joined()
+            held.clear()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < len(keys):
+                yield joined()
+                held.clear()
+    if held:
+        yield joined()
+
+
 def word_blocks(blob: bytes | None, size: int = 1 << 22) -> Iterator[list[bytes]]:
     """Lower-cased words, in blocks of about ``size`` bytes so that a very long text never becomes one list."""
     if not blob:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lensfold.llm import decontaminate, html_text, language_id, packing, simhash_dedup, substring_dedup, url_filter
+from lensfold.llm import decontaminate, embedding_dedup, html_text, language_id, packing, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.contamination_report(_table(s, d, "documents"), _table(s, d, "benchmark")),
+        "op4_embedding_dedup": lambda s, d: embedding_dedup.embedding_components(_table(s, d, "embeddings")),
         "op5_html_text": lambda s, d: html_text.extract(_table(s, d, "pages")),
         "op6_simhash_dedup": lambda s, d: simhash_dedup.simhash_report(_table(s, d, "documents")),
         "op7_packing": lambda s, d: packing.pack(_table(s, d, "documents")),
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.ORACLE}
+    return {"op4_embedding_dedup": embedding_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}
