@@ -1,8 +1,8 @@
 """Repeated passages, found as near-duplicate paragraphs by MinHash banding and removed but for their first occurrence.
 
 Paragraphs are of two kinds. A line of ``min_words`` words or more is one; its five-word shingles are min-hashed, bands are
-tuned for recall at the similarity asked for, colliding lines are verified by exact Jaccard, and verified links form classes
-by components. A passage inside longer lines is met by anchored windows: the least shingle hash of every ``anchor``
+tuned for recall at the similarity asked for, lines that collide are joined and verified by exact Jaccard, and verified
+links form classes by components. A passage inside longer lines is met by anchored windows: the least shingle hash of every ``anchor``
 consecutive shingles starts a window of 25 words, so equal passages of 25 + anchor - 1 words or more have a window in
 common wherever they stand. A window's only band is its whole text, so a collision is an equal window.
 """
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import WordHashes, blobs, column, mixed, save, shingle_hashes
-from lensfold.llm.components import connected_components
+from lensfold.llm.common import WordHashes, blobs, column, grouped, mixed, save, shingle_hashes
+from lensfold.llm.components import connected_components, local_labels
 
 SHINGLE, WINDOW = 5, 25
-DOC, LINE, BAND, SPAN = 0, 1, 2, 3
+DOC, LINE, BAND, SPAN, AGAIN = 0, 1, 2, 3, 4
 BLOOM_BITS = 24
 _SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 _PLACE = np.uint64((1 << 26) - 1)
@@ -161,9 +161,19 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
                 once = once[ok[once]]
                 yield rows_of(BAND, keys[once].ravel(), None, None, 0, np.repeat(c.line_hash[once], n_bands))
             at, key = c.windows(anchor)
+            ok = known[c.doc[at]]
+            at, key = at[ok], key[ok]
             doc = c.doc[at]
-            ok = known[doc]
-            yield rows_of(SPAN, key[ok], doc[ok], (at - c.base[doc])[ok], WINDOW)
+            # A window that its own document has had before: only what reaches beyond the first one is repeated text.
+            order = np.lexsort((at, key, doc))
+            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(order) else np.empty(0, bool)
+            first = np.empty(len(at), np.int64)
+            first[order] = at[order][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
+            again = first < at
+            yield rows_of(SPAN, key[~again], doc[~again], (at - c.base[doc])[~again], WINDOW)
+            start = np.maximum(at, first + WINDOW)
+            again &= start < at + WINDOW
+            yield rows_of(AGAIN, key[again], doc[again], (start - c.base[doc])[again], (at + WINDOW - start)[again])
 
     return docs.mapInArrow(units, "kind byte, key long, doc_id long, tag int, at int, size int, line long")
 
@@ -194,52 +204,85 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFram
     return found.join(wanted, "line", "left_semi").groupBy("line").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(u, v)`` whose shingle sets have that Jaccard similarity or more."""
-    both = pairs.join(sets.select(F.col("line").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("line").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def line_classes(units: DataFrame, docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+def _near(similarity: float):
+    """From rows sorted by task: for each task, an edge from each linked line to the first of its local class."""
+
+    def near_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in sets])
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros((len(sets), len(values)), np.float32)
+        has[np.repeat(np.arange(len(sets)), sizes), place] = 1
+        a, b = [], []
+        for i in range(0, len(sets), 256):
+            common = has[i : i + 256] @ has.T
+            u, v = np.nonzero(common >= similarity * (sizes[i : i + 256, None] + sizes[None, :] - common))
+            a.append(u + i)
+            b.append(v)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return a[a < b], b[a < b]
+
+    def few(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, a, b = [set(s.tolist()) for s in sets], [], []
+        for j in range(len(own)):
+            for i in range(j):
+                common = len(own[i] & own[j])
+                if common >= similarity * (len(own[i]) + len(own[j]) - common):
+                    a.append(i)
+                    b.append(j)
+        return np.array(a, int), np.array(b, int)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in grouped(batches, "task"):
+            lines, side = column(task, "line").to_numpy(), column(task, "side").to_numpy()
+            if len(lines) > 1:
+                sets = [s.values.to_numpy() for s in column(task, "shingles")]
+                a, b = few(sets) if len(lines) < 5 else near_pairs(sets)
+                if side.any():  # two blocks of a large bucket: pairs inside a block belong to its own task
+                    a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+                if len(a):
+                    label = local_labels(len(lines), a, b)
+                    own = np.flatnonzero(label != np.arange(len(lines)))
+                    yield pa.RecordBatch.from_arrays([pa.array(lines[own]), pa.array(lines[label[own]])], ["u", "v"])
+
+    return links
+
+
+def line_classes(units: DataFrame, docs: DataFrame, min_words: int, similarity: float, block: int = 512) -> DataFrame:
     """``node, component`` for lines that are near duplicates of other lines.
 
-    In each band's bucket every line is compared with the bucket's first; what these links do not join is compared, across
-    the classes found so far, in a second round. Pairs inside one class are never made.
+    Different lines with a band in common are compared where they meet; only edges that span their classes leave the
+    task. A bucket with more than ``block`` lines is cut into blocks, and each pair of blocks is a task of its own.
     """
-    bands = units.filter(F.col("kind") == BAND).select("key", "line").distinct()
-    buckets = bands.groupBy("key").agg(F.min("line").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    members = save(bands.join(buckets, "key"))
-    wanted = members.select("line").distinct()
-    sets = save(shingle_sets(docs, wanted, min_words))
-    star = members.filter("line <> leader").select(F.col("leader").alias("u"), F.col("line").alias("v")).distinct()
-    links = save(verified(star, sets, similarity))
-    classes = connected_components(links)
-    labelled = members.join(classes.withColumnRenamed("node", "line"), "line", "left").select("key", "leader", "line", F.coalesce("component", "line").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    rest = save(labelled.join(split, "key").filter("line <> leader"))
-    other = rest.select("key", F.col("line").alias("v"), F.col("label").alias("label_v"))
-    cross = rest.select("key", F.col("line").alias("u"), "label").join(other, "key").filter("u < v and label <> label_v").select("u", "v").distinct()
-    more = save(verified(cross, sets, similarity))
-    return classes if more.isEmpty() else connected_components(links.unionByName(more))
+    bands = units.filter(F.col("kind") == BAND).select("key", "line")
+    shared = bands.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("key")
+    members = save(bands.join(shared, "key", "left_semi").distinct())
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sets = shingle_sets(docs, members.select("line").distinct(), min_words)
+    filed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    tasks = filed.select("line", F.xxhash64("key", low, high).alias("task"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
+    dealt = tasks.join(sets, "line").repartition("task").sortWithinPartitions("task", "line")
+    return connected_components(dealt.mapInArrow(_near(similarity), "u long, v long"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 25, similarity: float = 0.8, anchor: int = 20) -> tuple[DataFrame, DataFrame]:
     """(documents, spans) of ``docs(doc_id, tag, text)``.
 
-    Spans are ``doc_id, tag, first, end, kept_in``: word positions of every occurrence but the first, by (doc_id, tag,
-    position), of each class of lines and each window, and the document that holds the first.
+    Spans are ``doc_id, tag, first, end, kept_in``: word positions of every occurrence but the first of each class of lines
+    (by doc_id, tag, position) and of each window (by doc_id, then position), and the document that holds the first.
     """
     units = save(paragraphs(docs, min_words, similarity, anchor))
     classes = line_classes(units, docs, min_words, similarity)
-    lines = units.filter(F.col("kind") == LINE).join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("component", "key"))
-    cols = ["key", "doc_id", "tag", "at", "size"]
-    found = lines.select(*cols).unionByName(units.filter(F.col("kind") == SPAN).select(*cols))
-    firsts = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "at", "size")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
-    same = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("tag") == F.col("f.tag"))
-    spans = found.join(firsts, "key").filter(~(same & (F.col("at") == F.col("f.at"))))
-    start = F.when(same, F.greatest("at", F.col("f.at") + F.col("f.size"))).otherwise(F.col("at"))
-    spans = spans.select("doc_id", "tag", start.alias("first"), (F.col("at") + F.col("size")).alias("end"), F.col("f.doc_id").alias("kept_in")).filter("first < end")
+    lines = units.filter(F.col("kind") == LINE).join(classes.withColumnRenamed("node", "key"), "key", "left")
+    lines = lines.select(F.coalesce("component", "key").alias("key"), "doc_id", "tag", "at", "size")
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
+    end = F.col("at") + F.col("size")
+    of_lines = lines.join(firsts, "key").filter("struct(doc_id, tag, at) <> f").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("f.doc_id").alias("kept_in"))
+    windows = units.filter(F.col("kind") == SPAN).select("key", "doc_id", "tag", "at", "size")
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).filter("kept_in <> last").select("key", "kept_in")
+    of_windows = windows.join(shared, "key").filter("doc_id <> kept_in").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), "kept_in")
+    again = units.filter(F.col("kind") == AGAIN).select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("doc_id").alias("kept_in"))
+    spans = of_lines.unionByName(of_windows).unionByName(again)
     return units.filter(F.col("kind") == DOC).select("doc_id", "tag", F.col("size").cast("long").alias("n_words")), spans
 
 
