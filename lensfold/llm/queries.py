@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lensfold.llm import decontaminate, embedding_dedup, html_text, language_id, packing, simhash_dedup, substring_dedup, suffix_tree_lm, url_filter
+from lensfold.llm import decontaminate, embedding_dedup, html_text, language_id, packing, quality, simhash_dedup, substring_dedup, suffix_tree_lm, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontaminate.contamination_report(_table(s, d, "documents"), _table(s, d, "benchmark")),
+        "op2_quality": lambda s, d: quality.quality_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op3_lm_score": lambda s, d: suffix_tree_lm.lm_scores(_table(s, d, "documents")),
         "op4_embedding_dedup": lambda s, d: embedding_dedup.embedding_components(_table(s, d, "embeddings")),
         "op5_html_text": lambda s, d: html_text.extract(_table(s, d, "pages")),
