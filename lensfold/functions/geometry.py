@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,31 +132,41 @@ def polygon_area(xs: Column, ys: Column) -> Column:
     return F.when(n > 2, F.abs(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)) / 2).otherwise(F.lit(0.0))
 
 
+def clipped(ring: np.ndarray, axis: int, sign: int, bound: float) -> np.ndarray:
+    """The part of a polygon on one side of a line along an axis; corners are rows."""
+    if not len(ring):
+        return ring
+    side = (ring[:, axis] - bound) * sign
+    after, next_side = np.roll(ring, -1, axis=0), np.roll(side, -1)
+    crosses = (side >= 0) != (next_side >= 0)
+    share = np.divide(side, side - next_side, out=np.zeros_like(side), where=crosses)
+    meets = ring + (after - ring) * share[:, None]
+    both = np.stack((ring, meets), axis=1).reshape(-1, 2)
+    return both[np.stack((side >= 0, crosses), axis=1).ravel()]
+
+
+def ring_area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0], ring[:, 1]
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2) if len(ring) > 2 else 0.0
+
+
+@F.pandas_udf("double")
+def _box_polygon_area(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+    out = []
+    for a, b, c, d, px, py in zip(x1, y1, x2, y2, xs, ys, strict=True):
+        ring = np.column_stack((np.asarray(px, float), np.asarray(py, float)))
+        for axis, sign, bound in ((0, 1, a), (0, -1, c), (1, 1, b), (1, -1, d)):
+            ring = clipped(ring, axis, sign, bound)
+        out.append(ring_area(ring))
+    return pd.Series(out, dtype="float64")
+
+
 def box_polygon_area(b: Box, xs: Column, ys: Column) -> Column:
-    """Common area of an xyxy box and a simple polygon: the polygon is clipped by each side of the box in turn."""
-    ring = F.arrays_zip(xs.alias("x"), ys.alias("y"))
-    ring = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    for axis, sign, bound in (("x", 1, b[0]), ("x", -1, b[2]), ("y", 1, b[1]), ("y", -1, b[3])):
-        ring = _clip_side(ring, axis, sign, bound)
-    return polygon_area(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
-
-
-def _clip_side(ring: Column, axis: str, sign: int, bound: Column) -> Column:
-    n, other = F.size(ring), "y" if axis == "x" else "x"
-
-    def point(at: Column, along: Column) -> Column:
-        values = {axis: at, other: along}
-        return F.struct(values["x"].alias("x"), values["y"].alias("y"))
-
-    def corner(i: Column) -> Column:
-        a, c = ring[i], ring[F.pmod(i + 1, n)]
-        da, dc = (a[axis] - bound) * sign, (c[axis] - bound) * sign
-        meets = point(bound.cast("double"), a[other] + (c[other] - a[other]) * da / F.when(da == dc, F.lit(1.0)).otherwise(da - dc))
-        inside = F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")))
-        empty = F.slice(inside, 1, 0)
-        return F.concat(F.when(da >= 0, inside).otherwise(empty), F.when((da >= 0) != (dc >= 0), F.array(meets)).otherwise(empty))
-
-    return F.when(n == 0, ring).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), corner)))
+    """Common area of an xyxy box and a simple polygon: each side of the box in turn cuts the polygon.
+
+    Clipping loops over corners, which as an expression would copy itself for each side; it runs in Arrow batches instead.
+    """
+    return _box_polygon_area(*b, xs, ys)
 
 
 def box_from_pose(joints: Column, margin: float, width: Column, height: Column) -> Box:

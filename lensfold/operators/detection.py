@@ -149,11 +149,11 @@ def coco_matches(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = (
     ``gt(image_id, label, id, x, y, w, h, crowd)``, ``dt(image_id, label, id, x, y, w, h, score)``; detections matched to a
     crowd have a null ``positive``. An image's boxes of one label are one group.
     """
-    marked = gt.select("image_id", "label", "id", "x", "y", "w", "h", F.col("crowd").cast("boolean").alias("crowd"), F.lit(0.0).alias("score"), F.lit(True).alias("gt")).unionByName(dt.select("image_id", "label", "id", "x", "y", "w", "h", F.lit(False).alias("crowd"), "score", F.lit(False).alias("gt")))
+    marked = gt.select("image_id", "label", "id", "x", "y", "w", "h", F.col("crowd").cast("boolean").alias("crowd"), F.lit(0.0).alias("score"), F.lit(True).alias("is_gt")).unionByName(dt.select("image_id", "label", "id", "x", "y", "w", "h", F.lit(False).alias("crowd"), "score", F.lit(False).alias("is_gt")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf.gt].sort_values(["crowd", "id"])
-        d = pdf[~pdf.gt].sort_values(["score", "id"], ascending=[False, True])
+        g = pdf[pdf.is_gt].sort_values(["crowd", "id"])
+        d = pdf[~pdf.is_gt].sort_values(["score", "id"], ascending=[False, True])
         gb, db, crowd = g[["x", "y", "w", "h"]].to_numpy(), d[["x", "y", "w", "h"]].to_numpy(), g.crowd.to_numpy(bool)
         rows = []
         w = np.minimum((db[:, None, 0] + db[:, None, 2]), (gb[None, :, 0] + gb[None, :, 2])) - np.maximum(db[:, None, 0], gb[None, :, 0])

@@ -111,7 +111,9 @@ def track(detections: DataFrame, affinities: DataFrame, **parameters) -> DataFra
             rows += [(d.seq.iloc[0], int(frame), k, t) for k, t in tracker.step(int(frame), [int(k) for k in group.det_id], affinity, features)]
         return pd.DataFrame(rows, columns=["seq", "frame_id", "det_id", "track_id"])
 
-    return detections.groupBy("seq").cogroup(affinities.groupBy("seq")).applyInPandas(fold, "seq string, frame_id long, det_id long, track_id long")
+    # Both sides may come from one table; a fresh name keeps their columns apart.
+    affinities = affinities.select(F.col("seq").alias("pair_seq"), "a", "b", "value")
+    return detections.groupBy("seq").cogroup(affinities.groupBy("pair_seq")).applyInPandas(fold, "seq string, frame_id long, det_id long, track_id long")
 
 
 def fused_affinity(pairs: DataFrame, least: float = 0.3) -> DataFrame:
