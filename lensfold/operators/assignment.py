@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lensfold.operators.groups import Group, fold_groups
+
 Solver = Callable[[np.ndarray], np.ndarray]
 
 
@@ -82,7 +83,10 @@ def assign(cost: np.ndarray, solver: str | Solver | None = None) -> list[tuple[i
     full = np.where(ok, cost, 2 * min(n, m) * (np.abs(cost[ok]).max() + 1) + 1)
     solve = solver if callable(solver) else _SOLVERS[solver or _DEFAULT[-1]]
     turned = n > m
-    columns = solve(full.T.copy() if turned else full)
+    full = full.T.copy() if turned else full
+    columns = full.argmin(axis=1)
+    if len(set(columns.tolist())) < len(columns):  # else each row has its cheapest column, and no assignment is cheaper
+        columns = solve(full)
     pairs = [(int(c), r) if turned else (r, int(c)) for r, c in enumerate(columns)]
     return sorted(p for p in pairs if ok[p])
 
@@ -92,18 +96,22 @@ def assign_groups(edges: DataFrame, keys: list[str], row: str, column: str, cost
 
     One group's matrix is solved in one task: group by what bounds it, such as a frame.
     """
-    schema = edges.select(*keys, row, column, cost).schema
-
-    def solve(table: pa.Table) -> pa.Table:
-        r, c = table[row].to_numpy(), table[column].to_numpy()
-        rows, i = np.unique(r, return_inverse=True)
-        columns, j = np.unique(c, return_inverse=True)
-        matrix = np.full((len(rows), len(columns)), np.nan)
-        matrix[i, j] = table[cost].to_numpy() * (-1 if maximise else 1)
-        chosen = set(assign(matrix))
-        return table.filter(pa.array([p in chosen for p in zip(i.tolist(), j.tolist(), strict=True)], pa.bool_()))
-
-    return edges.select(*keys, row, column, cost).groupBy(*keys).applyInArrow(solve, schema)
+    edges = edges.select(*keys, row, column, cost)
+
+    def solve(g: Group) -> Group | None:
+        own = chosen_edges(g[row], g[column], g[cost] * (-1 if maximise else 1))
+        return {n: v[own] for n, v in g.items()} if len(own) else None
+
+    return fold_groups(edges, keys, solve, edges.schema)
+
+
+def chosen_edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Places of the edges (row, column, cost) that the optimal assignment uses."""
+    r, i = np.unique(rows, return_inverse=True)
+    c, j = np.unique(columns, return_inverse=True)
+    matrix, place = np.full((len(r), len(c)), np.nan), np.zeros((len(r), len(c)), int)
+    matrix[i, j], place[i, j] = cost, np.arange(len(cost))
+    return np.array([place[p] for p in assign(matrix)], int)
 
 
 def match_by_components(weights: dict[tuple, float]) -> list[tuple]:

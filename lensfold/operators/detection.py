@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lensfold.functions.geometry import cxcywh_to_xyxy, giou, iou
 from lensfold.functions.vectors import argmax, l2_normalise, scaled, sigmoid, softmax
+from lensfold.operators.groups import Group, fold_groups
 from lensfold.operators.pose import greedy_keep, interpolated_ap, precision_recall
 
 
@@ -151,29 +152,35 @@ def coco_matches(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = (
     """
     marked = gt.select("image_id", "label", "id", "x", "y", "w", "h", F.col("crowd").cast("boolean").alias("crowd"), F.lit(0.0).alias("score"), F.lit(True).alias("is_gt")).unionByName(dt.select("image_id", "label", "id", "x", "y", "w", "h", F.lit(False).alias("crowd"), "score", F.lit(False).alias("is_gt")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf.is_gt].sort_values(["crowd", "id"])
-        d = pdf[~pdf.is_gt].sort_values(["score", "id"], ascending=[False, True])
-        gb, db, crowd = g[["x", "y", "w", "h"]].to_numpy(), d[["x", "y", "w", "h"]].to_numpy(), g.crowd.to_numpy(bool)
-        rows = []
-        w = np.minimum((db[:, None, 0] + db[:, None, 2]), (gb[None, :, 0] + gb[None, :, 2])) - np.maximum(db[:, None, 0], gb[None, :, 0])
-        h = np.minimum((db[:, None, 1] + db[:, None, 3]), (gb[None, :, 1] + gb[None, :, 3])) - np.maximum(db[:, None, 1], gb[None, :, 1])
-        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-        own = (db[:, 2] * db[:, 3])[:, None]
-        union = np.where(crowd[None, :], own, own + (gb[:, 2] * gb[:, 3])[None, :] - inter)
+    def one(group: Group) -> Group | None:
+        own, is_gt = np.arange(len(group["id"])), group["is_gt"].astype(bool)
+        g = own[is_gt][np.lexsort((group["id"][is_gt], group["crowd"][is_gt].astype(bool)))]
+        d = own[~is_gt][np.lexsort((group["id"][~is_gt], -group["score"][~is_gt]))]
+        if not len(d):
+            return None
+        crowd = group["crowd"][g].astype(bool)
+        gx, gy, gw, gh = (group[c][g][None, :] for c in "xywh")
+        dx, dy, dw, dh = (group[c][d][:, None] for c in "xywh")
+        inter = np.clip(np.minimum(dx + dw, gx + gw) - np.maximum(dx, gx), 0, None) * np.clip(np.minimum(dy + dh, gy + gh) - np.maximum(dy, gy), 0, None)
+        union = np.where(crowd[None, :], dw * dh, dw * dh + gw * gh - inter)
         overlap = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-        for t in thresholds:
-            taken = np.zeros(len(gb), bool)
-            for i, r in enumerate(d.itertuples()):
-                free = np.where(~taken | crowd, overlap[i], -1.0) if len(gb) else np.empty(0)
+        found = np.full((len(thresholds), len(d)), -1)
+        for k, t in enumerate(thresholds):
+            taken, least = np.zeros(len(g), bool), min(t, 1 - 1e-10)
+            for i in range(len(d)) if len(g) else ():
+                free = np.where(~taken | crowd, overlap[i], -1.0)
                 real = np.where(crowd, -1.0, free)
-                j = int(real.argmax()) if len(gb) and real.max() >= min(t, 1 - 1e-10) else int(free.argmax()) if len(gb) and free.max() >= min(t, 1 - 1e-10) else -1
+                j = int(real.argmax()) if real.max() >= least else int(free.argmax()) if free.max() >= least else -1
                 if j >= 0:
-                    taken[j] = True
-                rows.append((r.image_id, r.label, r.id, r.score, t, None if j >= 0 and crowd[j] else j >= 0))
-        return pd.DataFrame(rows, columns=["image_id", "label", "id", "score", "threshold", "positive"]).astype({"positive": "boolean"})
-
-    return marked.groupBy("image_id", "label").applyInPandas(one, "image_id long, label int, id long, score double, threshold double, positive boolean")
+                    taken[j], found[k, i] = True, j
+        hit = found >= 0
+        positive = hit.astype(object)
+        if crowd.any():
+            positive[hit & crowd[found]] = None
+        n = len(thresholds)
+        return {c: np.tile(group[c][d], n) for c in ("image_id", "label", "id", "score")} | {"threshold": np.repeat(thresholds, len(d)), "positive": positive.ravel()}
+
+    return fold_groups(marked, ["image_id", "label"], one, "image_id long, label int, id long, score double, threshold double, positive boolean")
 
 
 def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = tuple(round(0.5 + 0.05 * k, 2) for k in range(10)), most: int = 100) -> DataFrame:

@@ -6,11 +6,13 @@ detections. A frame's matching needs only the sequence's counts, so frames are s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.operators.assignment import assign_groups
+from lensfold.operators.assignment import assign_groups, chosen_edges
 from lensfold.operators.boxes import normalised_similarity
+from lensfold.operators.groups import Group, fold_groups
 
 #: Thresholds .05 to .95.
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 20))
@@ -41,10 +43,23 @@ def matches(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) ->
 
 def matches_per_alpha(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Matchings made anew for each threshold: most pairs that reach it first, then most similarity. Adds ``alpha``."""
-    at = pairs.filter("sim > 0").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    at = at.withColumn("score", F.when(F.col("sim") >= F.col("alpha") - EPS, 1000.0).otherwise(0.0) + F.col("sim"))
-    chosen = assign_groups(at, [*keys, "t", "alpha"], "gt_id", "tr_id", "score", maximise=True)
-    return chosen.join(pairs, [*keys, "t", "gt_id", "tr_id"]).filter(F.col("sim") >= F.col("alpha") - EPS).select(*keys, "t", "gt_id", "tr_id", "sim", "alpha")
+    near = pairs.filter("sim > 0").select(*keys, "t", "gt_id", "tr_id", "sim")
+
+    def solve(g: Group) -> Group | None:
+        parts: list[tuple[np.ndarray, float]] = []
+        before, chosen = None, np.empty(0, int)
+        for alpha in ALPHAS:
+            over = g["sim"] >= alpha - EPS
+            if before is None or (over != before).any():
+                chosen, before = chosen_edges(g["gt_id"], g["tr_id"], -(np.where(over, 1000.0, 0.0) + g["sim"])), over
+            if len(own := chosen[over[chosen]]):
+                parts.append((own, alpha))
+        if not parts:
+            return None
+        own = np.concatenate([p for p, _ in parts])
+        return {n: v[own] for n, v in g.items()} | {"alpha": np.repeat([a for _, a in parts], [len(p) for p, _ in parts])}
+
+    return fold_groups(near, [*keys, "t"], solve, near.withColumn("alpha", F.lit(0.0)).schema)
 
 
 def _sizes(gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:

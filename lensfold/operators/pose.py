@@ -45,7 +45,7 @@ def precision_recall(scored: DataFrame, totals: DataFrame, keys: list[str], tie:
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, ap, precision, recall``: area under the precision envelope, and the values at the curve's end."""
-    after = Window.partitionBy(*keys).orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("recall") - F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy("place"))
     rows = curve.withColumn("envelope", F.max("precision").over(after)).withColumn("step", step)
     return rows.groupBy(*keys).agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"), F.max_by("precision", "place").alias("precision"), F.max_by("recall", "place").alias("recall"))
@@ -53,11 +53,12 @@ def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def interpolated_ap(curve: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
     """``keys, ap``: mean precision envelope at evenly spaced recalls, 0 where a recall is not reached."""
-    after = Window.partitionBy(*keys).orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    rows = curve.withColumn("envelope", F.max("precision").over(after))
-    at = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).filter(F.col("recall") >= F.col("r") / (points - 1) - 1e-12)
-    first = at.groupBy(*keys, "r").agg(F.min_by("envelope", "place").alias("p"))
-    return first.groupBy(*keys).agg((F.sum("p") / points).alias("ap"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy("place"))
+    # A row answers for the recalls between the row before it and its own.
+    below = lambda recall: F.floor((recall + 1e-12) * (points - 1)).cast("int")
+    rows = curve.withColumn("envelope", F.max("precision").over(after)).withColumn("lo", F.coalesce(below(before) + 1, F.lit(0))).withColumn("hi", below(F.col("recall")))
+    return rows.groupBy(*keys).agg((F.sum(F.when(F.col("hi") >= F.col("lo"), F.col("envelope") * (F.col("hi") - F.col("lo") + 1))) / points).alias("ap"))
 
 
 def part_means(per_joint: DataFrame, value: str = "ap") -> DataFrame:

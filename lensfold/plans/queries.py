@@ -667,9 +667,9 @@ def _affinities(spark: SparkSession, d: str) -> DataFrame:
     return boxes.frame_pairs(gt, t.detections(gt)).select("seq", "frame_id", F.col("g_id").alias("track_id"), F.col("d_id").alias("det_id"), F.round(geometry.iou(a, b), 9).alias("pose"), F.round(1 / (1 + d2), 9).alias("corr"), F.lit(1).alias("n_joints"))
 
 
-@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY} SELECT seq, frame_id, track_id, det_id, votes, round(value, 6) AS value FROM v WHERE votes >= 2 AND value >= 0.3")
+@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY} SELECT seq, frame_id, track_id, det_id, votes, round(value, 9) AS value FROM v WHERE votes >= 2 AND value >= 0.3")
 def fused_affinity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tracker.fused_affinity(_affinities(spark, d)).filter("chosen").select("seq", "frame_id", "track_id", "det_id", "votes", "value"))
+    return rounded(tracker.fused_affinity(_affinities(spark, d)).filter("chosen").select("seq", "frame_id", "track_id", "det_id", "votes", "value"), 9)
 
 
 @query(f"WITH {t.BOX_PAIRS}, {_AFFINITY}, k AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_id, det_id ORDER BY value DESC, track_id) AS k FROM a2) SELECT seq, frame_id, det_id, track_id FROM k WHERE k = 1 AND value > 1.2")
@@ -775,9 +775,9 @@ def best_so_far(spark: SparkSession, d: str) -> DataFrame:
     return rounded(runs.best_so_far(t.checkpoints(spark, d).select("run", "epoch", "metric"), ["run"], "epoch", "metric"))
 
 
-@query(f"WITH {t.RUNS}, r AS (SELECT run, epoch, metric, list(metric) OVER w AS held, avg(metric) OVER w AS a, max(metric) OVER w AS m, avg(metric) OVER (PARTITION BY run ORDER BY epoch) AS g FROM runs WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT run, epoch, round(metric, 6) AS metric, round(list_sort(held)[((len(held) + 1) // 2)::INT], 6) AS median, round(a, 6) AS avg, round(m, 6) AS max, round(metric, 6) AS last, round(g, 6) AS global_avg FROM r")
+@query(f"WITH {t.RUNS}, r AS (SELECT run, epoch, metric, list(metric) OVER w AS held, avg(metric) OVER w AS a, max(metric) OVER w AS m, avg(metric) OVER (PARTITION BY run ORDER BY epoch) AS g FROM runs WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT run, epoch, round(metric, 12) AS metric, round(list_sort(held)[((len(held) + 1) // 2)::INT], 12) AS median, round(a, 12) AS avg, round(m, 12) AS max, round(metric, 12) AS last, round(g, 12) AS global_avg FROM r")
 def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(runs.rolling_stats(t.checkpoints(spark, d).select("run", "epoch", "metric"), ["run"], "epoch", "metric"))
+    return rounded(runs.rolling_stats(t.checkpoints(spark, d).select("run", "epoch", "metric"), ["run"], "epoch", "metric"), 12)
 
 
 @query(f"WITH {t.RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, name) AS k FROM runs) SELECT run, name, round(metric, 6) AS metric FROM k WHERE k = 1")
