@@ -34,11 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here and every executor sees the files."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def save(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here and every executor sees the files.
+
+    Rows go to Python in batches of ``batch_rows`` meanwhile, as whole texts make the usual batches large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lensfold-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lensfold_path = path
     return out
@@ -111,7 +122,7 @@ def word_blocks(blob: bytes | None, size: int = 1 << 22) -> Iterator[list[bytes]
 class WordHashes(dict):
     """Word bytes -> signed 64-bit XXH64; filled on demand, emptied when it has ``limit`` entries."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

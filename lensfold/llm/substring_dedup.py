@@ -122,7 +122,7 @@ class Chunk:
         return keys.view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], min_words: int, words: int = 300_000) -> Iterator[tuple[list, list, Chunk]]:
+def _chunks(batches: Iterator[pa.RecordBatch], min_words: int, words: int = 150_000) -> Iterator[tuple[list, list, Chunk]]:
     hashes = WordHashes()
     for batch in batches:
         ids, tags = column(batch, "doc_id").to_pylist(), column(batch, "tag").to_pylist()
@@ -209,16 +209,18 @@ def _near(similarity: float):
 
     def near_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(s) for s in sets])
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        has = np.zeros((len(sets), len(values)), np.float32)
-        has[np.repeat(np.arange(len(sets)), sizes), place] = 1
-        a, b = [], []
-        for i in range(0, len(sets), 256):
-            common = has[i : i + 256] @ has.T
-            u, v = np.nonzero(common >= similarity * (sizes[i : i + 256, None] + sizes[None, :] - common))
-            a.append(u + i)
-            b.append(v)
-        a, b = np.concatenate(a), np.concatenate(b)
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        line, met = np.repeat(np.arange(len(sets)), sizes), times[place] > 1
+        line, place = line[met], (np.cumsum(times > 1) - 1)[place[met]]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(place, kind="stable")
+        line, place = line[order], place[order]
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):  # shingles at a time
+            lo, hi = np.searchsorted(place, (low, low + 2048))
+            has = np.zeros((len(sets), 2048), np.float32)
+            has[line[lo:hi], place[lo:hi] - low] = 1
+            common += has @ has.T
+        a, b = np.nonzero(common >= similarity * (sizes[:, None] + sizes[None, :] - common))
         return a[a < b], b[a < b]
 
     def few(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
