@@ -197,5 +197,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document of the contract of ``op1``; the matched items and places come after its columns."""
-    return contamination(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "spans")
+    """One row per document of the contract of ``op1``; the longest run of hit words comes after its columns."""
+    return contamination(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+h AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS pos FROM h),
+runs AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM p),
+hit AS (SELECT doc_id, sum(n)::BIGINT AS n_hit, max(n) AS longest_match FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM t LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": embedding_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}

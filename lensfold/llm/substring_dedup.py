@@ -302,17 +302,17 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, spans, kept_in`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_words, n_removed, repeats, spans, kept_in`` for every row of ``docs(doc_id, text)``.
 
     ``spans`` are the word positions [first, end) that repeat text of the documents in ``kept_in``, where its first
-    occurrence stays; a document without repeats has empty arrays. Null and empty texts have no words. Rows with a null
+    occurrence stays; a document without ``repeats`` has empty arrays. Null and empty texts have no words. Rows with a null
     doc_id take no part and have no spans. Rows that repeat both doc_id and text count as one document; rows that
     repeat the doc_id only are told apart by a hash of the text. Memory follows the longest text.
     """
     each, spans = repeated_spans(_tagged(docs))
     found = merged_spans(spans)
     out = each.join(found, ["doc_id", "tag"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("spans", F.expr("array()").cast("array<struct<first:int,end:int>>")).alias("spans"), F.coalesce("kept_in", F.expr("array()").cast("array<bigint>")).alias("kept_in"))
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.col("n_removed").isNotNull().alias("repeats"), F.coalesce("spans", F.expr("array()").cast("array<struct<first:int,end:int>>")).alias("spans"), F.coalesce("kept_in", F.expr("array()").cast("array<bigint>")).alias("kept_in"))
 
 
 def cut_words(blob: bytes, spans: list[dict]) -> bytes:
