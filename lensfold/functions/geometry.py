@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Box = tuple[Column, Column, Column, Column]
 
@@ -150,7 +151,7 @@ def ring_area(ring: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2) if len(ring) > 2 else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _box_polygon_area(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
     out = []
     for a, b, c, d, px, py in zip(x1, y1, x2, y2, xs, ys, strict=True):

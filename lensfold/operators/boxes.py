@@ -30,12 +30,17 @@ def overlapping(a: Box, b: Box) -> Column:
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
 
 
-def iou_join(gt: DataFrame, dt: DataFrame, max_distance: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
-    """Pairs of a frame with 1 - IoU at most ``max_distance``, as ``iou`` and ``d``. Below 1, boxes that do not touch are dropped before the division."""
+def iou_join(gt: DataFrame, dt: DataFrame, max_distance: float = 0.5, keys: list[str] = KEYS, touching: bool = False) -> DataFrame:
+    """Pairs of a frame with 1 - IoU at most ``max_distance``, as ``iou`` and ``d``.
+
+    Below 1, or with ``touching``, boxes that do not overlap are dropped before the division.
+    """
     a, b = pair_boxes()
     pairs = frame_pairs(gt, dt, keys)
-    pairs = pairs.filter(overlapping(a, b)) if max_distance < 1 else pairs
-    return pairs.withColumn("iou", iou(a, b)).withColumn("d", 1 - F.col("iou")).filter(F.col("d") <= max_distance)
+    pairs = pairs.filter(overlapping(a, b)) if max_distance < 1 or touching else pairs
+    pairs = pairs.withColumn("iou", iou(a, b)).withColumn("d", 1 - F.col("iou"))
+    # Each filter on a computed column computes it once more; a distance is never above 1.
+    return pairs.filter(F.col("d") <= max_distance) if max_distance < 1 else pairs
 
 
 def ioa_join(gt: DataFrame, dt: DataFrame, least: float = 0.5, keys: list[str] = KEYS) -> DataFrame:

@@ -89,7 +89,7 @@ def rotated_nms(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        corners, kept = [np.column_stack((x, y)) for x, y in zip(pdf.xs, pdf.ys, strict=True)], []
+        corners, kept = [np.column_stack((x, y)) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)], []
         for i in range(len(corners)):
             if all(rotated_iou(corners[i], corners[k]) <= threshold for k in kept):
                 kept.append(i)

@@ -1,6 +1,6 @@
 """The HOTA family: detection, association and localisation accuracy at 19 similarity thresholds.
 
-``pairs(seq, t, gt_id, tr_id, sim)`` are the similarities of a frame (absent: 0), ``gt(seq, t, id)`` and ``tr(seq, t, id)`` the
+``pairs(seq, t, gt_id, tr_id, sim)`` are the positive similarities of a frame (absent: 0), ``gt(seq, t, id)`` and ``tr(seq, t, id)`` the
 detections. A frame's matching needs only the sequence's counts, so frames are solved independently of each other.
 """
 
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.operators.assignment import assign_groups, chosen_edges
+from lensfold.operators.assignment import chosen_edges
 from lensfold.operators.boxes import normalised_similarity
 from lensfold.operators.groups import Group, fold_groups
 
@@ -36,14 +36,20 @@ def alignment(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) -
 
 def matches(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, t, gt_id, tr_id, sim`` of the matching of each frame that maximises alignment times similarity; one for all thresholds."""
-    scored = pairs.filter("sim > 0").join(alignment(pairs, gt, tr, keys), [*keys, "gt_id", "tr_id"]).withColumn("score", F.col("align") * F.col("sim"))
-    chosen = assign_groups(scored, [*keys, "t"], "gt_id", "tr_id", "score", maximise=True)
-    return chosen.join(pairs, [*keys, "t", "gt_id", "tr_id"]).select(*keys, "t", "gt_id", "tr_id", "sim")
+    scored = pairs.join(alignment(pairs, gt, tr, keys), [*keys, "gt_id", "tr_id"]).select(*keys, "t", "gt_id", "tr_id", "sim", (F.col("align") * F.col("sim")).alias("score"))
+    kept = scored.drop("score").schema
+    names = kept.names
+
+    def solve(g: Group) -> Group | None:
+        own = chosen_edges(g["gt_id"], g["tr_id"], -g["score"])
+        return {n: g[n][own] for n in names} if len(own) else None
+
+    return fold_groups(scored, [*keys, "t"], solve, kept)
 
 
 def matches_per_alpha(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Matchings made anew for each threshold: most pairs that reach it first, then most similarity. Adds ``alpha``."""
-    near = pairs.filter("sim > 0").select(*keys, "t", "gt_id", "tr_id", "sim")
+    near = pairs.select(*keys, "t", "gt_id", "tr_id", "sim")
 
     def solve(g: Group) -> Group | None:
         parts: list[tuple[np.ndarray, float]] = []

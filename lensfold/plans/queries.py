@@ -269,7 +269,7 @@ def frame_union(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {t.BOX_PAIRS}, s AS (SELECT *, sum(iou) OVER (PARTITION BY seq, frame_id, g_id) AS r, sum(iou) OVER (PARTITION BY seq, frame_id, d_id) AS c FROM bp WHERE iou > 0) SELECT seq, frame_id, g_id, d_id, round(iou / (r + c - iou), 6) AS align FROM s")
 def normalised_similarity(spark: SparkSession, d: str) -> DataFrame:
     gt = t.ground_truth(spark, d)
-    pairs = boxes.iou_join(gt, t.detections(gt), 1.0).filter("iou > 0")
+    pairs = boxes.iou_join(gt, t.detections(gt), 1.0, touching=True)
     return rounded(boxes.normalised_similarity(pairs, ["seq", "frame_id"], "g_id", "d_id", "iou").select("seq", "frame_id", "g_id", "d_id", "align"))
 
 
@@ -278,7 +278,7 @@ def normalised_similarity(spark: SparkSession, d: str) -> DataFrame:
 def _hota_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gt = t.ground_truth(spark, d)
     dt = t.detections(gt)
-    pairs = boxes.iou_join(gt, dt, 1.0).select("seq", F.col("frame_id").alias("t"), F.col("g_id").alias("gt_id"), F.col("d_id").alias("tr_id"), F.col("iou").alias("sim")).filter("sim > 0")
+    pairs = boxes.iou_join(gt, dt, 1.0, touching=True).select("seq", F.col("frame_id").alias("t"), F.col("g_id").alias("gt_id"), F.col("d_id").alias("tr_id"), F.col("iou").alias("sim"))
     return pairs, gt.select("seq", F.col("frame_id").alias("t"), "id"), dt.select("seq", F.col("frame_id").alias("t"), "id")
 
 
@@ -497,7 +497,7 @@ def pose_nms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {t.BOX_PAIRS}, s AS (SELECT frame_id, g_id, d_id, iou FROM bp WHERE iou > 0), a AS (SELECT *, row_number() OVER (PARTITION BY frame_id, d_id ORDER BY round(iou, 9) DESC, g_id) AS k FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, g_id ORDER BY round(iou, 9) DESC, d_id) AS k2 FROM a WHERE k = 1) SELECT frame_id, g_id, d_id FROM b WHERE k2 = 1""")
 def mutual_best_match(spark: SparkSession, d: str) -> DataFrame:
     gt = t.ground_truth(spark, d)
-    pairs = boxes.iou_join(gt, t.detections(gt), 1.0).filter("iou > 0").withColumn("iou", F.round("iou", 9))
+    pairs = boxes.iou_join(gt, t.detections(gt), 1.0, touching=True).withColumn("iou", F.round("iou", 9))
     best = lambda by, other: F.row_number().over(Window.partitionBy("frame_id", by).orderBy(F.desc("iou"), other))
     return pairs.withColumn("k", best("d_id", "g_id")).filter("k = 1").withColumn("k", best("g_id", "d_id")).filter("k = 1").select("frame_id", "g_id", "d_id")
 

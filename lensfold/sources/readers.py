@@ -89,6 +89,10 @@ def load(spark: SparkSession, path: str, fmt: str = "mot15-2d", **options) -> Da
     return FORMATS[fmt](spark, path, **options)
 
 
+def _replaced(at: int, mapped: Column) -> Callable[[Column, Column], Column]:
+    return lambda v, i: F.when(i == at, F.coalesce(F.try_element_at(mapped, v), v)).otherwise(v)
+
+
 def simple_text(spark: SparkSession, path: str, time: int = 0, ident: int = 1, valid: dict[int, list[float]] | None = None, crowd: dict[int, list[float]] | None = None, convert: dict[int, dict[str, float]] | None = None, drop_negative_ids: bool = False, member: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, crowd rows) of a text whose separator is found per line: ``t, id, fields``.
 
@@ -110,7 +114,7 @@ def simple_text(spark: SparkSession, path: str, time: int = 0, ident: int = 1, v
     rows = lines.select(p.alias("p"))
     for at, names in (convert or {}).items():
         mapped = F.create_map(*[F.lit(x) for k, v in names.items() for x in (str(k), str(v))])
-        rows = rows.withColumn("p", F.transform("p", lambda v, i, at=at, mapped=mapped: F.when(i == at, F.coalesce(F.try_element_at(mapped, v), v)).otherwise(v)))
+        rows = rows.withColumn("p", F.transform("p", _replaced(at, mapped)))
     number = lambda i: F.try_element_at("p", F.lit(i + 1)).try_cast("double")
     for at, values in (valid or {}).items():
         rows = rows.filter(number(at).isin(*[float(v) for v in values]))

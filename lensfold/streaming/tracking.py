@@ -21,7 +21,8 @@ def event_stream(frames: DataFrame, lateness: str = "10 seconds", max_switch_tim
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        acc, waiting = pickle.loads(state.get[0]) if state.exists else (Accumulator(max_switch_time), [])  # noqa: S301 own state
+        held, waiting = pickle.loads(state.get[0]) if state.exists else ({"max_switch_time": max_switch_time}, [])  # noqa: S301 own state
+        acc = Accumulator(**held)
         for part in parts:
             for r in part.itertuples():
                 waiting.append((int(r.at), int(r.frame_id), [int(x) for x in r.oids], [int(x) for x in r.hids], [list(x) for x in r.dists]))
@@ -33,7 +34,7 @@ def event_stream(frames: DataFrame, lateness: str = "10 seconds", max_switch_tim
             if frame > acc.last_frame:
                 _, events = acc.update(oids, hids, matrix(dists, len(oids), len(hids)), frame)
                 rows += [(key[0], frame, *e) for e in events]
-        state.update((pickle.dumps((acc, waiting)),))
+        state.update((pickle.dumps((vars(acc), waiting)),))
         if waiting:
             state.setTimeoutTimestamp(min(w[0] for w in waiting) + 1 if min(w[0] for w in waiting) >= limit else limit + 1)
         if rows:
