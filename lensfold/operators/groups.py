@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,3 +55,17 @@ def _starts(held: Group, keys: list[str]) -> np.ndarray:
     for k in keys:
         new[1:] |= held[k][1:] != held[k][:-1]
     return np.flatnonzero(new)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint, so that numbers of partitions stay as they are when an executor is lost.
+
+    Files go to ``spark.checkpoint.dir``; a local session without one gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="lensfold-"))
+    return df.checkpoint()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lensfold.operators.assignment import chosen_edges
 from lensfold.operators.boxes import normalised_similarity
-from lensfold.operators.groups import Group, fold_groups
+from lensfold.operators.groups import Group, fold_groups, settled
 
 #: Thresholds .05 to .95.
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 20))
@@ -153,8 +153,7 @@ def global_ids(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Distinct identities are dealt out by ranges; a number is its place in its range plus the sizes of those before.
     """
-    ids = rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
-    ids = ids.cache()
+    ids = settled(rows.select(*keys).distinct().repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
     sizes = ids.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1

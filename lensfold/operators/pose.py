@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensfold.functions.geometry import point_in_polygon
 from lensfold.functions.keypoints import head_size, is_valid, oks, pckh_distance
 
 #: 15 joints by body part, in the order in which they are stored.
@@ -108,3 +109,15 @@ def new_poses(candidates: DataFrame, existing: DataFrame, keys: list[str], thres
 
 def least_joints(joints: Column, n: int) -> Column:
     return F.size(F.filter(joints, lambda j: is_valid(j["x"], j["y"]))) >= n
+
+
+def outside_regions(poses: DataFrame, keys: list[str]) -> DataFrame:
+    """Poses ``(keys, joints, regions_x, regions_y)`` with the joints inside a region set to 0, and without those that lose all.
+
+    Regions are arrays of polygons of the pose's frame; null or empty regions cover nothing.
+    """
+    regions = F.arrays_zip(F.col("regions_x").alias("xs"), F.col("regions_y").alias("ys"))
+    covered = lambda j: F.exists(regions, lambda r: point_in_polygon(j["x"], j["y"], r["xs"], r["ys"]))
+    zero = F.lit(0.0)
+    cleared = F.transform("joints", lambda j: F.when(F.coalesce(covered(j), F.lit(False)), F.struct(zero.alias("x"), zero.alias("y"), zero.alias("score"))).otherwise(F.struct(j["x"].alias("x"), j["y"].alias("y"), j["score"].alias("score"))))
+    return poses.withColumn("joints", cleared).filter(least_joints(F.col("joints"), 1)).drop("regions_x", "regions_y")

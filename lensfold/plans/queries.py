@@ -110,9 +110,9 @@ def mean_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {t.EMB}, m AS (SELECT pid, i, avg(x) AS x FROM (SELECT pid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY pid, i), c AS (SELECT pid AS centre, list(x ORDER BY i) AS c FROM m GROUP BY pid) SELECT id, centre, round(list_inner_product(v, c), 6) AS sim, round(list_cosine_similarity(v, c), 6) AS cosine FROM emb CROSS JOIN c")
 def embedding_centre_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = t.embeddings(spark, d)
-    c = retrieval.mean_vector(e, "pid", "v").select(F.col("pid").alias("centre"), F.col("v").alias("c"))
-    pairs = e.crossJoin(F.broadcast(c))  # one row a label
-    return rounded(pairs.select("id", "centre", vectors.dot(F.col("v"), F.col("c")).alias("sim"), vectors.dot(vectors.l2_normalise(F.col("v")), vectors.l2_normalise(F.col("c"))).alias("cosine")))
+    c, v = retrieval.mean_vector(e, "pid", "v").select(F.col("pid").cast("long"), "v"), e.select("id", "v")
+    one, two = (retrieval.distances(c, v, m).select("q", "g", (-F.col("d")).alias(n)) for m, n in (("dot", "sim"), ("cosine", "cosine")))
+    return rounded(one.join(two, ["q", "g"]).select(F.col("g").alias("id"), F.col("q").cast("int").alias("centre"), "sim", "cosine"))
 
 
 @query(f"WITH {t.EMB} SELECT id, (list_position(v, list_max(v)) - 1)::INT AS label, round(list_max(v), 6) AS score, ((list_position(v, list_max(v)) - 1) % 8)::INT AS x, ((list_position(v, list_max(v)) - 1) // 8)::BIGINT AS y FROM emb")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensfold.operators.groups import settled
+
 
 def mot_rows(boxes: DataFrame) -> DataFrame:
     """Rows of the MOT result text for ``boxes(frame, track_id, x1, y1, x2, y2)``: one-based, with trailing -1 fields."""
@@ -25,7 +27,7 @@ def coco_documents(boxes: DataFrame) -> DataFrame:
     Numbers follow image and place: each image's boxes are numbered, and the sizes of the images before are added.
     """
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("category_id", "x1", "y1", "x2", "y2"))
-    sizes = boxes.groupBy("image_id").agg(F.count("*").alias("n")).repartitionByRange("image_id").withColumn("part", F.spark_partition_id()).cache()
+    sizes = settled(boxes.groupBy("image_id").agg(F.count("*").alias("n")).repartitionByRange("image_id").withColumn("part", F.spark_partition_id()))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("m"))
     before = parts.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
