@@ -61,8 +61,11 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; leaves of ``kids`` are strings. Elements left open end with their parents, as browsers do it."""
+def parse(html: str, by_name: bool = True) -> Node:
+    """The tree of a page; leaves of ``kids`` are strings. Elements left open end with their parents, as browsers do it.
+
+    Without ``by_name``, elements are furniture by their tag only.
+    """
     root = here = Node("html", None, False)
     at, low = 0, None
     articles = 0
@@ -105,7 +108,7 @@ def parse(html: str) -> Node:
         if tag in VOID:
             here.kids.append(" " if tag != "hr" else Node(tag, here, True))
             continue
-        node = Node(tag, here, here.dropped or is_furniture(tag, m[3], articles > 0))
+        node = Node(tag, here, here.dropped or is_furniture(tag, m[3] if by_name else "", articles > 0))
         here.kids.append(node)
         if tag in RAW:
             low = low or html.lower()
@@ -187,7 +190,11 @@ def main_text(html: str | None) -> str:
     root = parse(html or "")
     best = score(root)
     if best is None:
-        return "\n".join(text for _, text, _, _ in blocks(root))
+        # A name may mark a box round the whole page; then tags alone decide, if they find a long text.
+        other = parse(html or "", by_name=False)
+        best = score(other)
+        if best is None or best.chars < 500:
+            return "\n".join(text for _, text, _, _ in blocks(root))
     while best.tag in INLINE | {"p"} and best.up:
         best = best.up
     parts, least = [best], max(10, best.score * 0.2)

@@ -70,10 +70,11 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - position[:, None], -500, 500)))
 
 
-def fit(number: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: int, steps: int = 200, rate: float = 0.05, decay: float = 5e-4) -> Ordinal:
+def fit(number: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, steps: int = 200, rate: float = 0.05, decay: float = 5e-4) -> Ordinal:
     """Maximise the penalised likelihood by full-batch Adam; documents are the stretches of ``number`` and ``value`` up to ``ends``."""
     n, doc = len(ends), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    share = np.array([(grade >= k).mean() for k in range(1, grades)])
+    weight = np.ones(n) if weight is None else weight / weight.mean()
+    share = np.array([(weight * (grade >= k)).mean() for k in range(1, grades)])
     share = np.clip(share, 1e-3, 1 - 1e-3)
     theta = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(theta), 0.1))
@@ -88,7 +89,7 @@ def fit(number: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarr
         padded = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
         p = np.maximum(padded[rows, grade + 1] - padded[rows, grade], 1e-12)
         slope = padded * (1 - padded)
-        up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
+        up, down = weight * slope[rows, grade + 1] / p, weight * slope[rows, grade] / p
         g_position = (up - down) / n  # of the negative log-likelihood
         g_theta = np.zeros(grades - 1)
         np.add.at(g_theta, np.minimum(grade, grades - 2), np.where(grade <= grades - 2, -up, 0) / n)
@@ -102,27 +103,33 @@ def fit(number: np.ndarray, value: np.ndarray, ends: np.ndarray, grade: np.ndarr
 def learn(rated: DataFrame, docs: DataFrame, grades: int = 3, sample: int = 12_000) -> Ordinal:
     """Fit on ``rated(doc_id, grade)``, grades 0 to ``grades`` - 1, with the texts of ``docs(doc_id, text)``.
 
-    The ``sample`` rated documents with the least hash of their id are used: that many ids are sent to the scan of
-    ``docs`` and that many feature lists reach the driver. Ratings that are null or outside the range, and null ids,
+    About ``sample`` rated documents are used: half of them in the grades' own shares and half in equal shares, so that a
+    rare grade is seen often, and in each grade those with the least hash of their id. The likelihood weighs a grade's
+    rows back to its share. That many ids are sent to the scan of ``docs`` and that many feature lists reach the driver.
+    Ratings that are null or outside the range, and null ids,
     teach nothing; of several ratings of an id the lowest counts. Without ratings every grade is equally likely.
     """
     usable = rated.filter(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    many = {r.grade: r["count"] for r in usable.groupBy("grade").count().collect()}
+    total, chosen = sum(many.values()), usable.withColumn("weight", F.lit(1.0)).limit(0)
+    for grade, n in sorted(many.items()):
+        quota = min(n, round(sample / 2 * (n / total + 1 / len(many))))
+        chosen = chosen.unionByName(usable.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quota).withColumn("weight", F.lit(n / max(1, quota))))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
         for batch in batches:
             found = [of.of(b) for b in blobs(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "grade", "number", "value"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "weight"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "grade", "weight", "number", "value"])
 
-    rows = texts.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, number array<int>, value array<float>").limit(2 * sample).toArrow().combine_chunks()
+    rows = texts.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, weight double, number array<int>, value array<float>").limit(2 * sample).toArrow().combine_chunks()
     if not rows.num_rows:
         return Ordinal(np.zeros(1 << BITS, np.float32), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)))
     rows = rows.sort_by("doc_id").combine_chunks()
     lists = rows["number"].combine_chunks()
     ends = np.cumsum(lists.value_lengths().to_numpy())
-    return fit(lists.flatten().to_numpy().astype(np.int64), rows["value"].combine_chunks().flatten().to_numpy().astype(float), ends, rows["grade"].to_numpy().astype(np.int64), grades)
+    return fit(lists.flatten().to_numpy().astype(np.int64), rows["value"].combine_chunks().flatten().to_numpy().astype(float), ends, rows["grade"].to_numpy().astype(np.int64), grades, rows["weight"].to_numpy())
 
 
 def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
