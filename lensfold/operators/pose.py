@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lensfold.functions.geometry import point_in_polygon
 from lensfold.functions.keypoints import head_size, is_valid, oks, pckh_distance
+from lensfold.operators.groups import settled
 
 #: 15 joints by body part, in the order in which they are stored.
 PARTS = {"Head": (12, 13, 14), "Shou": (8, 9), "Elb": (7, 10), "Wri": (6, 11), "Hip": (2, 3), "Knee": (1, 4), "Ankl": (0, 5)}
@@ -37,28 +38,45 @@ def match_poses(distances: DataFrame, gt_sizes: DataFrame, keys: list[str], limi
 
 
 def precision_recall(scored: DataFrame, totals: DataFrame, keys: list[str], tie: str = "id") -> DataFrame:
-    """Running ``precision`` and ``recall`` of ``scored(keys, id, score, positive)`` by falling score; ``totals(keys, n)`` are the positives to find."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum(F.col("positive").cast("int")).over(order)
-    place = F.count("*").over(order)
-    return scored.join(totals, keys).withColumn("place", place).withColumn("precision", hits / place).withColumn("recall", hits / F.greatest(F.col("n"), F.lit(1)))
+    """Running ``precision`` and ``recall`` of ``scored(keys, id, score, positive)`` by falling score; ``totals(keys, n)`` are the positives to find.
+
+    A class may have most of the rows: rows are dealt by ranges of the score, counted inside a range, and shifted by the
+    counts of the ranges before. ``part`` is a row's range.
+    """
+    order = [F.desc("score"), tie]
+    dealt = settled(scored.join(totals, keys).repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    hit = F.col("positive").cast("int")
+    ahead = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "part").agg(F.count("*").alias("rows"), F.sum(hit).alias("hits"))
+    before = sizes.select(*keys, "part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("rows", "hits")])
+    inside = Window.partitionBy(*keys, "part").orderBy(*order)
+    rows = dealt.withColumn("place", F.row_number().over(inside)).withColumn("hits", F.sum(hit).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(before, [*keys, "part"]).withColumn("place", F.col("place") + F.col("rows_before")).withColumn("hits", F.col("hits") + F.col("hits_before")).drop("rows_before", "hits_before")
+    return rows.withColumn("precision", F.col("hits") / F.col("place")).withColumn("recall", F.col("hits") / F.greatest(F.col("n"), F.lit(1)))
+
+
+def with_envelope(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``envelope``, the best precision from a row on, and ``below``, the recall before it."""
+    later = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = curve.groupBy(*keys, "part").agg(F.max("precision").alias("top")).select(*keys, "part", F.max("top").over(later).alias("top"))
+    own = F.max("precision").over(Window.partitionBy(*keys, "part").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = curve.withColumn("own", own).join(tops, [*keys, "part"])
+    below = (F.col("hits") - F.col("positive").cast("int")) / F.greatest(F.col("n"), F.lit(1))
+    return rows.withColumn("envelope", F.greatest("own", "top")).withColumn("below", below)
 
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, ap, precision, recall``: area under the precision envelope, and the values at the curve's end."""
-    after = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("recall") - F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy("place"))
-    rows = curve.withColumn("envelope", F.max("precision").over(after)).withColumn("step", step)
-    return rows.groupBy(*keys).agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"), F.max_by("precision", "place").alias("precision"), F.max_by("recall", "place").alias("recall"))
+    rows = with_envelope(curve, keys)
+    return rows.groupBy(*keys).agg(F.sum((F.col("recall") - F.col("below")) * F.col("envelope")).alias("ap"), F.max_by("precision", "place").alias("precision"), F.max_by("recall", "place").alias("recall"))
 
 
 def interpolated_ap(curve: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
     """``keys, ap``: mean precision envelope at evenly spaced recalls, 0 where a recall is not reached."""
-    after = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag("recall").over(Window.partitionBy(*keys).orderBy("place"))
-    # A row answers for the recalls between the row before it and its own.
-    below = lambda recall: F.floor((recall + 1e-12) * (points - 1)).cast("int")
-    rows = curve.withColumn("envelope", F.max("precision").over(after)).withColumn("lo", F.coalesce(below(before) + 1, F.lit(0))).withColumn("hi", below(F.col("recall")))
+    place = lambda recall: F.floor((recall + 1e-12) * (points - 1)).cast("int")
+    # A row answers for the recalls between the row before it and its own; the first one for recall 0 too.
+    lo = F.when(F.col("place") == 1, F.lit(0)).otherwise(place(F.col("below")) + 1)
+    rows = with_envelope(curve, keys).withColumn("lo", lo).withColumn("hi", place(F.col("recall")))
     return rows.groupBy(*keys).agg((F.sum(F.when(F.col("hi") >= F.col("lo"), F.col("envelope") * (F.col("hi") - F.col("lo") + 1))) / points).alias("ap"))
 
 
