@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -300,6 +301,8 @@ def test_line_pairs(spark):
 
 def test_quality_held_out(spark):
     d = "/root/testdata/check_s"
+    if not os.path.isdir(d):
+        pytest.skip("the larger tables are not here")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
