@@ -6,6 +6,7 @@ Word rule used by several operators: maximal runs of bytes outside space and ``\
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,17 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shared:
+    """A value for all tasks, sent once an executor. Its classes travel with it, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        return pickle.loads(self._bytes.value)  # noqa: S301 our own bytes
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text (crc32 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

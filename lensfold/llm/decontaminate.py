@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import blobs, column
+from lensfold.llm.common import Shared, blobs, column
 
 #: Bytes that are parts of words: digits, a-z and all of non-ASCII; A-Z become a-z, the others spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
         raise ValueError(f"the benchmark has {total} bytes of text; {max_benchmark_bytes} are allowed in one pass")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("binary")).collect()
     bench = Benchmark.of([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], window)
-    shared = docs.sparkSession.sparkContext.broadcast(bench)
+    shared = Shared(docs.sparkSession, bench)
     names = [part.split()[0] for part in REPORT.split(", ")]
     docs = docs.drop(*names)
     schema = docs.withColumns({n: F.lit(None).cast(part.split(maxsplit=1)[1]) for n, part in zip(names, REPORT.split(", "), strict=True)}).schema

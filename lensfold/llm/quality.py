@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import blobs, column, word_blocks
+from lensfold.llm.common import Shared, blobs, column, word_blocks
 
 BITS = 18
 SHAPE_WEIGHT = 4.0
@@ -138,7 +138,7 @@ def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
     ``tails`` holds P(grade >= k) for k = 1, 2, ..; ``expected_grade`` is their sum and ``grade`` the number of tails of one
     half or more. Null and empty texts have no features and stand at position 0. Repeated rows are graded each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, of = shared.value, Features()
