@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Shared, blobs, column
+from lensfold.llm.common import Shared, blobs
 
 #: Bytes that are parts of words: digits, a-z and all of non-ASCII; A-Z become a-z, the others spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

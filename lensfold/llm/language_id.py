@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Counter64, blobs, column, id_remainder, merged_counts
+from lensfold.llm.common import Counter64, column, id_remainder, merged_counts
 
 #: Stands for a word edge inside n-grams; it is no letter.
 EDGE = 1

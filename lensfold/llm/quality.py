@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Shared, blobs, column, word_blocks
+from lensfold.llm.common import Shared, blobs, column, merged_counts, word_blocks
 
 BITS = 18
 SHAPE_WEIGHT = 4.0
@@ -45,16 +45,12 @@ class Features(dict):
         for block in word_blocks(blob):
             pairs = np.array([self[w] for w in block], np.int64).reshape(-1, 2)
             words.append(np.unique(pairs[:, 0]))
-            shapes.append(np.bincount(pairs[:, 1], minlength=1 << BITS)) if len(block) > 50_000 else shapes.append(pairs[:, 1])
+            shapes.append(np.unique(pairs[:, 1], return_counts=True))
             n += len(block)
         if not n:
             return np.empty(0, np.int64), np.empty(0)
         own = words[0] if len(words) == 1 else np.unique(np.concatenate(words))
-        if any(len(s) == 1 << BITS for s in shapes):
-            total = sum(s if len(s) == 1 << BITS else np.bincount(s, minlength=1 << BITS) for s in shapes)
-            shape, count = np.flatnonzero(total), total[total > 0]
-        else:
-            shape, count = np.unique(np.concatenate(shapes), return_counts=True)
+        shape, count = merged_counts(shapes)
         return np.concatenate((own, shape)), np.concatenate((np.ones(len(own)), SHAPE_WEIGHT * np.sqrt(count / n)))
 
 

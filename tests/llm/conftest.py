@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog again and again until the evening comes and all is quiet"),
@@ -19,7 +20,7 @@ TEXTS = [
 def odd_docs(spark):
     """Nulls in every column, empty and long texts, repeated rows and ids, and columns whose names operators use inside."""
     rows = [(i, x, None if k % 3 == 0 else "en", None if k % 4 == 0 else "src", k) for k, (i, x) in enumerate(TEXTS)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit(7) for c in ("key", "fp", "component", "tag", "score", "spans", "contaminated")})
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("key", "fp", "component", "tag", "score", "spans", "contaminated")})
 
 
 @pytest.fixture
