@@ -127,7 +127,7 @@ n AS (SELECT a.id, a.x, a.y, a.value, max(b.value) AS top, max(b.value) FILTER (
   max(b.value) FILTER (b.y = a.y + 1 AND b.x = a.x) AS dn, max(b.value) FILTER (b.y = a.y - 1 AND b.x = a.x) AS u
   FROM c a JOIN c b ON a.id = b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value DESC, y, x) AS k FROM n WHERE value >= top)
-SELECT id, x + coalesce(sign(r - l) * 0.25, 0) AS x, y + coalesce(sign(dn - u) * 0.25, 0) AS y, round(value, 6) AS value FROM k WHERE k = 1""")
+SELECT id, (x + coalesce(sign(r - l) * 0.25, 0))::DOUBLE AS x, (y + coalesce(sign(dn - u) * 0.25, 0))::DOUBLE AS y, round(value, 6) AS value FROM k WHERE k = 1""")
 def heatmap_peaks(spark: SparkSession, d: str) -> DataFrame:
     cells = t.embeddings(spark, d).select("id", F.posexplode("v").alias("i", "value")).select("id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), "value")
     return rounded(detection.heatmap_peaks(cells, ["id"]))
