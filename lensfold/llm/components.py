@@ -14,21 +14,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns ``node, component`` for the nodes of non-loop edges. A round replaces each edge by one to the smallest
     neighbour, first towards larger and then towards smaller nodes, which halves distances; the rounds end when the edges
-    no longer change. Minima are partial aggregates, and a node with very many edges meets its minimum in a join whose
-    large partitions adaptive execution splits, so no neighbourhood is gathered in one place. Nulls: such edges are dropped.
+    no longer change. Minima are partial aggregates, written before they are joined: adaptive execution splits the large
+    partitions of a join of two plain scans, so a node with very many edges is not gathered in one place. Nulls: such edges are dropped.
     """
     now = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     said = _mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = save(large)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(lowest)
+        lowest = save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v")
         new = save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        discard(large)
-        discard(now)
+        for done in (lowest, large, now):
+            discard(done)
         before, now, said = said, new, _mark(new)
         if before == said:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -179,6 +179,7 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, turns: int =
     named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")
     about = each.select("node", "first_id", "copies").join(counts, "node", "left").join(named, "node", "left")
     about = about.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
+    about = save(about)  # a join of plain scans, whose partitions can be split where many copies share a node
     out = usable.select("vec_id", "node").join(about, "node").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     return out.unionByName(alone)

@@ -199,6 +199,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     classes = save(classes.join(each, classes.node == each.fp).select("node", "component", "first_id"))
     named = classes.join(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
     each = each.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+    each = save(each)  # a join of plain scans, whose partitions can be split where many copies share a fingerprint
     return prints.join(each, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -257,8 +257,9 @@ def line_classes(units: DataFrame, docs: DataFrame, min_words: int, similarity:
     """
     bands = units.filter(F.col("kind") == BAND).select("key", "line")
     shared = bands.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("key")
+    shared = save(shared)  # here and below: a join of plain scans can be split where many rows share a key
     members = save(bands.join(shared, "key", "left_semi").distinct())
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = save(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     sets = shingle_sets(docs, members.select("line").distinct(), min_words)
     filed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("i", "j"), F.greatest("i", "j")
@@ -277,11 +278,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, similarity: float = 0.8
     classes = line_classes(units, docs, min_words, similarity)
     lines = units.filter(F.col("kind") == LINE).join(classes.withColumnRenamed("node", "key"), "key", "left")
     lines = lines.select(F.coalesce("component", "key").alias("key"), "doc_id", "tag", "at", "size")
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
+    lines = save(lines)
+    firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f"))
     end = F.col("at") + F.col("size")
     of_lines = lines.join(firsts, "key").filter("struct(doc_id, tag, at) <> f").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("f.doc_id").alias("kept_in"))
     windows = units.filter(F.col("kind") == SPAN).select("key", "doc_id", "tag", "at", "size")
     shared = windows.groupBy("key").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).filter("kept_in <> last").select("key", "kept_in")
+    shared = save(shared)
     of_windows = windows.join(shared, "key").filter("doc_id <> kept_in").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), "kept_in")
     again = units.filter(F.col("kind") == AGAIN).select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("doc_id").alias("kept_in"))
     spans = of_lines.unionByName(of_windows).unionByName(again)
