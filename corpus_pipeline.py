@@ -9,35 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lensfold.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup
-from lensfold.llm.common import save
+from lensfold.llm.common import BATCH_ROWS, save
 
 #: A text whose n-grams are further than this from every profile (1: equal, 0: nothing in common) is in no learned language.
 MIN_LANGUAGE_SCORE = 0.3
 
 
+def whole_texts(spark: SparkSession) -> None:
+    """Set the session up for whole texts: 1,000 rows at most go to Python in a batch, not 10,000."""
+    spark.conf.set(BATCH_ROWS, min(1000, int(spark.conf.get(BATCH_ROWS))))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language: without letters, or far from all profiles. Profiles are learned from ``docs``."""
+    whole_texts(spark)
     found = language_id.identify_language(docs, language_id.learn_profiles(docs))
     return found.filter((found.lang_pred != "und") & (found.score >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash group."""
+    whole_texts(spark)
     return simhash_dedup.drop_near_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated passages but for their first occurrence."""
+    whole_texts(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with benchmark text."""
+    whole_texts(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left."""
+    whole_texts(spark)
     return packing.pack(docs)
 
 
