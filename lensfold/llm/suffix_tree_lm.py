@@ -1,32 +1,36 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts of up to two words are tree nodes. A context is a candidate if it is a given share of all training tokens, and it
+Contexts of up to ``depth`` words are tree nodes. A context is a candidate if it occurs twice in the training texts, and it
 is retained if its next-word distribution diverges enough from that of its suffix (its parent). Distributions are smoothed
-by absolute discounting: a context keeps the counts of its frequent next words, less a discount, and passes the rest of
-its mass to its parent, down to the add-0.1 unigram distribution. A word is scored in the state of the longest retained
-suffix of what precedes it.
+by absolute discounting: a context keeps the counts of the next words that follow it twice, less a discount, and passes the
+rest of its mass to its parent, down to the add-0.1 unigram distribution. A word is scored in the state of the longest
+retained suffix of what precedes it.
 
-Shares of the corpus, not counts, decide what the tree holds, so its size has a bound at every scale and it can be sent to
-every task; all counts are over all training tokens. Counts of all words cannot be sent: frequent ones are, the others
-are joined to the documents that have them.
+Counts, not shares of the corpus, decide what the tree holds, so it grows with the input. It is a table, one value a gram
+(:func:`gram_values`), joined to the documents that have the gram. Only the most frequent words and grams are sent to
+tasks, to keep them out of the join. :func:`learn_tree` is the same tree in memory, for corpora whose tree fits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Counter64, Shared, WordHashes, blobs, column, id_remainder, save, word_blocks
+from lensfold.llm.common import Counter64, Shared, WordHashes, blobs, column, discard, id_remainder, mixed, save, word_blocks
 
 ADD = 0.1
 DISCOUNT = 0.5
+#: A word or gram of this share of all tokens is sent to every task instead of being joined: 1 / share of each length at most.
+SENT_SHARE = 2e-6
 #: Hash of the end of a text. No word contains a space.
 END = xxhash.xxh64_intdigest(b" ", 42)
 END -= (END >> 63) << 64
@@ -247,45 +251,202 @@ def learn_tree(training: DataFrame, counts: DataFrame, total: int, vocabulary: i
     return tree
 
 
-def score_documents(docs: DataFrame, training_filter: str = "not held_out") -> DataFrame:
+def joined_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a gram from those of its context and its suffix."""
+    return mixed(mixed(context.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ suffix.view(np.uint64)).view(np.int64)
+
+
+def grams(tokens: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, keys of contexts, keys of suffixes, places of last tokens) of all grams of 2 to ``depth`` + 1 tokens of texts that begin at ``starts``."""
+    place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+    keys = tokens
+    for k in range(1, depth + 1):
+        longer = np.zeros(len(tokens), np.int64)
+        longer[1:] = joined_key(keys[:-1], keys[1:])
+        at = np.flatnonzero(place >= k)
+        yield longer[at], keys[at - 1], keys[at], at
+        keys = longer
+
+
+def token_hashes(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, side by side, and where each text begins."""
+    parts, sizes, end = [], [], np.array([END])
+    for blob in texts:
+        own = hashes.of(blob)
+        parts += [own, end]
+        sizes.append(len(own) + 1)
+    return np.concatenate(parts), np.cumsum([0, *sizes[:-1]])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for the low bits of every ``key``; eight bits a key, between 128 KB and 32 MB."""
+    size = min(28, max(20, (8 * keys.count()).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
+    rows = keys.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+    bloom = np.zeros((1 << size) // 8, np.uint8)
+    for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"], strict=True):
+        bloom[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bits.as_py(), np.uint8)
+    return bloom
+
+
+def marked(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key's bit is set: true for all keys of the filter, and for a few others."""
+    low = keys & (8 * len(bloom) - 1)
+    return bloom[low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0
+
+
+def _gram_counts(training: DataFrame, known: DataFrame, low: int, depth: int) -> DataFrame:
+    """``key, level, context, suffix, n`` of the grams of ``low`` + 1 to ``depth`` + 1 tokens that occur twice and consist of
+    grams of ``low`` tokens in ``known(key)``. A gram is told by its context and its suffix."""
+    shared = Shared(training.sparkSession, key_filter(known))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, hashes = shared.value, WordHashes()
+        for batch in batches:
+            texts = blobs(batch, "text")
+            for lo, hi in text_groups(texts, 8 << 20):
+                tokens, starts = token_hashes(texts[lo:hi], hashes)
+                ok = marked(bloom, tokens) if low == 1 else None
+                for level, (key, context, suffix, at) in enumerate(grams(tokens, starts, depth), 1):
+                    if level < low:
+                        if level == low - 1:
+                            ok = np.zeros(len(tokens), bool)
+                            ok[at] = marked(bloom, key)
+                        continue
+                    # All shorter grams of a gram occur as often as it does.
+                    own = ok[at] & ok[at - 1]
+                    ok = np.zeros(len(tokens), bool)
+                    ok[at] = own
+                    own = np.flatnonzero(own)
+                    _, first, n = np.unique(key[own], return_index=True, return_counts=True)
+                    first = own[first]
+                    for k in range(0, len(first), 100_000):
+                        part = first[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(part), level, np.int8), context[part], suffix[part], n[k : k + 100_000])], ["level", "context", "suffix", "n"])
+
+    found = training.select("text").mapInArrow(count, "level byte, context long, suffix long, n long")
+    found = found.groupBy("level", "context", "suffix").agg(F.sum("n").alias("n")).filter("n > 1")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = joined_key(column(batch, "context").to_numpy(), column(batch, "suffix").to_numpy())
+            yield batch.append_column("key", pa.array(keys))
+
+    return found.mapInArrow(name, "level byte, context long, suffix long, n long, key long")
+
+
+def gram_counts(training: DataFrame, counts: DataFrame, depth: int) -> list[DataFrame]:
+    """``key, level, context, suffix, n`` of every gram of 2 to ``depth`` + 1 tokens that occurs twice in ``training(text)``: pairs, and longer ones."""
+    pairs = save(_gram_counts(training, counts.filter("n > 1").select(F.col("word").alias("key")), 1, 1))
+    return [pairs, save(_gram_counts(training, pairs, 2, depth))] if depth > 1 else [pairs]
+
+
+def gram_values(training: DataFrame, counts: DataFrame, total: int, vocabulary: int, depth: int, divergence: float = 0.02) -> DataFrame:
+    """``key, n, value``: what each word or gram adds to the log10 probability of a text that has it, beyond its words' unigrams.
+
+    Inside a retained context, a gram's probability is what the context keeps of it and the passed mass times the parent's;
+    a gram that is not kept has the passed mass times the parent's. So a text's log10 probability is its unigrams', and for
+    each gram in it the passed mass of the context that the gram is (it is one for the token that follows), and, if it is
+    kept, what it gains over the passed mass and the parent. Both depend on the gram only and are added up here.
+    """
+    found = gram_counts(training, counts, depth)
+    below = counts.filter("n > 1").select(F.col("word").alias("key"), "n", F.log10((F.col("n") + ADD) / (total + ADD * (vocabulary + 1))).alias("log_p"))
+    parts, used = [], [*found]
+    for level in range(1, depth + 1):
+        own = found[min(level, 2) - 1].filter(F.col("level") == level)
+        entries = own.join(below.select(F.col("key").alias("suffix"), F.col("log_p").alias("parent")), "suffix")
+        entries = entries.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        in_context = Window.partitionBy("context")
+        entries = entries.withColumn("kept", (F.col("n") - DISCOUNT) / F.col("total"))
+        entries = entries.withColumn("passed", F.greatest(1 - F.sum("kept").over(in_context), F.lit(1e-12)))
+        entries = entries.withColumn("p", F.col("kept") + F.col("passed") * F.pow(F.lit(10.0), "parent"))
+        gain = F.sum(F.col("p") * (F.log("p") - F.col("parent") * math.log(10))).over(in_context) + F.greatest(1 - F.sum("p").over(in_context), F.lit(0.0)) * F.log("passed")
+        entries = entries.withColumn("retained", gain >= divergence)
+        entries = entries.withColumn("log_p", F.when(F.col("retained"), F.log10("p")).otherwise(F.col("parent")))
+        entries = save(entries.select("key", "context", "n", "total", "log_p", "retained", F.log10("passed").alias("passed"), "parent"))
+        held = entries.filter("retained")
+        parts.append(held.select("key", "n", (F.col("log_p") - F.col("parent") - F.col("passed")).alias("value")))
+        parts.append(held.groupBy("context").agg(F.first("total").alias("n"), F.first("passed").alias("value")).withColumnRenamed("context", "key"))
+        below = entries.select("key", "n", "log_p")
+        used.append(entries)
+    values = save(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")))
+    for table in used:
+        discard(table)
+    return values
+
+
+def looked_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def score_documents(docs: DataFrame, training_filter: str = "not held_out", depth: int = 3, sent_share: float = SENT_SHARE) -> DataFrame:
     """Scores of every row of ``docs(doc_id, held_out, text)`` by a tree learned from the rows where ``training_filter`` holds.
 
     Tokens are the words outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, and one end; null and empty texts have the end
     only. ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens, ``score`` is the tree's log10
-    probability of the text, ``n_known`` counts tokens seen in training, ``train_tokens`` is N. Words are told apart by a
-    64-bit hash. Repeated rows are scored each; null ids pass through; without training rows every token is unknown, and
-    both scores are those of add-0.1 over nothing, one symbol (0). Memory follows the longest text.
+    probability of the text, ``n_known`` counts tokens seen in training, ``train_tokens`` is N. Words and grams are told
+    apart by a 64-bit hash. Repeated rows are scored each; null ids pass through; without training rows every token is
+    unknown, and both scores are those of add-0.1 over nothing, one symbol (0). Memory follows the longest text.
+    ``sent_share`` decides what is sent and what is joined, not the result.
     """
+    spark = docs.sparkSession
     training = docs.filter(training_filter)
     counts = save(word_counts(training))
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unseen = float(np.log10(ADD / (total + ADD * (vocabulary + 1))))
-    tree = learn_tree(training, counts, total, vocabulary) if total else Tree(np.empty(0, np.int64), np.empty(0))
-    shared = Shared(docs.sparkSession, tree)
+    often = F.col("n") >= max(2.0, sent_share * total)
+    values = gram_values(training, counts, total, vocabulary, depth)
+    words, sent = counts.filter(often).orderBy("word").toArrow(), values.filter(often).orderBy("key").toArrow()
+    base = np.append(np.log10((words["n"].to_numpy() + ADD) / (total + ADD * (vocabulary + 1))), 0.0)  # place -1 is the last
+    shared = Shared(spark, (words["word"].to_numpy(), base, sent["key"].to_numpy(), np.append(sent["value"].to_numpy(), 0.0), key_filter(values.filter(~often))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        numbers = Numbers({int(w): i for i, w in enumerate(tree.words)})
-        base = np.append(tree.base, 0.0)  # number -1 is the last
+        words, base, sent, value, bloom = shared.value
+        hashes = WordHashes()
+
+        def lists(keys: list[np.ndarray], owners: list[np.ndarray], n: int) -> pa.ListArray:
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(owners, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(owners, minlength=n))]
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order]))
+
         for batch in batches:
             texts = blobs(batch, "text")
             for lo, hi in text_groups(texts):
-                part = batch.slice(lo, hi - lo)
-                ids, starts, rare = numbers.of(texts[lo:hi], want_rare=True)
-                sums = [np.add.reduceat(x, starts) for x in ((ids >= 0).astype(np.int64), base[ids], tree.score(ids) if len(tree.words) else np.zeros(len(ids)))]
-                tokens = np.diff(np.append(starts, len(ids))) - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.fromiter((h for r in rare for h in r), np.int64)))
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "held_out"), pa.array(tokens), *map(pa.array, sums), lists], ["doc_id", "held_out", "n_tokens", "frequent", "base", "tree", "rare"])
-
-    scored = docs.mapInArrow(score, docs.select("doc_id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("frequent"), F.lit(0.0).alias("base"), F.lit(0.0).alias("tree"), F.array().cast("array<long>").alias("rare")).schema)
+                part, n = batch.slice(lo, hi - lo), hi - lo
+                tokens, starts = token_hashes(texts[lo:hi], hashes)
+                sizes = np.diff(np.append(starts, len(tokens)))
+                owner = np.repeat(np.arange(n), sizes)
+                at = looked_up(tokens, words)
+                rare = at < 0
+                tree, asked, askers, k = np.zeros(n), [], [], 0
+                for keys in (tokens, *(g for g, _, _, _ in grams(tokens, starts, depth))):
+                    inside = np.arange(len(tokens)) - np.repeat(starts, sizes) >= k
+                    own, k = owner[inside], k + 1
+                    place = looked_up(keys, sent)
+                    tree += np.bincount(own, value[place], n)
+                    maybe = (place < 0) & marked(bloom, keys)
+                    asked.append(keys[maybe])
+                    askers.append(own[maybe])
+                columns = [column(part, "doc_id"), column(part, "held_out"), pa.array(sizes), pa.array(np.bincount(owner[~rare], minlength=n)), pa.array(np.bincount(owner, base[at], n)), pa.array(tree)]
+                yield pa.RecordBatch.from_arrays([*columns, lists([tokens[rare]], [owner[rare]], n), lists(asked, askers, n)], ["doc_id", "held_out", "n_tokens", "frequent", "base", "tree", "rare", "grams"])
+
+    keys = F.array().cast("array<long>")
+    scored = docs.mapInArrow(score, docs.select("doc_id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("frequent"), F.lit(0.0).alias("base"), F.lit(0.0).alias("tree"), keys.alias("rare"), keys.alias("grams")).schema)
     scored = save(scored.withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.explode("rare").alias("word"))
     logs = F.log10((F.col("n") + ADD) / (total + ADD * (vocabulary + 1)))
     found = asked.join(counts, "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(logs).alias("logs"))
+    added = scored.select("row", F.explode("grams").alias("key")).join(values.filter(~often), "key").groupBy("row").agg(F.sum("value").alias("added"))
     known, asked_of = F.coalesce("known", F.lit(0)), F.size("rare")
     more = F.coalesce("logs", F.lit(0.0)) + (asked_of - known) * unseen
-    out = scored.join(found, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("frequent") + known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("tree") + more).alias("score"))
+    out = scored.drop("grams").join(found, "row", "left").join(added, "row", "left")
+    score_of = F.col("base") + more + F.col("tree") + F.coalesce("added", F.lit(0.0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("frequent") + known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), score_of.alias("score"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -149,6 +149,31 @@ def test_lm_states_are_distributions(docs):
             assert (10 ** logs[:-1]).sum() + 10 ** logs[-1] * rare == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("sent_share", [2e-6, 1e-3])
+def test_lm_keeps_all_that_occurs_twice(docs, sent_share):
+    """Scores are those of a tree without any share of the corpus, whatever is sent or joined."""
+    split = docs.select("doc_id", (F.col("doc_id") % 10 == 0).alias("held_out"), "text")
+    training = save(split.filter("not held_out"))
+    counts = save(suffix_tree_lm.word_counts(training))
+    total, vocabulary = counts.agg(F.sum("n"), F.count("*")).first()
+    tree = suffix_tree_lm.learn_tree(training, counts, total, vocabulary, word_share=0, context_share=0, entry_share=0)
+    numbers = suffix_tree_lm.Numbers({int(w): i for i, w in enumerate(tree.words)})
+    texts = {r.doc_id: r.text for r in split.collect()}
+    base = np.append(tree.base, 0.0)
+    for r in suffix_tree_lm.score_documents(split, depth=2, sent_share=sent_share).collect():
+        ids = numbers.of([(texts[r.doc_id] or "").encode()])[0]
+        assert r.score - r.base_score == pytest.approx((tree.score(ids) - base[ids]).sum(), abs=1e-6)
+
+
+def test_lm_tree_grows(spark):
+    """What occurs twice counts in a small corpus and in a large one, in contexts of three words too."""
+    rng = random.Random(6)
+    filler = [" ".join(f"w{rng.randrange(50)}" for _ in range(5000)) for _ in range(200)]
+    rows = [(k, False, t) for k, t in enumerate([*filler, "w1 w2 w3 alpha", "w1 w2 w3 alpha"])] + [(900, True, "w1 w2 w3 alpha"), (901, True, "w1 w2 w4 alpha")]
+    got = {r.doc_id: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")).collect()}
+    assert got[900].score - got[900].base_score > got[901].score - got[901].base_score + 1
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((6, 24))
