@@ -37,22 +37,24 @@ PROTECTED = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "score", "dropped", "chars", "links", "n_links")
+    __slots__ = ("tag", "up", "kids", "score", "dropped", "named", "chars", "links", "n_links")
 
-    def __init__(self, tag: str, up: Node | None, dropped: bool):
-        self.tag, self.up, self.kids, self.score, self.dropped = tag, up, [], 0.0, dropped
+    def __init__(self, tag: str, up: Node | None, dropped: bool, named: bool = False):
+        self.tag, self.up, self.kids, self.score, self.dropped, self.named = tag, up, [], 0.0, dropped, named
         self.chars = self.links = self.n_links = 0
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the tag, or a mark that it is hidden, makes an element furniture."""
     if tag in DROPPED:
         return True
     if tag == "header":
         return not in_article
-    if not attributes or tag in PROTECTED:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+    return bool(attributes) and tag not in PROTECTED and bool(_HIDDEN.search(attributes))
+
+
+def is_named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether a class, id or role names an element as furniture."""
     for m in _NAMES.finditer(attributes):
         names = m[1] or m[2] or m[3] or ""
         words = {w.lower() for w in _WORD.findall(names)} | set(re.split(r"[\s_-]+", names.lower()))
@@ -61,11 +63,8 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(html: str, by_name: bool = True) -> Node:
-    """The tree of a page; leaves of ``kids`` are strings. Elements left open end with their parents, as browsers do it.
-
-    Without ``by_name``, elements are furniture by their tag only.
-    """
+def parse(html: str) -> Node:
+    """The tree of a page; leaves of ``kids`` are strings. Elements left open end with their parents, as browsers do it."""
     root = here = Node("html", None, False)
     at, low = 0, None
     articles = 0
@@ -108,7 +107,7 @@ def parse(html: str, by_name: bool = True) -> Node:
         if tag in VOID:
             here.kids.append(" " if tag != "hr" else Node(tag, here, True))
             continue
-        node = Node(tag, here, here.dropped or is_furniture(tag, m[3] if by_name else "", articles > 0))
+        node = Node(tag, here, here.dropped or is_dropped(tag, m[3], articles > 0), is_named(tag, m[3], articles > 0))
         here.kids.append(node)
         if tag in RAW:
             low = low or html.lower()
@@ -120,9 +119,33 @@ def parse(html: str, by_name: bool = True) -> Node:
             articles += tag in ("article", "main")
     if at < len(html):
         here.kids.append(html[at:])
+    drop_named(root)
     return root
 
 
+def drop_named(root: Node) -> None:
+    """Drop what is furniture by its name, unless it holds most of the page's text.
+
+    That is the text of articles and mains that have no such name; without them that of paragraphs, without these all text.
+    """
+    order = [root]
+    for node in order:
+        order += [kid for kid in node.kids if isinstance(kid, Node) and not kid.dropped]
+    if not any(node.named for node in order):
+        return
+    # (characters in innermost articles, in paragraphs, in all) below each element
+    held: dict[Node, tuple[int, int, int]] = {}
+    for node in reversed(order):
+        kids = [held[kid] for kid in node.kids if isinstance(kid, Node) and not kid.dropped]
+        article, prose, every = (sum(k[i] for k in kids) for i in range(3))
+        every += sum(len(kid.strip()) for kid in node.kids if isinstance(kid, str))
+        held[node] = every if node.tag in ("article", "main") and not node.named and not article else article, every if node.tag == "p" else prose, every
+    kind = next((i for i in range(3) if held[root][i]), 2)
+    for node in order:
+        if node.up and node.up.dropped or node.named and node.tag not in PROTECTED and 2 * held[node][kind] <= held[root][kind]:
+            node.dropped = True
+
+
 def blocks(node: Node) -> Iterator[tuple[Node, str, int, int]]:
     """(innermost block element, text, characters of link text, links) of each block below ``node``, in page order."""
     held: list[str] = []
@@ -190,11 +213,7 @@ def main_text(html: str | None) -> str:
     root = parse(html or "")
     best = score(root)
     if best is None:
-        # A name may mark a box round the whole page; then tags alone decide, if they find a long text.
-        other = parse(html or "", by_name=False)
-        best = score(other)
-        if best is None or best.chars < 500:
-            return "\n".join(text for _, text, _, _ in blocks(root))
+        return "\n".join(text for _, text, _, _ in blocks(root))
     while best.tag in INLINE | {"p"} and best.up:
         best = best.up
     parts, least = [best], max(10, best.score * 0.2)

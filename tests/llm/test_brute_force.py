@@ -223,6 +223,17 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("notice", ["", "<div><p>A short note without a class, for all readers.</p></div>"])
+@pytest.mark.parametrize("size", [20, 60, 300])
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_names_round_the_page(box, size, notice):
+    """A name does not drop the article in a wrapper, whatever its length and what else is there; boxes inside go."""
+    prose = " ".join(["Some words,"] * size + ["end"])
+    comments = '<div class="comments"><article class="comment-body"><p>I disagree, strongly.</p></article></div>'
+    side = '<div class="sidebar"><p>Other things, to read</p></div>'
+    assert html_text.main_text(f'<div class="page has-sidebar"><{box}><p>{prose}</p></{box}>{side}{comments}</div>{notice}') == prose
+
+
 def test_pages(spark):
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
         assert r.n_chars == len(r.text) > 0
