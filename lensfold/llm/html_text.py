@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree of elements. Each paragraph gives points, for its length and its commas, less its share of
-link text, to the element that holds it, and fractions of them to that element's ancestors. The element with most points
-is the article; siblings with a fair part of its points, and long sibling paragraphs with few links, belong to it.
+link text, to the element that holds it, and fractions of them to that element's ancestors. If the element with most points
+is in an ``article`` or ``main``, all of that is the text but for furniture. Else the element is; siblings with a fair part
+of its points, and sibling headings, sections and paragraphs that are not mostly links, belong to it.
 """
 
 from __future__ import annotations
@@ -216,22 +217,29 @@ def main_text(html: str | None) -> str:
         return "\n".join(text for _, text, _, _ in blocks(root))
     while best.tag in INLINE | {"p"} and best.up:
         best = best.up
-    parts, least = [best], max(10, best.score * 0.2)
-    if best.up:
+    node = container = best
+    while node := node.up:
+        if node.tag in ("article", "main"):
+            container = node
+    marked = container.tag in ("article", "main")
+    parts, least = [container], max(10, container.score * 0.2)
+    if container.up and container.tag != "main":
         parts = []
-        for kid in best.up.kids:
+        for kid in container.up.kids:
             if isinstance(kid, str) or kid.dropped:
                 continue
             share = kid.links / max(1, kid.chars)
-            if kid is best or (kid.score >= least and share < 0.3) or (kid.tag == "p" and kid.chars > 80 and share < 0.25):
+            belongs = kid.tag in ("p", "section") or kid.tag in HEADINGS
+            if kid is container or (kid.score >= least and share < 0.3) or (belongs and share < 0.5):
                 parts.append(kid)
     for part in parts:
-        drop_menus(part)
+        if not (marked and part.tag in ("article", "main")):
+            drop_menus(part)
     return "\n".join(text for part in parts for _, text, _, _ in blocks(part))
 
 
 def drop_menus(node: Node) -> None:
-    """Leave out lists and boxes inside the article that are link text for the most part."""
+    """Leave out lists and boxes that are link text for the most part, where no ``article`` or ``main`` says what belongs to the text."""
     stack = [node]
     while stack:
         for kid in stack.pop().kids:

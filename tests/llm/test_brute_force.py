@@ -234,6 +234,15 @@ def test_names_round_the_page(box, size, notice):
     assert html_text.main_text(f'<div class="page has-sidebar"><{box}><p>{prose}</p></{box}>{side}{comments}</div>{notice}') == prose
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_whole_article(tag):
+    """Headings, short sections and lists of sources of an article stay beside its longest part; furniture in it goes."""
+    long = [f"Paragraph {k}, " + "of some length, with commas, " * 8 + "ends" for k in range(10)]
+    sources = [f"Source {k}" for k in range(4)]
+    html = f"<{tag}><h1>T</h1><section>{''.join(f'<p>{x}</p>' for x in long)}</section><section><p>Short.</p></section><p>So.</p><div class=share><p>Share</p></div><ul>{''.join(f'<li><a href=x>{x}</a></li>' for x in sources)}</ul></{tag}><footer>Foot</footer>"
+    assert html_text.main_text(html).split("\n") == ["T", *long, "Short.", "So.", *sources]
+
+
 def test_pages(spark):
     for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
         assert r.n_chars == len(r.text) > 0
