@@ -4,7 +4,8 @@ Paragraphs are of two kinds. A line of ``min_words`` words or more is one; its f
 tuned for recall at the similarity asked for, lines that collide are joined and verified by exact Jaccard, and verified
 links form classes by components. A passage inside longer lines is met by anchored windows: the least shingle hash of every ``anchor``
 consecutive shingles starts a window of 25 words, so equal passages of 25 + anchor - 1 words or more have a window in
-common wherever they stand. A window's only band is its whole text, so a collision is an equal window.
+common wherever they stand. A window's only band is its whole text, so a collision is an equal window; it is extended word
+by word in both directions to the ends of what the texts have in common.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ class Chunk:
     def __init__(self, texts: list[tuple[np.ndarray, list[int]]], min_words: int):
         self.n_words = np.array([len(h) for h, _ in texts], np.int64)
         self.base = np.cumsum(self.n_words) - self.n_words
-        words = np.concatenate([h for h, _ in texts]) if texts else np.empty(0, np.int64)
+        self.words = words = np.concatenate([h for h, _ in texts]) if texts else np.empty(0, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.n_words)
         self.shingles = shingle_hashes(words, SHINGLE) if len(words) >= SHINGLE else np.empty(0, np.uint64)
         self.within = self.doc[: len(self.shingles)] == self.doc[SHINGLE - 1 :] if len(words) >= SHINGLE else np.empty(0, bool)
@@ -178,23 +179,87 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
     return docs.mapInArrow(units, "kind byte, key long, doc_id long, tag int, at int, size int, line long")
 
 
+def key_bits(wanted: DataFrame, name: str) -> np.ndarray:
+    """A bit for the low bits of every key in a column."""
+    bit = F.col(name).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
+    rows = wanted.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    bloom = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    for bucket, bits in rows:
+        bloom[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return bloom
+
+
+def marked(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys whose bit is set."""
+    low = keys & ((1 << BLOOM_BITS) - 1)
+    return np.flatnonzero(bloom[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+
+
+def extensions(docs: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
+    """``doc_id, tag, first, end, kept_in``: what repeats left and right of the windows in ``wanted(key)``.
+
+    Every maximal repeat with a window in common has one at most ``anchor`` - 1 words from either end, so as many words
+    around each place of a window are compared. A place is extended as far as any place before it (by doc_id, tag,
+    position) goes on alike; of a repeat inside one document only what lies beyond the earlier place is taken.
+    """
+    most = anchor - 1
+    shared = docs.sparkSession.sparkContext.broadcast(key_bits(wanted, "key"))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for ids, tags, c in _chunks(batches, 1 << 62):  # no line is long: only windows are read
+            at, key = c.windows(anchor)
+            maybe = marked(bloom, key)
+            at, key = at[maybe], key[maybe]
+            known = np.array([i is not None for i in ids])[c.doc[at]]
+            at, key = at[known], key[known]
+            doc = c.doc[at]
+            words, place = c.words.astype(np.uint32), at - c.base[doc]
+            backward = words[::-1]
+            lefts, rights = np.minimum(place, most), np.minimum(c.n_words[doc] - place - WINDOW, most)
+            left = [backward[len(words) - a : len(words) - a + n].tobytes() for a, n in zip(at.tolist(), lefts.tolist(), strict=True)]
+            right = [words[a + WINDOW : a + WINDOW + n].tobytes() for a, n in zip(at.tolist(), rights.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(tags, pa.int32()).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "doc_id", "tag", "at", "left", "right"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, ({}, {})
+        for batch in batches:
+            out = []
+            for key, doc, tag, at, *sides in zip(*(column(batch, n).to_pylist() for n in ("key", "doc_id", "tag", "at", "left", "right")), strict=True):
+                if key != now:
+                    now, seen = key, ({}, {})
+                for side, (text, had) in enumerate(zip(sides, seen, strict=True)):
+                    n, found = 0, None
+                    while 4 * n < len(text) and (place := had.get(text[: 4 * n + 4])):
+                        n, found = n + 1, place
+                    for k in range(4 * n + 4, len(text) + 1, 4):
+                        had[text[:k]] = doc, tag, at
+                    if found is None or (found[0] == doc and found[1] != tag):
+                        continue
+                    first, end = (at + WINDOW, at + WINDOW + n) if side else (at - n, at)
+                    if found[0] == doc:
+                        first = max(first, found[2] + WINDOW + n * side)
+                    if first < end:
+                        out.append((doc, tag, first, end, found[0]))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "tag", "first", "end", "kept_in"])
+
+    found = save(docs.mapInArrow(around, "key long, doc_id long, tag int, at int, left binary, right binary"))
+    dealt = found.join(wanted, "key", "left_semi").repartition("key").sortWithinPartitions("key", "doc_id", "tag", "at")
+    return dealt.mapInArrow(extend, "doc_id long, tag int, first int, end int, kept_in long")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """``line, shingles``: the distinct shingle hashes of the lines in ``wanted(line)``, taken from ``docs`` once more.
 
     A Bloom filter of fixed size keeps most other lines from leaving the scan; a join removes its false positives.
     """
-    bit = F.col("line").bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
-    rows = wanted.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()
-    bloom = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for bucket, bits in rows:
-        bloom[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    shared = docs.sparkSession.sparkContext.broadcast(key_bits(wanted, "line"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for _, _, c in _chunks(batches, min_words):
-            low = c.line_hash & ((1 << BLOOM_BITS) - 1)
-            maybe = np.flatnonzero(bloom[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            maybe = marked(bloom, c.line_hash)
             _, once = np.unique(c.line_hash[maybe], return_index=True)
             lines = maybe[once]
             own = [np.unique(c.shingles[c.line_at[i] : c.line_at[i] + c.line_size[i] - SHINGLE + 1]).view(np.int64) for i in lines]
@@ -272,7 +337,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, similarity: float = 0.8
     """(documents, spans) of ``docs(doc_id, tag, text)``.
 
     Spans are ``doc_id, tag, first, end, kept_in``: word positions of every occurrence but the first of each class of lines
-    (by doc_id, tag, position) and of each window (by doc_id, then position), and the document that holds the first.
+    (by doc_id, tag, position) and of each window (by doc_id, then position), extended to what is alike around it, and the
+    document that holds the first.
     """
     units = save(paragraphs(docs, min_words, similarity, anchor))
     classes = line_classes(units, docs, min_words, similarity)
@@ -287,7 +353,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, similarity: float = 0.8
     shared = save(shared)
     of_windows = windows.join(shared, "key").filter("doc_id <> kept_in").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), "kept_in")
     again = units.filter(F.col("kind") == AGAIN).select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("doc_id").alias("kept_in"))
-    spans = of_lines.unionByName(of_windows).unionByName(again)
+    met = save(shared.select("key").union(units.filter(F.col("kind") == AGAIN).select("key")).distinct())
+    spans = of_lines.unionByName(of_windows).unionByName(again).unionByName(extensions(docs, met, anchor))
     return units.filter(F.col("kind") == DOC).select("doc_id", "tag", F.col("size").cast("long").alias("n_words")), spans
 
 

@@ -305,6 +305,23 @@ def test_substrings(spark):
         assert before[i].split("\n")[1] == cleaned[i].split("\n")[1]
 
 
+def test_substrings_go_to_their_ends(spark):
+    """Passages inside longer lines are removed from their first word to their last, across documents and inside one."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        n = rng.randrange(44, 150)
+        passage, a, b = prose(n), rng.randrange(5, 60), rng.randrange(5, 60)
+        rows += [(3 * k, " ".join(prose(a) + passage + prose(b))), (3 * k + 1, " ".join(prose(b) + passage + prose(a)))]
+        inside = prose(n)
+        rows.append((3 * k + 2, " ".join(prose(a) + inside + prose(b) + inside + prose(9))))
+        want |= {3 * k: [], 3 * k + 1: [(b, b + n)], 3 * k + 2: [(a + n + b, a + 2 * n + b)]}
+    got = substring_dedup.substring_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in got} == want
+    assert all(r.kept_in == ([] if r.doc_id % 3 == 0 else [r.doc_id - (r.doc_id % 3 == 1)]) for r in got)
+
+
 def test_substrings_touch_every_repeat(docs, texts):
     spans = {r.doc_id: r.spans for r in substring_dedup.substring_report(docs).collect()}
     seen, repeats = {}, 0
