@@ -158,8 +158,9 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
                 ok = known[doc]
                 yield rows_of(LINE, c.line_hash[ok], doc[ok], (c.line_at - c.base[doc])[ok], c.line_size[ok])
                 keys = c.bands(n_bands, rows, sums, factors)
-                _, once = np.unique(c.line_hash, return_index=True)
-                once = once[ok[once]]
+                own = np.flatnonzero(ok)
+                _, once = np.unique(c.line_hash[own], return_index=True)
+                once = own[once]
                 yield rows_of(BAND, keys[once].ravel(), None, None, 0, np.repeat(c.line_hash[once], n_bands))
             at, key = c.windows(anchor)
             ok = known[c.doc[at]]

@@ -322,6 +322,16 @@ def test_substrings_go_to_their_ends(spark):
     assert all(r.kept_in == ([] if r.doc_id % 3 == 0 else [r.doc_id - (r.doc_id % 3 == 1)]) for r in got)
 
 
+def test_bands_of_lines_that_a_row_without_id_has_first(spark):
+    line = [f"w{k}" for k in range(60)]
+    near = [*line[:30], "changed", *line[31:]]
+    docs = spark.createDataFrame([(None, " ".join(line)), (1, " ".join(line)), (2, " ".join(near))], "doc_id long, text string").coalesce(1)
+    tagged = docs.select("doc_id", F.hash("text").alias("tag"), "text")
+    units = save(substring_dedup.paragraphs(tagged, 25, 0.8, 20))
+    n_bands = substring_dedup.choose_bands(0.8)[0]
+    assert units.filter(F.col("kind") == substring_dedup.BAND).count() == 2 * n_bands
+
+
 def test_substrings_touch_every_repeat(docs, texts):
     spans = {r.doc_id: r.spans for r in substring_dedup.substring_report(docs).collect()}
     seen, repeats = {}, 0
