@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +153,81 @@ class WordHashes(dict):
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out, done = np.ones(max(1, n), np.uint64), 1
+    while done < n:
+        take = min(done, n - done)
+        out[done : done + take] = out[:take] * np.full(1, pow(base, done, 1 << 64), np.uint64)
+        done += take
+    return out
+
+
+_BLOCK, _STEP = 1 << 15, 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_UP, _DOWN = _powers(_STEP, _BLOCK), _powers(_BACK, _BLOCK)
+_LETTER = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER[65:91] = _LETTER[97:123]
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+class Words:
+    """The words of some texts side by side: 64-bit ``hashes``, byte places ``starts`` and ``ends`` in ``data``, and how many each text has.
+
+    ``offsets`` are where texts begin and end in ``data``; nulls are empty. A hash is a polynomial in the word's bytes, taken
+    as the difference of two prefix sums, so no word is handled on its own.
+    """
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        if texts.null_count:
+            texts = texts.fill_null(b"")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        inside, edge = ~_WHITE[self.data], np.zeros(len(self.data) + 1, bool)
+        edge[self.offsets] = True
+        before, after = np.zeros_like(inside), np.zeros_like(inside)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        self.starts = np.flatnonzero(inside & (~before | edge[:-1]))
+        self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        self.counts = np.diff(np.searchsorted(self.starts, self.offsets))
+        self.hashes = self._hashed()
+
+    def _hashed(self) -> np.ndarray:
+        low, high, n = np.empty(len(self.starts), np.uint64), np.empty(len(self.starts), np.uint64), -(-len(self.data) // _BLOCK)
+        cuts = np.arange(n + 1) * _BLOCK
+        a, b = np.searchsorted(self.starts, cuts), np.searchsorted(self.ends, cuts, side="right")
+        up, down = _powers(pow(_STEP, _BLOCK, 1 << 64), n), _powers(pow(_BACK, _BLOCK, 1 << 64), n)
+        sums = np.zeros(_BLOCK + 1, np.uint64)
+        for k in range(n):
+            at = k * _BLOCK
+            terms = _LETTER[self.data[at : at + _BLOCK]]
+            terms *= _UP[: len(terms)]
+            terms *= up[k]
+            np.cumsum(terms, out=terms)
+            sums[1 : len(terms) + 1] = terms + sums[:1]
+            low[a[k] : a[k + 1]] = sums[self.starts[a[k] : a[k + 1]] - at]
+            high[b[k] : b[k + 1]] = sums[self.ends[b[k] : b[k + 1]] - at]
+            sums[0] = sums[len(terms)]
+        return mixed((high - low) * _DOWN[self.starts % _BLOCK] * down[self.starts // _BLOCK]).view(np.int64)
+
+    def lines(self) -> np.ndarray:
+        """A number for the line of each word, rising over all texts."""
+        return np.searchsorted(np.flatnonzero(self.data == 10), self.starts) + np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def byte_slices(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in column ``name`` have about ``size`` bytes together, or that have one text."""
+    lengths = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(lengths, dtype=np.int64), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply) over uint64."""
     x = x ^ (x >> np.uint64(33))

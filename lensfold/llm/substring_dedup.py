@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import WordHashes, blobs, column, grouped, mixed, save, shingle_hashes
+from lensfold.llm.common import Words, blobs, byte_slices, column, grouped, mixed, save, shingle_hashes
 from lensfold.llm.components import connected_components, local_labels
 
 SHINGLE, WINDOW = 5, 25
 DOC, LINE, BAND, SPAN, AGAIN = 0, 1, 2, 3, 4
 BLOOM_BITS = 24
-_SPACE, _WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -41,26 +41,6 @@ def choose_bands(similarity: float, recall: float = 0.995, most: int = 48) -> tu
     return best
 
 
-def read_words(blob: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, list[int]]:
-    """Hashes of a text's words and the number of words in each line; the text is split in blocks of 4 MB."""
-    parts, sizes, start = [], [0], 0
-    blob = blob or b""
-    while start < len(blob):
-        end = len(blob)
-        if end - start > 1 << 22 and (cut := _SPACE.search(blob, start + (1 << 22))):
-            end = cut.end()
-        words: list[bytes] = []
-        for k, line in enumerate(blob[start:end].lower().split(b"\n")):
-            own = line.split()
-            if k:
-                sizes.append(0)
-            sizes[-1] += len(own)
-            words += own
-        parts.append(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-        start = end
-    return np.concatenate(parts) if parts else np.empty(0, np.int64), sizes
-
-
 def anchors(shingles: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """Positions of the least (leftmost) of every ``width`` consecutive shingles of one document."""
     if len(shingles) < width:
@@ -78,15 +58,17 @@ def anchors(shingles: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """Words, lines and shingles of some documents, side by side in arrays."""
 
-    def __init__(self, texts: list[tuple[np.ndarray, list[int]]], min_words: int):
-        self.n_words = np.array([len(h) for h, _ in texts], np.int64)
+    def __init__(self, texts: pa.Array, min_words: int):
+        read = Words(texts)
+        self.n_words = read.counts
         self.base = np.cumsum(self.n_words) - self.n_words
-        self.words = words = np.concatenate([h for h, _ in texts]) if texts else np.empty(0, np.int64)
+        self.words = words = read.hashes
         self.doc = np.repeat(np.arange(len(texts)), self.n_words)
         self.shingles = shingle_hashes(words, SHINGLE) if len(words) >= SHINGLE else np.empty(0, np.uint64)
         self.within = self.doc[: len(self.shingles)] == self.doc[SHINGLE - 1 :] if len(words) >= SHINGLE else np.empty(0, bool)
-        size = np.array([s for _, sizes in texts for s in sizes], np.int64)
-        first = np.cumsum(size) - size
+        line = read.lines()
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(line)])
         long = size >= min_words
         self.line_at, self.line_size = first[long], size[long]
         if len(self.line_at):
@@ -123,17 +105,10 @@ class Chunk:
         return keys.view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], min_words: int, words: int = 150_000) -> Iterator[tuple[list, list, Chunk]]:
-    hashes = WordHashes()
+def _chunks(batches: Iterator[pa.RecordBatch], min_words: int, size: int = 1 << 20) -> Iterator[tuple[pa.Array, pa.Array, Chunk]]:
     for batch in batches:
-        ids, tags = column(batch, "doc_id").to_pylist(), column(batch, "tag").to_pylist()
-        held, start, total = [], 0, 0
-        for i, blob in enumerate(blobs(batch, "text")):
-            held.append(read_words(blob, hashes))
-            total += len(held[-1][0])
-            if total >= words or i + 1 == len(ids):
-                yield ids[start : i + 1], tags[start : i + 1], Chunk(held, min_words)
-                held, start, total = [], i + 1, 0
+        for part in byte_slices(batch, "text", size):
+            yield column(part, "doc_id"), column(part, "tag"), Chunk(column(part, "text"), min_words)
 
 
 def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int) -> DataFrame:
@@ -144,7 +119,7 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, c in _chunks(batches, min_words):
-            doc_id, tag = pa.array(ids, pa.int64()), pa.array(tags, pa.int32())
+            doc_id, tag = ids, tags
 
             def rows_of(kind: int, key: np.ndarray, doc: np.ndarray | None, at: np.ndarray | None, size: np.ndarray | int, other: np.ndarray | None = None) -> pa.RecordBatch:
                 n = len(key)
@@ -152,7 +127,7 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
                 return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(key), *own, pa.array(at.astype(np.int32)) if at is not None else pa.nulls(n, pa.int32()), pa.array(np.broadcast_to(np.asarray(size, np.int32), n)), pa.array(other) if other is not None else pa.nulls(n, pa.int64())], ["kind", "key", "doc_id", "tag", "at", "size", "line"])
 
             yield rows_of(DOC, np.zeros(len(ids), np.int64), np.arange(len(ids)), None, c.n_words)
-            known = np.array([i is not None for i in ids])
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
             if len(c.line_at):
                 doc = c.doc[c.line_at]
                 ok = known[doc]
@@ -212,7 +187,7 @@ def extensions(docs: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
             at, key = c.windows(anchor)
             maybe = marked(bloom, key)
             at, key = at[maybe], key[maybe]
-            known = np.array([i is not None for i in ids])[c.doc[at]]
+            known = ids.is_valid().to_numpy(zero_copy_only=False)[c.doc[at]]
             at, key = at[known], key[known]
             doc = c.doc[at]
             words, place = c.words.astype(np.uint32), at - c.base[doc]
@@ -220,7 +195,7 @@ def extensions(docs: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
             lefts, rights = np.minimum(place, most), np.minimum(c.n_words[doc] - place - WINDOW, most)
             left = [backward[len(words) - a : len(words) - a + n].tobytes() for a, n in zip(at.tolist(), lefts.tolist(), strict=True)]
             right = [words[a + WINDOW : a + WINDOW + n].tobytes() for a, n in zip(at.tolist(), rights.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(tags, pa.int32()).take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "doc_id", "tag", "at", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(doc)), tags.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "doc_id", "tag", "at", "left", "right"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, ({}, {})
