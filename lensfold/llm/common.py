@@ -6,6 +6,7 @@ Word rule used by several operators: maximal runs of bytes outside space and ``\
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import tempfile
@@ -58,9 +59,27 @@ def save(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
     return out
 
 
+def save_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like :func:`save`, as a table bucketed by ``key``: such tables are joined and grouped by it without a shuffle."""
+    spark, name = df.sparkSession, f"lensfold_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lensfold-tables/{name}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._lensfold_path, out._lensfold_table = path, name
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of finished shuffles removed: Spark does so when the driver collects what refers to them, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`save`, once nothing will read it again."""
+    """Delete a table written by :func:`save` or :func:`save_bucketed`, once nothing will read it again."""
     spark = df.sparkSession
+    if table := getattr(df, "_lensfold_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._lensfold_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

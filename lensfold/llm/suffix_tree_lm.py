@@ -1,452 +1,351 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts of up to ``depth`` words are tree nodes. A context is a candidate if it occurs twice in the training texts, and it
-is retained if its next-word distribution diverges enough from that of its suffix (its parent). Distributions are smoothed
-by absolute discounting: a context keeps the counts of the next words that follow it twice, less a discount, and passes the
-rest of its mass to its parent, down to the add-0.1 unigram distribution. A word is scored in the state of the longest
-retained suffix of what precedes it.
-
-Counts, not shares of the corpus, decide what the tree holds, so it grows with the input. It is a table, one value a gram
-(:func:`gram_values`), joined to the documents that have the gram. Only the most frequent words and grams are sent to
-tasks, to keep them out of the join. :func:`learn_tree` is the same tree in memory, for corpora whose tree fits.
+A tree node is a context of up to ``depth`` words that occurs twice in the training texts; it is retained if the divergence
+of its next-word distribution from its suffix's (its parent's) reaches a threshold. Distributions are smoothed by absolute
+discounting: a context keeps the counts of the next words that follow it twice, less a discount, and passes the rest of its
+mass to its parent, down to the add-0.1 unigram distribution. A word is scored in the state of the longest retained suffix
+of what precedes it.
+
+The tree is never in one place. Documents are read into chunks of about a million tokens, one row each. In each step a
+chunk asks for what it needs of the corpus, as sorted lists of 64-bit codes, one list for each range of codes: the counts of
+its grams, then the sums over its contexts. A task has all lists of a range, adds up the chunks' parts and answers each list
+in its order. A gram is asked for only where its context and its suffix occur twice, so a deeper level asks less. Lists
+hold a code once, so however frequent a word is, no task gets more than one entry a chunk for it.
+
+Chunks and answers are bucketed by chunk and joined without a shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
-from itertools import compress
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Counter64, Shared, WordHashes, blobs, column, discard, id_remainder, mixed, save, word_blocks
+from lensfold.llm.common import Words, byte_slices, column, discard, free_shuffles, grouped, id_remainder, mixed, save, save_bucketed
 
 ADD = 0.1
 DISCOUNT = 0.5
-#: A word or gram of this share of all tokens is sent to every task instead of being joined: 1 / share of each length at most.
-SENT_SHARE = 2e-6
-#: Hash of the end of a text. No word contains a space.
-END = xxhash.xxh64_intdigest(b" ", 42)
-END -= (END >> 63) << 64
-
-
-def _signed(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class Numbers(dict):
-    """Word bytes -> number of a frequent word, or -1; and the hash of each word that is not frequent in ``rare``."""
-
-    def __init__(self, number: dict[int, int], limit: int = 300_000):
-        super().__init__()
-        self.number, self.limit, self.rare = number, limit, {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.rare.clear()
-        h = _signed(word)
-        self[word] = n = self.number.get(h, -1)
-        if n < 0:
-            self.rare[word] = h
-        return n
-
-    def hashes(self, words: list[bytes]) -> list[int]:
-        try:
-            return [self.rare[w] for w in words]
-        except KeyError:  # the store was emptied on the way
-            return [_signed(w) for w in words]
-
-    def of(self, texts: list[bytes | None], want_rare: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Numbers of all tokens of some texts side by side, each text as a stop (-1), its words and its end; the places of the
-        stops; and, if wanted, the hashes of each text's tokens that are not frequent."""
-        parts, starts, rare, at = [], [], [], 0
-        end, stop = self.number.get(END, -1), np.array([-1])
-        last = np.array([end])
-        for blob in texts:
-            starts.append(at)
-            own, size = [] if end >= 0 else [END], 0
-            parts.append(stop)
-            for words in word_blocks(blob):
-                ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-                parts.append(ids)
-                size += len(words)
-                if want_rare:
-                    own += self.hashes(list(compress(words, (ids < 0).tolist())))
-            parts.append(last)
-            at += size + 2
-            if want_rare:
-                rare.append(own)
-        return np.concatenate(parts), np.array(starts), rare
-
-
-def text_groups(texts: list[bytes | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes together."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text or b"")
-        if total >= size or i + 1 == len(texts):
-            yield start, i + 1
-            start, total = i + 1, 0
-
-
-@dataclass
-class Tree:
-    """Frequent words and retained contexts, in sorted arrays.
-
-    ``words``: hashes of frequent words, ``base``: their log10 unigram probabilities. For each depth, ``contexts`` are codes
-    of contexts (with ``total`` and the log10 of the mass passed to the parent) and ``entries`` codes of (context, next).
-    """
-
-    words: np.ndarray
-    base: np.ndarray
-    contexts: list[np.ndarray] = field(default_factory=list)
-    passed: list[np.ndarray] = field(default_factory=list)
-    entries: list[np.ndarray] = field(default_factory=list)
-    kept: list[np.ndarray] = field(default_factory=list)
-
-    def codes(self, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: the place of its context of that depth among ``contexts``, or -1; and its code with the token.
-
-        Tokens less than ``depth`` behind a stop have no such context.
-        """
-        n = len(ids)
-        place = np.full(n, -1, np.int64)
-        if n > depth and len(self.contexts[depth - 1]):
-            code = ids[:-1] if depth == 1 else ids[:-2] * len(self.words) + ids[1:-1]
-            known = ids[:-1] >= 0 if depth == 1 else (ids[:-2] >= 0) & (ids[1:-1] >= 0)
-            table = self.contexts[depth - 1]
-            at = np.minimum(np.searchsorted(table, code), len(table) - 1)
-            place[depth:] = np.where(known & (table[at] == code), at, -1)
-        return place, place * len(self.words) + ids
-
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, without the unigram part of tokens that are not frequent; 0 at stops."""
-        logs = np.where(ids >= 0, self.base[ids], 0.0)
-        for depth in range(1, len(self.contexts) + 1):
-            place, code = self.codes(ids, depth)
-            has = np.flatnonzero(place >= 0)
-            logs[has] = self.mixed(depth, place[has], code[has], ids[has], logs[has])
-        return logs
-
-    def mixed(self, depth: int, place: np.ndarray, code: np.ndarray, ids: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Discounted probability plus the passed mass times the parent's; for words that are not frequent only the latter."""
-        below = self.passed[depth - 1][place] + parent
-        entries = self.entries[depth - 1]
-        if not len(entries):
-            return below
-        at = np.minimum(np.searchsorted(entries, code), len(entries) - 1)
-        has = (place >= 0) & (ids >= 0) & (entries[at] == code)
-        return np.where(has, np.log10(np.where(has, self.kept[depth - 1][at], 1.0) + 10.0**below), below)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counter, ends = WordHashes(), Counter64(), 0
-
-    def rows() -> pa.RecordBatch:
-        keys, counts = counter.flush()
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
-
-    for batch in batches:
-        for blob in blobs(batch, "text"):
-            for words in word_blocks(blob):
-                counter.add(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-            ends += 1
-            if counter.full():
-                yield rows()
-    yield rows()
-    if ends:
-        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], ["word", "n"])
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word, n``: the 64-bit hash and the count of every distinct token of ``training(text)``."""
-    return training.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _next_counts(training: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """``code, n``: counts of (candidate context, frequent next word)."""
-    shared = Shared(training.sparkSession, tree)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counter = shared.value, Counter64()
-        numbers = Numbers({int(w): i for i, w in enumerate(tree.words)})
-
-        def rows() -> pa.RecordBatch:
-            keys, counts = counter.flush()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["code", "n"])
+DIVERGENCE = 0.02
+#: Code of the end of a text; words have other codes but for a chance of 2 ** -64.
+END = np.uint64(xxhash.xxh64_intdigest(b" ", 42))
+CHUNK_TOKENS = 1 << 20
+GRAM, CONTEXT = 0, 1
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, as many as the largest needs."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted codes as gaps. A gap that its width can't hold is preceded by as many full values as it takes."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys, prepend=keys[:1])
+    width = min(8, max(1, (2 * int(gaps.mean())).bit_length() // 8 + 1))
+    if width < 8:
+        top = np.uint64((1 << 8 * width) - 1)
+        full = gaps // top
+        if full.any():
+            out = np.full(len(gaps) + int(full.sum()), top, np.uint64)
+            out[np.arange(len(gaps)) + np.cumsum(full).astype(np.int64)] = gaps % top
+            gaps = out
+    return bytes([width]) + keys[:1].tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.empty(0, np.uint64)
+    width, first = blob[0], np.frombuffer(blob, "<u8", 1, 1)
+    planes = np.frombuffer(blob, np.uint8, offset=9).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
+    gaps = gaps.view("<u8").ravel()
+    keys = first + np.cumsum(gaps, dtype=np.uint64)
+    return keys if width == 8 else keys[gaps != (1 << 8 * width) - 1]
+
+
+def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them. Keys have ``bits`` bits; if a key and its position fit
+    in 64 bits they are sorted as one number, which is several times faster than an indirect sort."""
+    n = len(keys)
+    low = max(1, (n - 1).bit_length()) if n else 1
+    if bits + low <= 64:
+        both = np.sort((keys << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+        order, keys = (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[new], place
+
+
+CHUNKS = "chunk long, n_tokens long, n_train long, doc_id {id}, held_out array<boolean>, sizes array<int>, words binary, codes binary"
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """A row for about ``CHUNK_TOKENS`` tokens of whole texts of ``docs(doc_id, held_out, text)``: their ids and sizes, the
+    distinct words' hashes in order, and each token as a place among them. Each text ends in an end."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, total = TaskContext.get().partitionId() << 32, [], 0
+
+        def row() -> pa.RecordBatch:
+            ids, out, sizes, tokens = (list(x) for x in zip(*held, strict=True))
+            ids, out, sizes = pa.concat_arrays(ids), pa.concat_arrays(out), np.concatenate(sizes)
+            words, codes = ranked(np.concatenate(tokens), 64)
+            learnt = int(sizes[~out.to_numpy(zero_copy_only=False)].sum())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, out, pa.array(sizes, pa.int32()))]
+            values = [pa.array([x], t) for x, t in ((number, pa.int64()), (int(sizes.sum()), pa.int64()), (learnt, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*values, *lists, pa.array([packed_keys(words)], pa.binary()), pa.array([packed(codes)], pa.binary())], ["chunk", "n_tokens", "n_train", "doc_id", "held_out", "sizes", "words", "codes"])
 
         for batch in batches:
-            texts = blobs(batch, "text")
-            for lo, hi in text_groups(texts):
-                ids, _, _ = numbers.of(texts[lo:hi])
-                place, code = tree.codes(ids, depth)
-                counter.add(code[(place >= 0) & (ids >= 0)])
-                if counter.full():
-                    yield rows()
-        yield rows()
+            for part in byte_slices(batch, "text", 1 << 20):
+                read = Words(column(part, "text"))
+                sizes = read.counts + 1
+                tokens, ends = np.empty(int(sizes.sum()), np.uint64), np.zeros(int(sizes.sum()), bool)
+                ends[np.cumsum(sizes) - 1] = True
+                tokens[ends], tokens[~ends] = END, read.hashes.view(np.uint64)
+                held.append((column(part, "doc_id"), column(part, "held_out"), sizes, tokens))
+                total += len(tokens)
+                if total >= CHUNK_TOKENS:
+                    yield row()
+                    number, held, total = number + 1, [], 0
+        if held:
+            yield row()
 
-    return training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(cut, CHUNKS.format(id=f"array<{docs.schema['doc_id'].dataType.simpleString()}>"))
 
 
-def learn_tree(training: DataFrame, counts: DataFrame, total: int, vocabulary: int, word_share: float = 4e-7, context_share: float = 5e-5, entry_share: float = 1e-6, divergence: float = 0.02, depth: int = 2) -> Tree:
-    """The suffix tree of ``training(text)``.
+@dataclass(frozen=True)
+class Model:
+    """What all chunks know: learnt tokens, distinct learnt tokens (after the first step), bits of gram codes, parts, settings."""
 
-    Frequent words have ``word_share`` of all tokens, candidate contexts ``context_share``, kept next words ``entry_share``
-    (and two occurrences at least). So there are at most 1 / share of each: 2.5 million words, 20,000 contexts and a
-    million entries a depth, which bounds what reaches the driver and the tasks. A candidate is retained if the relative
-    entropy of its smoothed distribution to its parent's is ``divergence`` nats or more.
-    """
-    rows = counts.filter(F.col("n") >= max(2.0, word_share * total)).orderBy("word").toArrow()
-    words, n = rows["word"].to_numpy(), rows["n"].to_numpy()
-    tree = Tree(words, np.log10((n + ADD) / (total + ADD * (vocabulary + 1))))
-    parents = np.flatnonzero(n >= max(2.0, context_share * total))
-    candidates, totals = parents.astype(np.int64), n[parents].astype(float)
-    size = max(1, len(words))
-    for level in range(1, depth + 1):
-        # The end of a text is no context: nothing follows it.
-        not_end = words[candidates % size] != END if len(words) else np.zeros(0, bool)
-        candidates, totals = candidates[not_end], totals[not_end]
-        tree.contexts.append(candidates)
-        tree.passed.append(np.zeros(len(candidates)))
-        tree.entries.append(np.empty(0, np.int64))
-        tree.kept.append(np.empty(0))
-        if not len(candidates):
-            continue
-        found = _next_counts(training, tree, level).filter(F.col("n") >= max(2.0, entry_share * total)).orderBy("code").toArrow()
-        code, seen = found["code"].to_numpy(), found["n"].to_numpy().astype(float)
-        place, following = code // size, code % size
-        kept = (seen - DISCOUNT) / totals[place]
-        left = np.maximum(1 - np.bincount(place, kept, len(candidates)), 1e-12)
-        tree.passed[-1], tree.entries[-1], tree.kept[-1] = np.log10(left), code, kept
-        # What the parent gives to the same next words.
-        last = candidates[place] % size
-        parent = tree.base[following]
-        for below in range(1, level):
-            at = np.minimum(np.searchsorted(tree.contexts[below - 1], last), max(0, len(tree.contexts[below - 1]) - 1))
-            ok = (tree.contexts[below - 1][at] == last) if len(tree.contexts[below - 1]) else np.zeros(len(last), bool)
-            parent = np.where(ok, tree.mixed(below, np.where(ok, at, -1), np.where(ok, at, 0) * size + following, following, parent), parent)
-        own = tree.mixed(level, place, code, following, parent)
-        # Next words that are not kept differ from the parent by the passed mass alone.
-        rest = np.maximum(1 - np.bincount(place, 10.0**own, len(candidates)), 0)
-        gain = np.bincount(place, 10.0**own * (own - parent), len(candidates)) * np.log(10) + rest * tree.passed[-1] * np.log(10)
-        stay = gain >= divergence
-        renumber = np.cumsum(stay) - 1
-        held = stay[place]
-        # Longer candidates come from all frequent contexts of this level, retained or not.
-        longer = (seen >= context_share * total) & (following >= 0)
-        longer_codes, longer_totals = candidates[place[longer]] * size + following[longer], seen[longer]
-        tree.contexts[-1], tree.passed[-1] = candidates[stay], tree.passed[-1][stay]
-        tree.entries[-1], tree.kept[-1] = renumber[place[held]] * size + following[held], kept[held]
-        if level < depth:
-            order = np.argsort(longer_codes)
-            candidates, totals = longer_codes[order], longer_totals[order]
-    return tree
-
-
-def joined_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The key of a gram from those of its context and its suffix."""
-    return mixed(mixed(context.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ suffix.view(np.uint64)).view(np.int64)
-
-
-def grams(tokens: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, keys of contexts, keys of suffixes, places of last tokens) of all grams of 2 to ``depth`` + 1 tokens of texts that begin at ``starts``."""
-    place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
-    keys = tokens
-    for k in range(1, depth + 1):
-        longer = np.zeros(len(tokens), np.int64)
-        longer[1:] = joined_key(keys[:-1], keys[1:])
-        at = np.flatnonzero(place >= k)
-        yield longer[at], keys[at - 1], keys[at], at
-        keys = longer
-
-
-def token_hashes(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and the end of each text, side by side, and where each text begins."""
-    parts, sizes, end = [], [], np.array([END])
-    for blob in texts:
-        own = hashes.of(blob)
-        parts += [own, end]
-        sizes.append(len(own) + 1)
-    return np.concatenate(parts), np.cumsum([0, *sizes[:-1]])
-
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for the low bits of every ``key``; eight bits a key, between 128 KB and 32 MB."""
-    size = min(28, max(20, (8 * keys.count()).bit_length()))
-    bit = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
-    rows = keys.groupBy(F.shiftright(bit, 15).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
-    bloom = np.zeros((1 << size) // 8, np.uint8)
-    for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"], strict=True):
-        bloom[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bits.as_py(), np.uint8)
-    return bloom
-
-
-def marked(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether a key's bit is set: true for all keys of the filter, and for a few others."""
-    low = keys & (8 * len(bloom) - 1)
-    return bloom[low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0
-
-
-def _gram_counts(training: DataFrame, known: DataFrame, low: int, depth: int) -> DataFrame:
-    """``key, level, context, suffix, n`` of the grams of ``low`` + 1 to ``depth`` + 1 tokens that occur twice and consist of
-    grams of ``low`` tokens in ``known(key)``. A gram is told by its context and its suffix."""
-    shared = Shared(training.sparkSession, key_filter(known))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, hashes = shared.value, WordHashes()
-        for batch in batches:
-            texts = blobs(batch, "text")
-            for lo, hi in text_groups(texts, 8 << 20):
-                tokens, starts = token_hashes(texts[lo:hi], hashes)
-                ok = marked(bloom, tokens) if low == 1 else None
-                for level, (key, context, suffix, at) in enumerate(grams(tokens, starts, depth), 1):
-                    if level < low:
-                        if level == low - 1:
-                            ok = np.zeros(len(tokens), bool)
-                            ok[at] = marked(bloom, key)
-                        continue
-                    # All shorter grams of a gram occur as often as it does.
-                    own = ok[at] & ok[at - 1]
-                    ok = np.zeros(len(tokens), bool)
-                    ok[at] = own
-                    own = np.flatnonzero(own)
-                    _, first, n = np.unique(key[own], return_index=True, return_counts=True)
-                    first = own[first]
-                    for k in range(0, len(first), 100_000):
-                        part = first[k : k + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(part), level, np.int8), context[part], suffix[part], n[k : k + 100_000])], ["level", "context", "suffix", "n"])
-
-    found = training.select("text").mapInArrow(count, "level byte, context long, suffix long, n long")
-    found = found.groupBy("level", "context", "suffix").agg(F.sum("n").alias("n")).filter("n > 1")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = joined_key(column(batch, "context").to_numpy(), column(batch, "suffix").to_numpy())
-            yield batch.append_column("key", pa.array(keys))
+    total: int
+    vocabulary: int
+    bits: int
+    parts: int
+    depth: int
+    divergence: float
 
-    return found.mapInArrow(name, "level byte, context long, suffix long, n long, key long")
 
+Ask = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
 
-def gram_counts(training: DataFrame, counts: DataFrame, depth: int) -> list[DataFrame]:
-    """``key, level, context, suffix, n`` of every gram of 2 to ``depth`` + 1 tokens that occurs twice in ``training(text)``: pairs, and longer ones."""
-    pairs = save(_gram_counts(training, counts.filter("n > 1").select(F.col("word").alias("key")), 1, 1))
-    return [pairs, save(_gram_counts(training, pairs, 2, depth))] if depth > 1 else [pairs]
 
+def walk(row: dict, answers: dict[tuple[int, int], np.ndarray], model: Model) -> tuple[list[Ask], np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """Go through the levels of a chunk as far as ``answers`` reach.
+
+    Returns what it asks next, (level, kind, distinct codes, counts, sums), and, if the words' counts are known, the tokens'
+    counts and unigram probabilities, and their probabilities in the states reached.
+    """
+    words, codes, sizes = unpacked_keys(row["words"]), unpacked(row["codes"]).astype(np.int64), np.asarray(row["sizes"], np.int64)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    train = np.repeat(~np.asarray(row["held_out"], bool), sizes)
+    none, asks = np.empty(0), []
+    known = (0, GRAM) in answers
+    if known:
+        n = first = answers[0, GRAM][codes].astype(np.int64)
+        p = base = (n + ADD) / (model.total + ADD * (model.vocabulary + 1))
+    else:
+        asks.append((0, GRAM, words, np.bincount(codes, train, len(words)), none))
+        n = first = p = base = None
+    full, distinct, at = words[codes], words, codes
+    for level in range(1, model.depth + 1):
+        inside = place >= level
+        longer = np.zeros(len(full), np.uint64)
+        longer[1:] = mixed(mixed(full[:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ full[1:])
+        full = longer
+        if level > 1 or known:
+            before = np.zeros(len(n), np.int64)
+            before[1:] = n[:-1]
+            open_ = inside & (before > 1)
+        # All parts of a gram that occurs twice do; pairs are asked for together with their words.
+        asking = np.flatnonzero(open_ & (n > 1)) if level > 1 else np.flatnonzero(inside)
+        grams, own = ranked(full[asking] >> np.uint64(64 - model.bits), model.bits)
+        if (level, GRAM) not in answers:
+            asks.append((level, GRAM, grams, np.bincount(own, train[asking], len(grams)), none))
+            return asks, first, base, p
+        seen = answers[level, GRAM][own].astype(np.int64)
+        now = np.zeros(len(codes), np.int64)
+        now[asking] = np.where(seen > 1, seen, 0)
+        # The context of a token is the gram of the level below that ends just before it.
+        there = np.flatnonzero(open_)
+        context = at[there - 1]
+        used = np.zeros(len(distinct), bool)
+        used[context] = True
+        context = (np.cumsum(used) - 1)[context]
+        total, kept = before[there], now[there]
+        if (level, CONTEXT) in answers:
+            passed = answers[level, CONTEXT][context]
+            p = p.copy()
+            p[there] = np.where(passed > 0, np.where(kept > 0, (kept - DISCOUNT) / total, 0) + passed * p[there], p[there])
+        else:
+            asks.append((level, CONTEXT, distinct[used], *_context_sums(context, int(used.sum()), total, kept, train[there], p[there])))
+        n, distinct = now, grams
+        at = np.full(len(codes), -1, np.int64)
+        at[asking] = own
+    return asks, first, base, p
+
+
+def _context_sums(context: np.ndarray, n: int, total: np.ndarray, kept: np.ndarray, train: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's part of sums over each context's next words, taken over places: a word that occurs k times counts 1 / k each time.
+
+    Counts: the context's own, and of places whose next word is kept. Sums over the kept words: one, the divergence's terms,
+    and the parent's probabilities.
+    """
+    own_total = np.zeros(n, np.int64)
+    own_total[context] = total
+    keep = train & (kept > 0)
+    context, total, kept, parent = context[keep], total[keep], kept[keep], parent[keep]
+    own = (kept - DISCOUNT) / total
+    sums = [np.bincount(context, x, n) for x in (1 / kept, own * np.log(own / parent) / kept, parent / kept)]
+    return np.concatenate((own_total, np.bincount(context, minlength=n))), np.concatenate(sums)
 
-def gram_values(training: DataFrame, counts: DataFrame, total: int, vocabulary: int, depth: int, divergence: float = 0.02) -> DataFrame:
-    """``key, n, value``: what each word or gram adds to the log10 probability of a text that has it, beyond its words' unigrams.
 
-    Inside a retained context, a gram's probability is what the context keeps of it and the passed mass times the parent's;
-    a gram that is not kept has the passed mass times the parent's. So a text's log10 probability is its unigrams', and for
-    each gram in it the passed mass of the context that the gram is (it is one for the token that follows), and, if it is
-    kept, what it gains over the passed mass and the parent. Both depend on the gram only and are added up here.
+def passed_mass(total: np.ndarray, places: np.ndarray, words: np.ndarray, terms: np.ndarray, parent: np.ndarray, divergence: float) -> np.ndarray:
+    """The mass that contexts pass to their parents; 0 for contexts that are not retained.
+
+    The divergence is that of the kept words, and of all others as one, under the context and under its parent.
     """
-    found = gram_counts(training, counts, depth)
-    below = counts.filter("n > 1").select(F.col("word").alias("key"), "n", F.log10((F.col("n") + ADD) / (total + ADD * (vocabulary + 1))).alias("log_p"))
-    parts, used = [], [*found]
-    for level in range(1, depth + 1):
-        own = found[min(level, 2) - 1].filter(F.col("level") == level)
-        entries = own.join(below.select(F.col("key").alias("suffix"), F.col("log_p").alias("parent")), "suffix")
-        entries = entries.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-        in_context = Window.partitionBy("context")
-        entries = entries.withColumn("kept", (F.col("n") - DISCOUNT) / F.col("total"))
-        entries = entries.withColumn("passed", F.greatest(1 - F.sum("kept").over(in_context), F.lit(1e-12)))
-        entries = entries.withColumn("p", F.col("kept") + F.col("passed") * F.pow(F.lit(10.0), "parent"))
-        gain = F.sum(F.col("p") * (F.log("p") - F.col("parent") * math.log(10))).over(in_context) + F.greatest(1 - F.sum("p").over(in_context), F.lit(0.0)) * F.log("passed")
-        entries = entries.withColumn("retained", gain >= divergence)
-        entries = entries.withColumn("log_p", F.when(F.col("retained"), F.log10("p")).otherwise(F.col("parent")))
-        entries = save(entries.select("key", "context", "n", "total", "log_p", "retained", F.log10("passed").alias("passed"), "parent"))
-        held = entries.filter("retained")
-        parts.append(held.select("key", "n", (F.col("log_p") - F.col("parent") - F.col("passed")).alias("value")))
-        parts.append(held.groupBy("context").agg(F.first("total").alias("n"), F.first("passed").alias("value")).withColumnRenamed("context", "key"))
-        below = entries.select("key", "n", "log_p")
-        used.append(entries)
-    values = save(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")))
-    for table in used:
-        discard(table)
-    return values
+    passed = (total - places + DISCOUNT * np.rint(words)) / total
+    gain = terms + passed * np.log(passed / np.maximum(1 - parent, 1e-12))
+    return np.where((places > 0) & (gain >= divergence), passed, 0.0)
+
 
+ASKS, ANSWERS = "part int, chunk long, kind int, codes binary, counts binary, sums binary", "chunk long, kind int, part int, data binary, seen long"
 
-def looked_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
 
+def _row(batch: pa.RecordBatch, i: int, names: tuple[str, ...]) -> dict:
+    return {c: column(batch, c)[i].values.to_numpy(zero_copy_only=False) if c in ("sizes", "held_out") else column(batch, c)[i].as_py() for c in names}
 
-def score_documents(docs: DataFrame, training_filter: str = "not held_out", depth: int = 3, sent_share: float = SENT_SHARE) -> DataFrame:
-    """Scores of every row of ``docs(doc_id, held_out, text)`` by a tree learned from the rows where ``training_filter`` holds.
+
+def _answered(batch: pa.RecordBatch, i: int, steps: int) -> dict[tuple[int, int], np.ndarray]:
+    """The answers to a chunk, one array in the order of its codes for each level and kind."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for step in range(1, steps + 1):
+        found = sorted(((a["kind"], a["part"], a["data"]) for a in column(batch, f"answers{step}")[i].as_py() or []), key=lambda a: a[:2])
+        for kind in {a[0] for a in found}:
+            lists = [a[2] for a in found if a[0] == kind]
+            out[divmod(kind, 2)] = np.concatenate([unpacked(x) if kind % 2 == GRAM else np.frombuffer(x, "<f8") for x in lists])
+        # A chunk without such codes asks nothing.
+        for level, kind in ((0, GRAM), (1, GRAM)) if step == 1 else ((step - 1, CONTEXT), (step, GRAM)):
+            out.setdefault((level, kind), np.empty(0, np.uint64 if kind == GRAM else np.float64))
+    return out
+
+
+CHUNK_COLUMNS = ("chunk", "held_out", "sizes", "words", "codes")
+
+
+def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
+    """The answers to what the chunks of ``state``, which has ``step`` - 1 answers, ask next."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _row(batch, i, CHUNK_COLUMNS)
+                for level, kind, keys, counts, sums in walk(row, _answered(batch, i, step - 1), model)[0]:
+                    if not len(keys):
+                        continue
+                    # Code ranges of equal width; pairs of words and longer grams have fewer bits than words.
+                    bits = 64 if level - kind == 0 else model.bits
+                    edges = np.searchsorted(keys, np.arange(1, model.parts, dtype=np.uint64) << np.uint64(bits - (model.parts - 1).bit_length()))
+                    edges, n = np.r_[0, edges, len(keys)], len(keys)
+                    parts = np.flatnonzero(np.diff(edges))
+                    counts, sums = counts.reshape(-1, n).astype(np.uint64), sums.reshape(-1, n).astype("<f4")
+                    lists = [(packed_keys(keys[a:b]), packed(counts[:, a:b].ravel()), sums[:, a:b].tobytes()) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
+                    for at in range(0, len(lists), 256):
+                        codes, packs, floats = zip(*lists[at : at + 256], strict=True)
+                        part = pa.array(parts[at : at + 256], pa.int32())
+                        yield pa.RecordBatch.from_arrays([part, pa.array([row["chunk"]] * len(part), pa.int64()), pa.array([2 * level + kind] * len(part), pa.int32()), *(pa.array(x, pa.binary()) for x in (codes, packs, floats))], ["part", "chunk", "kind", "codes", "counts", "sums"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "part"):
+            kinds = column(group, "kind").to_numpy()
+            for kind in np.unique(kinds).tolist():
+                part = group.take(pa.array(np.flatnonzero(kinds == kind)))
+                lists = [unpacked_keys(x) for x in column(part, "codes").to_pylist()]
+                sizes, seen = np.array([len(x) for x in lists]), 0
+                counts = [unpacked(x).reshape(-1, n) for x, n in zip(column(part, "counts").to_pylist(), sizes.tolist(), strict=True)]
+                distinct, at = ranked(np.concatenate(lists), 64 if kind // 2 - kind % 2 == 0 else model.bits)
+                if kind % 2 == GRAM:
+                    total = np.bincount(at, np.concatenate(counts, axis=1)[0], len(distinct)).astype(np.uint64)
+                    seen = int((total > 0).sum()) if kind == 0 else 0
+                    data = [packed(x) for x in np.split(total[at], np.cumsum(sizes)[:-1])]
+                else:
+                    own, places = np.concatenate(counts, axis=1)
+                    total = np.zeros(len(distinct))
+                    total[at] = own
+                    sums = np.concatenate([np.frombuffer(x, "<f4").reshape(-1, n) for x, n in zip(column(part, "sums").to_pylist(), sizes.tolist(), strict=True)], axis=1)
+                    passed = passed_mass(total, np.bincount(at, places, len(distinct)), *(np.bincount(at, x, len(distinct)) for x in sums), model.divergence)
+                    data = [x.tobytes() for x in np.split(passed[at], np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([column(part, "chunk"), column(part, "kind"), column(part, "part"), pa.array(data, pa.binary()), pa.array([seen] + [0] * (len(data) - 1), pa.int64())], ["chunk", "kind", "part", "data", "seen"])
+
+    asked = state.mapInArrow(ask, ASKS)
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, ANSWERS)
+
+
+def score_documents(docs: DataFrame, depth: int = 3, divergence: float = DIVERGENCE) -> DataFrame:
+    """Scores of every row of ``docs(doc_id, held_out, text)`` by a tree learned from the rows where ``held_out`` is false.
 
     Tokens are the words outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, and one end; null and empty texts have the end
     only. ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens, ``score`` is the tree's log10
-    probability of the text, ``n_known`` counts tokens seen in training, ``train_tokens`` is N. Words and grams are told
-    apart by a 64-bit hash. Repeated rows are scored each; null ids pass through; without training rows every token is
-    unknown, and both scores are those of add-0.1 over nothing, one symbol (0). Memory follows the longest text.
-    ``sent_share`` decides what is sent and what is joined, not the result.
+    probability of the text, ``n_known`` counts tokens seen in training, ``train_tokens`` is N. Words are told apart by
+    64-bit hashes, longer grams by codes of 16 bits more than their number has, so one in 65,000 may share another's
+    counts. Rows with a null ``held_out`` are scored and not learnt from. Repeated rows are scored each; null ids pass
+    through; an empty table gives no rows; without training rows every token is unknown, and both scores are those of
+    add-0.1 over nothing, one symbol (0). Other columns are ignored. Memory follows the longest text, or a chunk.
     """
     spark = docs.sparkSession
-    training = docs.filter(training_filter)
-    counts = save(word_counts(training))
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    unseen = float(np.log10(ADD / (total + ADD * (vocabulary + 1))))
-    often = F.col("n") >= max(2.0, sent_share * total)
-    values = gram_values(training, counts, total, vocabulary, depth)
-    words, sent = counts.filter(often).orderBy("word").toArrow(), values.filter(often).orderBy("key").toArrow()
-    base = np.append(np.log10((words["n"].to_numpy() + ADD) / (total + ADD * (vocabulary + 1))), 0.0)  # place -1 is the last
-    shared = Shared(spark, (words["word"].to_numpy(), base, sent["key"].to_numpy(), np.append(sent["value"].to_numpy(), 0.0), key_filter(values.filter(~often))))
+    held_out = F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = save_bucketed(chunks(docs.select("doc_id", held_out, "text")), "chunk", 2 * tasks)
+    tables = [state]
+    tokens, total = state.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    parts = 1 << max(4 * tasks, tokens // CHUNK_TOKENS).bit_length()
+    model = Model(int(total), 0, min(64, max(32, int(tokens).bit_length() + 16)), parts, depth, divergence)
+    for step in range(1, depth + 2):
+        answers = _step(state, step, model).repartition(2 * tasks, "chunk").groupBy("chunk")
+        answers = save_bucketed(answers.agg(F.collect_list(F.struct("kind", "part", "data")).alias(f"answers{step}"), F.sum("seen").alias("seen")), "chunk", 2 * tasks)
+        free_shuffles(spark)
+        tables.append(answers)
+        if step == 1:
+            model = replace(model, vocabulary=answers.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
+        state = state.join(answers.drop("seen").hint("merge"), "chunk", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, sent, value, bloom = shared.value
-        hashes = WordHashes()
-
-        def lists(keys: list[np.ndarray], owners: list[np.ndarray], n: int) -> pa.ListArray:
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(owners, kind="stable")
-            ends = np.r_[0, np.cumsum(np.bincount(owners, minlength=n))]
-            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order]))
-
         for batch in batches:
-            texts = blobs(batch, "text")
-            for lo, hi in text_groups(texts):
-                part, n = batch.slice(lo, hi - lo), hi - lo
-                tokens, starts = token_hashes(texts[lo:hi], hashes)
-                sizes = np.diff(np.append(starts, len(tokens)))
-                owner = np.repeat(np.arange(n), sizes)
-                at = looked_up(tokens, words)
-                rare = at < 0
-                tree, asked, askers, k = np.zeros(n), [], [], 0
-                for keys in (tokens, *(g for g, _, _, _ in grams(tokens, starts, depth))):
-                    inside = np.arange(len(tokens)) - np.repeat(starts, sizes) >= k
-                    own, k = owner[inside], k + 1
-                    place = looked_up(keys, sent)
-                    tree += np.bincount(own, value[place], n)
-                    maybe = (place < 0) & marked(bloom, keys)
-                    asked.append(keys[maybe])
-                    askers.append(own[maybe])
-                columns = [column(part, "doc_id"), column(part, "held_out"), pa.array(sizes), pa.array(np.bincount(owner[~rare], minlength=n)), pa.array(np.bincount(owner, base[at], n)), pa.array(tree)]
-                yield pa.RecordBatch.from_arrays([*columns, lists([tokens[rare]], [owner[rare]], n), lists(asked, askers, n)], ["doc_id", "held_out", "n_tokens", "frequent", "base", "tree", "rare", "grams"])
-
-    keys = F.array().cast("array<long>")
-    scored = docs.mapInArrow(score, docs.select("doc_id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("frequent"), F.lit(0.0).alias("base"), F.lit(0.0).alias("tree"), keys.alias("rare"), keys.alias("grams")).schema)
-    scored = save(scored.withColumn("row", F.monotonically_increasing_id()))
-    asked = scored.select("row", F.explode("rare").alias("word"))
-    logs = F.log10((F.col("n") + ADD) / (total + ADD * (vocabulary + 1)))
-    found = asked.join(counts, "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(logs).alias("logs"))
-    added = scored.select("row", F.explode("grams").alias("key")).join(values.filter(~often), "key").groupBy("row").agg(F.sum("value").alias("added"))
-    known, asked_of = F.coalesce("known", F.lit(0)), F.size("rare")
-    more = F.coalesce("logs", F.lit(0.0)) + (asked_of - known) * unseen
-    out = scored.drop("grams").join(found, "row", "left").join(added, "row", "left")
-    score_of = F.col("base") + more + F.col("tree") + F.coalesce("added", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("frequent") + known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), score_of.alias("score"))
+            for i in range(batch.num_rows):
+                row = _row(batch, i, CHUNK_COLUMNS)
+                _, n, base, p = walk(row, _answered(batch, i, depth + 1), model)
+                sizes = np.asarray(row["sizes"], np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums = [np.bincount(owner, x, len(sizes)) for x in (n > 0, np.log10(base), np.log10(p))]
+                values = [pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(sizes), model.total)), pa.array(sums[1]), pa.array(sums[2])]
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[i].values, column(batch, "held_out")[i].values, *values], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = state.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = save(out)
+    for table in tables:
+        discard(table)
+    return out
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -133,36 +133,69 @@ def test_lm_base_and_model(docs, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_states_are_distributions(docs):
-    training = save(docs.select("text"))
-    counts = save(suffix_tree_lm.word_counts(training))
-    total, vocabulary = counts.agg(F.sum("n"), F.count("*")).first()
-    tree = suffix_tree_lm.learn_tree(training, counts, total, vocabulary, context_share=1e-3)
-    frequent = set(tree.words.tolist())
-    rare = sum((r.n + 0.1) for r in counts.collect() if r.word not in frequent) / (total + 0.1 * (vocabulary + 1)) + 0.1 / (total + 0.1 * (vocabulary + 1))
-    size = len(tree.words)
-    for depth in (1, 2):
-        for context in tree.contexts[depth - 1][:3].tolist():
-            before = [context] if depth == 1 else [context // size, context % size]
-            ids = np.array([[-1, *before, k] for k in [*range(size), -1]])
-            logs = np.array([tree.score(row)[-1] for row in ids])
-            assert (10 ** logs[:-1]).sum() + 10 ** logs[-1] * rare == pytest.approx(1, abs=1e-9)
-
-
-@pytest.mark.parametrize("sent_share", [2e-6, 1e-3])
-def test_lm_keeps_all_that_occurs_twice(docs, sent_share):
-    """Scores are those of a tree without any share of the corpus, whatever is sent or joined."""
+class PlainTree:
+    """The suffix tree of some token lists, in dictionaries."""
+
+    def __init__(self, texts, depth, divergence):
+        self.depth, self.words = depth, collections.Counter(x for t in texts for x in t)
+        self.n, self.next = sum(self.words.values()), collections.defaultdict(collections.Counter)
+        for t in texts:
+            for k in range(1, depth + 1):
+                for i in range(k, len(t)):
+                    self.next[t[i - k : i]][t[i]] += 1
+        self.passed = {}
+        for s in sorted(self.next, key=len):
+            total, kept = sum(self.next[s].values()), {w: n for w, n in self.next[s].items() if n > 1}
+            if total < 2 or not kept:
+                continue
+            own = {w: (n - 0.5) / total for w, n in kept.items()}
+            parent = {w: self.p(s[1:], w) for w in kept}
+            passed = 1 - sum(own.values())
+            gain = sum(own[w] * math.log(own[w] / parent[w]) for w in kept) + passed * math.log(passed / max(1 - sum(parent.values()), 1e-12))
+            if gain >= divergence:
+                self.passed[s] = passed
+
+    def p(self, s, w):
+        if not s:
+            return (self.words[w] + 0.1) / (self.n + 0.1 * (len(self.words) + 1))
+        below = self.p(s[1:], w)
+        if s not in self.passed:
+            return below
+        n = self.next[s][w]
+        return (n > 1) * (n - 0.5) / sum(self.next[s].values()) + self.passed[s] * below
+
+    def score(self, t):
+        return sum(math.log10(self.p(t[max(0, i - self.depth) : i], w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize(("depth", "chunk"), [(0, 1 << 20), (3, 1 << 20), (2, 5000)])
+def test_lm_equals_plain_tree(docs, texts, depth, chunk, monkeypatch):
+    """All contexts and words that occur twice count, whatever the chunks."""
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK_TOKENS", chunk)
+    tokens = {i: (*words(t), b" ") for i, t in texts.items()}
+    tree = PlainTree([t for i, t in tokens.items() if i % 10], depth, suffix_tree_lm.DIVERGENCE)
+    assert depth < 2 or 0 < len(tree.passed) < sum(sum(n.values()) > 1 for n in tree.next.values())
     split = docs.select("doc_id", (F.col("doc_id") % 10 == 0).alias("held_out"), "text")
-    training = save(split.filter("not held_out"))
-    counts = save(suffix_tree_lm.word_counts(training))
-    total, vocabulary = counts.agg(F.sum("n"), F.count("*")).first()
-    tree = suffix_tree_lm.learn_tree(training, counts, total, vocabulary, word_share=0, context_share=0, entry_share=0)
-    numbers = suffix_tree_lm.Numbers({int(w): i for i, w in enumerate(tree.words)})
-    texts = {r.doc_id: r.text for r in split.collect()}
-    base = np.append(tree.base, 0.0)
-    for r in suffix_tree_lm.score_documents(split, depth=2, sent_share=sent_share).collect():
-        ids = numbers.of([(texts[r.doc_id] or "").encode()])[0]
-        assert r.score - r.base_score == pytest.approx((tree.score(ids) - base[ids]).sum(), abs=1e-6)
+    rows = suffix_tree_lm.score_documents(split, depth=depth).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(tree.score(tokens[r.doc_id]), rel=1e-5)
+    seen = [s for s in tree.passed if len(s) == depth][:5]
+    for s in seen:
+        assert sum(tree.p(s, w) for w in tree.words) + 0.1 / (tree.n + 0.1 * (len(tree.words) + 1)) * math.prod(tree.passed.get(s[k:], 1) for k in range(depth)) == pytest.approx(1)
+
+
+def test_lm_packing():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 5), (1000, 1 << 20), (1000, 1 << 62), (3, 1 << 63)):
+        x = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert (suffix_tree_lm.unpacked_keys(suffix_tree_lm.packed_keys(x)) == x).all()
+        assert (suffix_tree_lm.unpacked(suffix_tree_lm.packed(x)) == x).all()
+        for bits in (63, 64):
+            distinct, at = suffix_tree_lm.ranked(np.r_[x, x[::-1]], bits)
+            assert (distinct == x).all() and (distinct[at] == np.r_[x, x[::-1]]).all()
+    x = np.array([0, 1, 2, 3, 1 << 40, (1 << 40) + 1], np.uint64)
+    assert (suffix_tree_lm.unpacked_keys(suffix_tree_lm.packed_keys(x)) == x).all()
 
 
 def test_lm_tree_grows(spark):
