@@ -38,22 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def save(df: DataFrame, batch_rows: int = 1000) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here and every executor sees the files.
-
-    Rows go to Python in batches of ``batch_rows`` meanwhile, as whole texts make the usual batches large.
-    """
+def save(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here and every executor sees the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lensfold-tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, batch_rows)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._lensfold_path = path
     return out
