@@ -34,7 +34,7 @@ DISCOUNT = 0.5
 DIVERGENCE = 0.02
 #: Code of the end of a text; words have other codes but for a chance of 2 ** -64.
 END = np.uint64(xxhash.xxh64_intdigest(b" ", 42))
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 3 << 18
 GRAM, CONTEXT = 0, 1
 
 
@@ -93,8 +93,8 @@ def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         keys = keys[order]
     new = np.ones(n, bool)
     new[1:] = keys[1:] != keys[:-1]
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return keys[new], place
 
 
@@ -156,8 +156,8 @@ def walk(row: dict, answers: dict[tuple[int, int], np.ndarray], model: Model) ->
     Returns what it asks next, (level, kind, distinct codes, counts, sums), and, if the words' counts are known, the tokens'
     counts and unigram probabilities, and their probabilities in the states reached.
     """
-    words, codes, sizes = unpacked_keys(row["words"]), unpacked(row["codes"]).astype(np.int64), np.asarray(row["sizes"], np.int64)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    words, codes, sizes = unpacked_keys(row["words"]), unpacked(row["codes"]).astype(np.int32), np.asarray(row["sizes"], np.int64)
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     train = np.repeat(~np.asarray(row["held_out"], bool), sizes)
     none, asks = np.empty(0), []
     known = (0, GRAM) in answers
@@ -191,7 +191,7 @@ def walk(row: dict, answers: dict[tuple[int, int], np.ndarray], model: Model) ->
         context = at[there - 1]
         used = np.zeros(len(distinct), bool)
         used[context] = True
-        context = (np.cumsum(used) - 1)[context]
+        context = (np.cumsum(used, dtype=np.int32) - 1)[context]
         total, kept = before[there], now[there]
         if (level, CONTEXT) in answers:
             passed = answers[level, CONTEXT][context]
@@ -200,7 +200,7 @@ def walk(row: dict, answers: dict[tuple[int, int], np.ndarray], model: Model) ->
         else:
             asks.append((level, CONTEXT, distinct[used], *_context_sums(context, int(used.sum()), total, kept, train[there], p[there])))
         n, distinct = now, grams
-        at = np.full(len(codes), -1, np.int64)
+        at = np.full(len(codes), -1, np.int32)
         at[asking] = own
     return asks, first, base, p
 
@@ -208,8 +208,9 @@ def walk(row: dict, answers: dict[tuple[int, int], np.ndarray], model: Model) ->
 def _context_sums(context: np.ndarray, n: int, total: np.ndarray, kept: np.ndarray, train: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's part of sums over each context's next words, taken over places: a word that occurs k times counts 1 / k each time.
 
-    Counts: the context's own, and of places whose next word is kept. Sums over the kept words: one, the divergence's terms,
-    and the parent's probabilities.
+    Counts: the context's own, and of places whose next word is kept. Sums over the kept words: one (a whole number in the
+    end), the divergence's terms, and the parent's probabilities; the last two only decide what is retained, and are sent
+    in half precision.
     """
     own_total = np.zeros(n, np.int64)
     own_total[context] = total
@@ -269,8 +270,9 @@ def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
                     edges = np.searchsorted(keys, np.arange(1, model.parts, dtype=np.uint64) << np.uint64(bits - (model.parts - 1).bit_length()))
                     edges, n = np.r_[0, edges, len(keys)], len(keys)
                     parts = np.flatnonzero(np.diff(edges))
-                    counts, sums = counts.reshape(-1, n).astype(np.uint64), sums.reshape(-1, n).astype("<f4")
-                    lists = [(packed_keys(keys[a:b]), packed(counts[:, a:b].ravel()), sums[:, a:b].tobytes()) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
+                    counts, sums = counts.reshape(-1, n).astype(np.uint64), sums.reshape(-1, n)
+                    ones, rest = sums[:1].astype("<f4"), sums[1:].astype("<f2")
+                    lists = [(packed_keys(keys[a:b]), packed(counts[:, a:b].ravel()), ones[:, a:b].tobytes() + rest[:, a:b].tobytes()) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
                     for at in range(0, len(lists), 256):
                         codes, packs, floats = zip(*lists[at : at + 256], strict=True)
                         part = pa.array(parts[at : at + 256], pa.int32())
@@ -293,7 +295,8 @@ def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
                     own, places = np.concatenate(counts, axis=1)
                     total = np.zeros(len(distinct))
                     total[at] = own
-                    sums = np.concatenate([np.frombuffer(x, "<f4").reshape(-1, n) for x, n in zip(column(part, "sums").to_pylist(), sizes.tolist(), strict=True)], axis=1)
+                    floats = list(zip(column(part, "sums").to_pylist(), sizes.tolist(), strict=True))
+                    sums = [np.concatenate([np.frombuffer(x, "<f4", n) for x, n in floats]), *np.concatenate([np.frombuffer(x, "<f2", 2 * n, 4 * n).reshape(2, n) for x, n in floats], axis=1)]
                     passed = passed_mass(total, np.bincount(at, places, len(distinct)), *(np.bincount(at, x, len(distinct)) for x in sums), model.divergence)
                     data = [x.tobytes() for x in np.split(passed[at], np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([column(part, "chunk"), column(part, "kind"), column(part, "part"), pa.array(data, pa.binary()), pa.array([seen] + [0] * (len(data) - 1), pa.int64())], ["chunk", "kind", "part", "data", "seen"])
@@ -316,14 +319,15 @@ def score_documents(docs: DataFrame, depth: int = 3, divergence: float = DIVERGE
     spark = docs.sparkSession
     held_out = F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = save_bucketed(chunks(docs.select("doc_id", held_out, "text")), "chunk", 2 * tasks)
+    buckets = min(4 * tasks, 100_000)
+    state = save_bucketed(chunks(docs.select("doc_id", held_out, "text")), "chunk", buckets)
     tables = [state]
     tokens, total = state.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     parts = 1 << max(4 * tasks, tokens // CHUNK_TOKENS).bit_length()
     model = Model(int(total), 0, min(64, max(32, int(tokens).bit_length() + 16)), parts, depth, divergence)
     for step in range(1, depth + 2):
-        answers = _step(state, step, model).repartition(2 * tasks, "chunk").groupBy("chunk")
-        answers = save_bucketed(answers.agg(F.collect_list(F.struct("kind", "part", "data")).alias(f"answers{step}"), F.sum("seen").alias("seen")), "chunk", 2 * tasks)
+        answers = _step(state, step, model).repartition(buckets, "chunk").groupBy("chunk")
+        answers = save_bucketed(answers.agg(F.collect_list(F.struct("kind", "part", "data")).alias(f"answers{step}"), F.sum("seen").alias("seen")), "chunk", buckets)
         free_shuffles(spark)
         tables.append(answers)
         if step == 1:
