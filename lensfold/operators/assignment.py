@@ -114,6 +114,15 @@ def chosen_edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray) -> np.
     return np.array([place[p] for p in assign(matrix)], int)
 
 
+def best_edges(rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the edges (row, column, score) of the matching with the greatest total; absent pairs and pairs of 0 add nothing and are left out."""
+    r, i = np.unique(rows, return_inverse=True)
+    c, j = np.unique(columns, return_inverse=True)
+    matrix, place = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)), int)
+    matrix[i, j], place[i, j] = -score, np.arange(len(score))
+    return np.array([place[p] for p in assign(matrix) if matrix[p] < 0], int)
+
+
 def match_by_components(weights: dict[tuple, float]) -> list[tuple]:
     """Pairs (a, b) of the matching with most weight in a sparse graph of positive weights, one connected part at a time."""
     neighbours: dict = {}

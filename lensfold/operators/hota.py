@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.operators.assignment import chosen_edges
+from lensfold.operators.assignment import best_edges
 from lensfold.operators.boxes import normalised_similarity
 from lensfold.operators.groups import Group, fold_groups, settled
 
@@ -34,21 +34,28 @@ def alignment(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) -
     return both.select(*keys, "gt_id", "tr_id", (F.col("potential") / (F.col("gc") + F.col("tc") - F.col("potential"))).alias("align"))
 
 
-def matches(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, t, gt_id, tr_id, sim`` of the matching of each frame that maximises alignment times similarity; one for all thresholds."""
-    scored = pairs.join(alignment(pairs, gt, tr, keys), [*keys, "gt_id", "tr_id"]).select(*keys, "t", "gt_id", "tr_id", "sim", (F.col("align") * F.col("sim")).alias("score"))
+def matches(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str], aligned: bool = True) -> DataFrame:
+    """``keys, t, gt_id, tr_id, sim`` of the matching of each frame that has the greatest total score; one for all thresholds.
+
+    A pair's score is its alignment times its similarity, or, if not ``aligned``, its similarity; absent pairs score 0.
+    """
+    if aligned:
+        scored = pairs.join(alignment(pairs, gt, tr, keys), [*keys, "gt_id", "tr_id"]).withColumn("score", F.col("align") * F.col("sim"))
+    else:
+        scored = pairs.withColumn("score", F.col("sim"))
+    scored = scored.select(*keys, "t", "gt_id", "tr_id", "sim", "score")
     kept = scored.drop("score").schema
     names = kept.names
 
     def solve(g: Group) -> Group | None:
-        own = chosen_edges(g["gt_id"], g["tr_id"], -g["score"])
+        own = best_edges(g["gt_id"], g["tr_id"], g["score"])
         return {n: g[n][own] for n in names} if len(own) else None
 
     return fold_groups(scored, [*keys, "t"], solve, kept)
 
 
 def matches_per_alpha(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Matchings made anew for each threshold: most pairs that reach it first, then most similarity. Adds ``alpha``."""
+    """Matchings made anew for each threshold: most pairs that reach it first, then most similarity; absent pairs score 0. Adds ``alpha``."""
     near = pairs.select(*keys, "t", "gt_id", "tr_id", "sim")
 
     def solve(g: Group) -> Group | None:
@@ -57,7 +64,7 @@ def matches_per_alpha(pairs: DataFrame, keys: list[str]) -> DataFrame:
         for alpha in ALPHAS:
             over = g["sim"] >= alpha - EPS
             if before is None or (over != before).any():
-                chosen, before = chosen_edges(g["gt_id"], g["tr_id"], -(np.where(over, 1000.0, 0.0) + g["sim"])), over
+                chosen, before = best_edges(g["gt_id"], g["tr_id"], np.where(over, 1000.0, 0.0) + g["sim"]), over
             if len(own := chosen[over[chosen]]):
                 parts.append((own, alpha))
         if not parts:
@@ -133,10 +140,16 @@ def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means], *at_first.values()).withColumn("hotaloca_0", F.col("hota_0") * F.col("loca_0"))
 
 
-def evaluate(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str] | None = None, per_alpha: bool = False) -> DataFrame:
-    """HOTA per ``keys`` (``seq``; with ``joint``, per joint) and ``alpha``; ``per_alpha`` makes the matching anew for each."""
+def evaluate(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str] | None = None, matching: str = "aligned") -> DataFrame:
+    """HOTA per ``keys`` (``seq``; with ``joint``, per joint) and ``alpha``.
+
+    ``matching`` decides what a frame's matching maximises: ``aligned`` similarity, ``similarity`` alone (per joint), or
+    ``per_alpha`` true positives and then similarity, anew for each threshold (identities over a whole dataset).
+    """
     keys = keys or ["seq"]
-    found = matches_per_alpha(pairs, keys) if per_alpha else matches(pairs, gt, tr, keys)
+    if matching not in ("aligned", "similarity", "per_alpha"):
+        raise ValueError(f"unknown matching {matching}")
+    found = matches_per_alpha(pairs, keys) if matching == "per_alpha" else matches(pairs, gt, tr, keys, matching == "aligned")
     return final_fields(fields(found, gt, tr, keys))
 
 

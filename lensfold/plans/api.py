@@ -22,14 +22,17 @@ def _joints(rows: DataFrame) -> DataFrame:
 
 def tracking(gt: DataFrame, dt: DataFrame) -> DataFrame:
     """HOTA per joint over all sequences. ``gt(seq, frame_id, id, joint, x, y, hx1, hy1, hx2, hy2)``, ``dt(seq, frame_id, id, joint, x, y, score)``."""
-    return hota.summary(hota.combine(hota.evaluate(_joint_pairs(gt, dt), _joints(gt), _joints(dt), keys=["seq", "joint"]), ["joint"]), ["joint"])
+    return hota.summary(hota.combine(hota.evaluate(_joint_pairs(gt, dt), _joints(gt), _joints(dt), keys=["seq", "joint"], matching="similarity"), ["joint"]), ["joint"])
 
 
 def reid_tracking(gt: DataFrame, dt: DataFrame) -> DataFrame:
-    """HOTA per joint with identities that hold for all sequences: ids are persons, frames of all sequences are one series."""
-    frame = F.xxhash64("seq", "t")
+    """HOTA per joint with identities that hold for all sequences: ids are persons, frames of all sequences are one series.
+
+    Frames are told by sequence and number, as text that sorts like the two, since fragments follow that order.
+    """
+    frame = F.concat(F.col("seq").cast("string"), F.lit("\u0001"), F.lpad(F.col("t").cast("string"), 20, "0"))
     whole = lambda rows: rows.withColumn("t", frame)
-    return hota.summary(hota.evaluate(whole(_joint_pairs(gt, dt)), whole(_joints(gt)), whole(_joints(dt)), keys=["joint"], per_alpha=True), ["joint"])
+    return hota.summary(hota.evaluate(whole(_joint_pairs(gt, dt)), whole(_joints(gt)), whole(_joints(dt)), keys=["joint"], matching="per_alpha"), ["joint"])
 
 
 def mot(gt: DataFrame, dt: DataFrame, max_distance: float = 0.5) -> DataFrame:

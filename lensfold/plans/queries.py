@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,9 +49,14 @@ def _related(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.with_relevance(retrieval.distances(q, g), e)
 
 
+def _ranks(spark: SparkSession, d: str) -> DataFrame:
+    e = t.embeddings(spark, d)
+    return retrieval.relevant_ranks(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"))
+
+
 @query(f"WITH {t.PAIRS}, p AS (SELECT * FROM pairs){_METRICS}")
 def reid_map_cmc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.rank_metrics(_related(spark, d)))
+    return rounded(retrieval.metrics_of_ranks(_ranks(spark, d)))
 
 
 @query(f"WITH {t.EMB}, p AS (SELECT a.id AS q, b.id AS g, list_distance(a.v, b.v) AS d FROM emb a JOIN emb b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, g)::INT AS rank FROM p) SELECT q, g, round(d, 6) AS d, rank FROM r WHERE rank <= 20")
@@ -61,12 +67,13 @@ def reid_knn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {t.PAIRS}, p AS (SELECT q, g, relevant, CASE WHEN relevant AND same_cam THEN 'infinity'::DOUBLE ELSE d END AS d FROM pairs){_METRICS}")
 def reid_camera_masked(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.rank_metrics(retrieval.camera_masked(_related(spark, d))))
+    n = t.embeddings(spark, d).filter("id % 10 <> 0").count()
+    return rounded(retrieval.metrics_of_ranks(retrieval.camera_last(_ranks(spark, d), n)))
 
 
 @query(f"WITH {t.PAIRS}, p AS (SELECT * FROM pairs WHERE NOT (relevant AND same_cam)){_METRICS}")
 def reid_camera_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.rank_metrics(retrieval.camera_masked(_related(spark, d), drop_junk=True)))
+    return rounded(retrieval.metrics_of_ranks(retrieval.without_camera(_ranks(spark, d))))
 
 
 _NEAR = "nn AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY d, g) AS rank FROM (SELECT a.id AS q, b.id AS g, list_distance(a.v, b.v) AS d FROM emb a JOIN emb b ON a.id <> b.id))"
@@ -340,32 +347,81 @@ def hota_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*[F.col(c) if c in ("seq", "hota_0", "loca_0") else F.round(c, 4).alias(c) for c in s.columns])
 
 
-@query()
+def _matched(edges: str, keys: str, per_alpha: bool = False) -> str:
+    """SQL: ``m`` of the best matching of each frame of ``edges(keys, frame_id, g_id, d_id, sim, score)``, by listing all matchings."""
+    if per_alpha:
+        best = f"""wk AS (SELECT {keys}, frame_id, ks, alpha, unnest(ks) AS k FROM mt, al),
+ws AS (SELECT {keys}, frame_id, alpha, ks, sum(CASE WHEN sim >= alpha - 2.220446049250313e-16 THEN 1000 ELSE 0 END + sim) AS w FROM wk JOIN e USING ({keys}, frame_id, k) GROUP BY ALL),
+best AS (SELECT {keys}, frame_id, alpha, arg_max(ks, w) AS ks FROM ws GROUP BY ALL),
+m AS (SELECT b.alpha, {keys}, frame_id, g_id, d_id, sim AS iou FROM (SELECT * EXCLUDE (ks), unnest(ks) AS k FROM best) b JOIN e USING ({keys}, frame_id, k) WHERE sim >= alpha - 2.220446049250313e-16)"""
+    else:
+        best = f"""best AS (SELECT {keys}, frame_id, arg_max(ks, w) AS ks FROM mt GROUP BY ALL),
+m AS (SELECT alpha, {keys}, frame_id, g_id, d_id, sim AS iou FROM (SELECT * EXCLUDE (ks), unnest(ks) AS k FROM best) b JOIN e USING ({keys}, frame_id, k), al WHERE sim >= alpha - 2.220446049250313e-16)"""
+    return f"""e AS (SELECT *, row_number() OVER (PARTITION BY {keys}, frame_id ORDER BY g_id, d_id) AS k FROM ({edges})),
+mt AS (SELECT DISTINCT {keys}, frame_id, -1::BIGINT AS g, []::BIGINT[] AS ds, []::BIGINT[] AS ks, 0::DOUBLE AS w FROM e
+  UNION ALL SELECT {", ".join(f"e.{c}" for c in keys.split(", "))}, e.frame_id, e.g_id, list_append(mt.ds, e.d_id::BIGINT), list_append(mt.ks, e.k::BIGINT), mt.w + e.score
+  FROM mt JOIN e USING ({keys}, frame_id) WHERE e.g_id > mt.g AND NOT list_contains(mt.ds, e.d_id::BIGINT)),
+{best}"""
+
+
+def _fields_sql(start: str, matched: str, keys: str = "seq") -> str:
+    """SQL: ``fin`` from ``m`` as in ``_FIELDS``; ``start`` has the edges, gc, tc, gt and dt by ``keys``."""
+    rest = _FIELDS[_FIELDS.index("f AS (SELECT *, CASE WHEN lag") :]
+    al = "al AS (SELECT (0.05 * k)::DOUBLE AS a0, round(0.05 * k, 2)::DOUBLE AS alpha FROM range(1, 20) r(k))"
+    if keys != "seq":
+        rest = rest.replace("alpha, seq", f"alpha, {keys}").replace("USING (seq, ", f"USING ({keys}, ").replace("SELECT seq, alpha, g, d FROM (SELECT seq, count(*) AS g FROM gt GROUP BY seq) JOIN (SELECT seq, count(*) AS d FROM dt GROUP BY seq) USING (seq)", f"SELECT {keys}, alpha, g, d FROM (SELECT {keys}, count(*) AS g FROM gt GROUP BY {keys}) JOIN (SELECT {keys}, count(*) AS d FROM dt GROUP BY {keys}) USING ({keys})").replace("fin AS (SELECT seq, alpha", f"fin AS (SELECT {keys}, alpha").replace("USING (seq, alpha)", f"USING ({keys}, alpha)")
+    return f"WITH RECURSIVE {start}, {al}, {matched}, {rest}"
+
+
+_MEANS = "hota deta assa detre detpr assre asspr loca rhota fraga fa_hota fa_rhota".split()
+
+
+def _summary_sql(keys: str) -> str:
+    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in _MEANS)
+    return f"SELECT {keys}, {means}, round(max(hota) FILTER (alpha = 0.05), 6) AS hota_0, round(max(loca) FILTER (alpha = 0.05), 6) AS loca_0, round(max(hota) FILTER (alpha = 0.05) * max(loca) FILTER (alpha = 0.05), 6) AS hotaloca_0 FROM x GROUP BY {keys}"
+
+
+_EXACT = re.sub(r"round\((.*?), 6\) AS", r"\1 AS", _FINAL)
+_ALIGNED = f"""{t.BOX_PAIRS}, {_IDS}, s AS (SELECT *, sum(iou) OVER (PARTITION BY seq, frame_id, g_id) AS r, sum(iou) OVER (PARTITION BY seq, frame_id, d_id) AS c FROM bp WHERE iou > 0),
+pm AS (SELECT seq, g_id, d_id, sum(iou / (r + c - iou)) AS p FROM s GROUP BY seq, g_id, d_id),
+ag AS (SELECT seq, g_id, d_id, p / (gc + tc - p) AS align FROM pm JOIN gc USING (seq, g_id) JOIN tc USING (seq, d_id))"""
+
+
+@query(_fields_sql(_ALIGNED, _matched("SELECT seq, frame_id, g_id, d_id, iou AS sim, iou * align AS score FROM s JOIN ag USING (seq, g_id, d_id)", "seq")) + f", x AS ({_EXACT.format(k='seq,', f='fin')}) {_summary_sql('seq')}")
 def hota_scalar(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hota.summary(hota.evaluate(*_hota_inputs(spark, d)), ["seq"]))
 
 
-@query()
+@query(_fields_sql(f"{t.BOX_PAIRS}, {_IDS}", _matched("SELECT seq, frame_id, g_id, d_id, iou AS sim, iou AS score FROM bp WHERE iou > 0", "seq", per_alpha=True)) + f", {_COMBINED} {_FINAL.format(k='', f='co')}")
 def hota_per_alpha(spark: SparkSession, d: str) -> DataFrame:
     """Dataset-level variant: the matching is made anew for each threshold."""
-    return rounded(hota.combine(hota.evaluate(*_hota_inputs(spark, d), per_alpha=True), []))
+    return rounded(hota.combine(hota.evaluate(*_hota_inputs(spark, d), matching="per_alpha"), []))
 
 
 def _joint_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Two joints a box: its corners, compared by distance over a tenth of its diagonal."""
+    """Two joints a box: its corners, moved a little by the id so that no two matchings are equally good, compared by distance over a tenth of its diagonal."""
     gt = t.ground_truth(spark, d)
     dt = t.detections(gt)
-    corner = F.explode(F.array(F.struct(F.lit(0).alias("joint"), F.col("x").alias("jx"), F.col("y").alias("jy")), F.struct(F.lit(1).alias("joint"), (F.col("x") + F.col("w")).alias("jx"), (F.col("y") + F.col("h")).alias("jy"))))
-    g, p = (x.withColumn("c", corner).select("seq", F.col("frame_id").alias("t"), "id", F.col("c.joint").alias("joint"), F.col("c.jx").alias("jx"), F.col("c.jy").alias("jy"), F.sqrt(F.col("w") ** 2 + F.col("h") ** 2).alias("diagonal")) for x in (gt, dt))
+    n = F.col("id") % 100
+    corners = F.explode(F.array(F.struct(F.lit(0).alias("joint"), F.col("x").alias("jx"), F.col("y").alias("jy")), F.struct(F.lit(1).alias("joint"), (F.col("x") + F.col("w")).alias("jx"), (F.col("y") + F.col("h")).alias("jy"))))
+    rows = lambda x, dx, dy: x.withColumn("c", corners).select("seq", F.col("frame_id").alias("t"), "id", "c.joint", (F.col("c.jx") + dx * n).alias("jx"), (F.col("c.jy") + dy * n * n).alias("jy"), F.sqrt(F.col("w") ** 2 + F.col("h") ** 2).alias("diagonal"))
+    g, p = rows(gt, 0.37, 0.029), rows(dt, 0.11, 0.013)
     both = g.withColumnRenamed("id", "gt_id").join(p.select("seq", "t", "joint", F.col("id").alias("tr_id"), F.col("jx").alias("px"), F.col("jy").alias("py")), ["seq", "t", "joint"])
     dist = F.sqrt((F.col("jx") - F.col("px")) ** 2 + (F.col("jy") - F.col("py")) ** 2) / (F.col("diagonal") / 5)
     pairs = both.select("seq", "joint", "t", "gt_id", "tr_id", pckh_similarity(dist).alias("sim")).filter("sim > 0")
     return pairs, g.select("seq", "joint", "t", "id"), p.select("seq", "joint", "t", "id")
 
 
-@query()
+_JOINTS = f"""{t.BOXES.replace("gt AS (", "gb AS (", 1).replace("FROM gt WHERE", "FROM gb WHERE").replace("dt AS (", "db AS (", 1)},
+gt AS (SELECT seq, joint, frame_id, id, x + joint * w + 0.37 * (id % 100) AS jx, y + joint * h + 0.029 * (id % 100) * (id % 100) AS jy, sqrt(w * w + h * h) AS dg FROM gb, range(2) r(joint)),
+dt AS (SELECT seq, joint, frame_id, id, x + joint * w + 0.11 * (id % 100) AS jx, y + joint * h + 0.013 * (id % 100) * (id % 100) AS jy FROM db, range(2) r(joint)),
+gc AS (SELECT seq, joint, id AS g_id, count(*) AS gc FROM gt GROUP BY ALL), tc AS (SELECT seq, joint, id AS d_id, count(*) AS tc FROM dt GROUP BY ALL),
+jp AS (SELECT g.seq, g.joint, g.frame_id, g.id AS g_id, d.id AS d_id, greatest(1 - sqrt(power(g.jx - d.jx, 2) + power(g.jy - d.jy, 2)) / (g.dg / 5) / 0.5001, 0) AS sim FROM gt g JOIN dt d USING (seq, joint, frame_id))"""
+
+
+@query(_fields_sql(_JOINTS, _matched("SELECT *, sim AS score FROM jp WHERE sim > 0", "seq, joint"), "seq, joint") + f", {_COMBINED.replace('SELECT alpha', 'SELECT joint, alpha').replace('GROUP BY alpha', 'GROUP BY joint, alpha')}, x AS ({_EXACT.format(k='joint,', f='co')}) {_summary_sql('joint')}")
 def hota_per_joint(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hota.summary(hota.combine(hota.evaluate(*_joint_inputs(spark, d), keys=["seq", "joint"]), ["joint"]), ["joint"]))
+    return rounded(hota.summary(hota.combine(hota.evaluate(*_joint_inputs(spark, d), keys=["seq", "joint"], matching="similarity"), ["joint"]), ["joint"]))
 
 
 @query(f"WITH {t.BOXES}, f AS (SELECT seq, count(DISTINCT frame_id) AS frames, count(*) AS gt_dets, count(DISTINCT id) AS gt_ids FROM gt GROUP BY seq), e AS (SELECT seq, count(*) AS dets, count(DISTINCT id) AS ids FROM dt GROUP BY seq) SELECT seq, frames, gt_dets, gt_ids, dets, ids FROM f JOIN e USING (seq)")

@@ -153,6 +153,14 @@ def test_registry(spark):
     assert shown.MOTA == "25.0%" and shown.FN == "2"
 
 
+def best_by_permutation(score):
+    """The pairs of the matching with the greatest total, by trying all; absent pairs score 0."""
+    gs, ds = sorted({k[0] for k in score}), sorted({k[1] for k in score})
+    ds += [None] * len(gs)
+    best = max(itertools.permutations(ds, len(gs)), key=lambda p: sum(score.get((g, d), 0) for g, d in zip(gs, p, strict=True)))
+    return [(g, d) for g, d in zip(gs, best, strict=True) if score.get((g, d), 0) > 0]
+
+
 def plain_hota(pairs, gt, tr):
     """HOTA by loops: (tp, assa, loca, fraga) for each threshold."""
     sims = {}
@@ -171,11 +179,8 @@ def plain_hota(pairs, gt, tr):
     align = {k: p / (gc[k[0]] + tc[k[1]] - p) for k, p in potential.items()}
     matched = []
     for t in sorted(sims):
-        gs, ds = sorted({k[0] for k in sims[t]}), sorted({k[1] for k in sims[t]})
-        cost = np.full((len(gs), len(ds)), N)
-        for (g, d), s in sims[t].items():
-            cost[gs.index(g), ds.index(d)] = -align[g, d] * s
-        matched += [(t, gs[i], ds[j], sims[t][gs[i], ds[j]]) for i, j in assign(cost)]
+        score = {k: align[k] * s for k, s in sims[t].items()}
+        matched += [(t, g, d, sims[t][g, d]) for g, d in best_by_permutation(score)]
     out = []
     for alpha in hota.ALPHAS:
         own = [m for m in matched if m[3] >= alpha - hota.EPS]
@@ -192,11 +197,12 @@ def plain_hota(pairs, gt, tr):
     return out
 
 
-def test_hota(spark):
-    rng = random.Random(3)
+@pytest.mark.parametrize(("seed", "share"), [(3, 1), (4, 0.5)])
+def test_hota(spark, seed, share):
+    rng = random.Random(seed)
     gt = [("s", t, g) for t in range(12) for g in range(4) if rng.random() < 0.8]
     tr = [("s", t, d) for t in range(12) for d in range(5) if rng.random() < 0.7]
-    pairs = [("s", t, g, d, rng.random()) for _, t, g in gt for _, u, d in tr if t == u]
+    pairs = [("s", t, g, d, rng.random()) for _, t, g in gt for _, u, d in tr if t == u and rng.random() < share]
     got = hota.evaluate(spark.createDataFrame(pairs, "seq string, t long, gt_id long, tr_id long, sim double"), spark.createDataFrame(gt, "seq string, t long, id long"), spark.createDataFrame(tr, "seq string, t long, id long")).orderBy("alpha").collect()
     for row, (tp, assa, loca, fraga) in zip(got, plain_hota(pairs, gt, tr), strict=True):
         assert row.hota_tp == tp and row.hota_fn == len(gt) - tp and row.hota_fp == len(tr) - tp
@@ -204,6 +210,18 @@ def test_hota(spark):
         assert 0 <= row.hota <= 1
 
 
+def test_hota_matchings_prefer_score_to_pairs(spark):
+    """One good pair is better than two poor ones, in each kind of matching."""
+    ids = spark.createDataFrame([("s", 0, 1), ("s", 0, 2)], "seq string, t long, id long")
+    pairs = spark.createDataFrame([("s", 0, 1, 1, 0.9), ("s", 0, 1, 2, 0.1), ("s", 0, 2, 1, 0.1)], "seq string, t long, gt_id long, tr_id long, sim double")
+    for matching in ("aligned", "similarity", "per_alpha"):
+        tp = {r.alpha: r.hota_tp for r in hota.evaluate(pairs, ids, ids, matching=matching).collect()}
+        assert tp[0.5] == 1 and tp[0.9] == 1 and tp[0.95] == 0
+        assert tp[0.05] == (2 if matching == "per_alpha" else 1)
+    with pytest.raises(ValueError, match="unknown matching"):
+        hota.evaluate(pairs, ids, ids, matching="x")
+
+
 def test_hota_one_side(spark):
     schema = "seq string, t long, id long"
     gt, none = spark.createDataFrame([("s", 0, 1), ("s", 1, 1)], schema), spark.createDataFrame([], schema)
