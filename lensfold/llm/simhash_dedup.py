@@ -43,15 +43,15 @@ def fingerprint(blob: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row of ``docs(doc_id, text)``, as a signed bigint."""
+    """``doc_id, tag, fp``: a hash of the text and the fingerprint, as a signed bigint, of each row of ``docs(doc_id, text)``."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(b) for b in blobs(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(prints, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    return docs.mapInArrow(prints, docs.select("doc_id", "tag", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def trie_pairs(keys: np.ndarray, groups: np.ndarray, side: np.ndarray, depth: np.ndarray, spent: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,7 +186,7 @@ def _deeper(rows: DataFrame, step: int) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, tag, fp, component_id`` for every row of ``docs(doc_id, text)``; ``tag`` is a hash of the text.
 
     Fingerprints that differ in at most two bits are linked; ``component_id`` is the smallest doc_id of all documents
     reachable by links. Copies share one fingerprint and enter the join once. Null and empty texts have fingerprint zero
@@ -200,16 +200,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     named = classes.join(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
     each = each.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     each = save(each)  # a join of plain scans, whose partitions can be split where many copies share a fingerprint
-    return prints.join(each, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(each, "fp").select("doc_id", "tag", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows with a null doc_id cannot be told apart by id and are all kept. Of several rows with the id that stays, all stay.
+    Rows are told apart by doc_id and text: of rows that share an id only those whose text is in a group with a smaller id
+    go, and rows that repeat id and text stay or go together. Rows with a null doc_id are all kept. Nulls and empty texts
+    are one group; an empty table gives no rows; other columns pass through, whatever their names.
     """
-    found = simhash_components(docs).filter("doc_id is not null").select("doc_id", "component_id").filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    gone = simhash_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).distinct()
+    return docs.join(gone, (docs.doc_id == gone["_gone_id"]) & (F.xxhash64(docs.text) == gone["_gone_tag"]), "left_anti")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
