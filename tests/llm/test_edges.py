@@ -109,3 +109,20 @@ def test_pipeline_keeps_columns(spark, odd_docs, no_docs, tmp_path, benchmark_ro
             docs = stage(spark, docs, str(tmp_path))
             assert docs.dtypes == start.dtypes
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
+def test_near_copies_of_one_id(spark):
+    """A text that shares its id with a copy stays; repeated rows stay or go together; null ids stay."""
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    rows = [(1, long), (2, long), (2, "another text of its own with other words"), (1, long), (None, long)]
+    got = simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+
+
+def test_longest_match(spark):
+    """The longest verbatim match may be longer than a window or shorter, and runs of different items are not one match."""
+    item = " ".join(f"w{k}" for k in range(15))
+    docs = [(1, f"x {item} y"), (2, "a b " + " ".join(f"w{k}" for k in range(9)) + " c"), (3, "no such words"), (4, "w3 w4 w5 v0 v1 v2 v3 v4"), (5, "q one"), (6, None)]
+    bench = [("i", item), ("j", " ".join(f"v{k}" for k in range(12))), ("k", "one")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")).collect()
+    assert {r.doc_id: (r.longest_match, r.longest_at, r.n_hit) for r in got} == {1: (15, 1, 15), 2: (9, 2, 0), 3: (0, None, 0), 4: (5, 3, 0), 5: (1, 1, 1), 6: (0, None, 0)}
