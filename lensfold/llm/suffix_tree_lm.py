@@ -39,45 +39,58 @@ GRAM, CONTEXT = 0, 1
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Unsigned integers as planes of bytes, as many as the largest needs."""
-    x = x.astype("<u8")
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """Unsigned integers in a width of half bytes that suits most of them, two side by side, as planes of bytes.
+
+    A value that its width can't hold is preceded by as many full values as it takes.
+    """
+    x = x.astype(np.uint64, copy=False)
+    if not len(x):
+        return b""
+    near, best = (int(2 * x.mean()).bit_length() + 3) // 4, (16 * len(x), 16, None)
+    for half in range(max(1, near - 1), min(8, near + 1) + 1):
+        full = x // np.uint64((1 << 4 * half) - 1)
+        best = min(best, ((len(x) + int(full.sum())) * half, half, full), key=lambda b: b[0])
+    _, half, full = best
+    if half == 16:
+        return bytes([16]) + x.astype("<u8").tobytes()
+    top = np.uint64((1 << 4 * half) - 1)
+    if full.any():
+        out = np.full(len(x) + int(full.sum()), top, np.uint64)
+        out[np.arange(len(x)) + np.cumsum(full).astype(np.int64)] = x % top
+        x = out
+    odd = len(x) % 2
+    if odd:
+        x = np.append(x, np.uint64(0))
+    both = x[::2] | x[1::2] << np.uint64(4 * half)
+    return bytes([half | odd << 5]) + both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :half].T.tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : blob[0]] = planes.T
-    return out.view("<u8").ravel()
+    if not blob:
+        return np.empty(0, np.uint64)
+    half, odd = blob[0] & 31, blob[0] >> 5
+    if half == 16:
+        return np.frombuffer(blob, "<u8", offset=1)
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(half, -1)
+    both = np.zeros((planes.shape[1], 8), np.uint8)
+    both[:, :half] = planes.T
+    both, top = both.view("<u8").ravel(), np.uint64((1 << 4 * half) - 1)
+    out = np.empty(2 * len(both), np.uint64)
+    out[::2], out[1::2] = both & top, both >> np.uint64(4 * half)
+    out = out[: len(out) - odd]
+    whole = out != top
+    return out if whole.all() else np.diff(np.cumsum(out, dtype=np.uint64)[whole], prepend=np.uint64(0))
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted codes as gaps. A gap that its width can't hold is preceded by as many full values as it takes."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys, prepend=keys[:1])
-    width = min(8, max(1, (2 * int(gaps.mean())).bit_length() // 8 + 1))
-    if width < 8:
-        top = np.uint64((1 << 8 * width) - 1)
-        full = gaps // top
-        if full.any():
-            out = np.full(len(gaps) + int(full.sum()), top, np.uint64)
-            out[np.arange(len(gaps)) + np.cumsum(full).astype(np.int64)] = gaps % top
-            gaps = out
-    return bytes([width]) + keys[:1].tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """Sorted codes, as the first and the gaps."""
+    return keys[:1].astype("<u8").tobytes() + packed(np.diff(keys)) if len(keys) else b""
 
 
 def unpacked_keys(blob: bytes) -> np.ndarray:
     if not blob:
         return np.empty(0, np.uint64)
-    width, first = blob[0], np.frombuffer(blob, "<u8", 1, 1)
-    planes = np.frombuffer(blob, np.uint8, offset=9).reshape(width, -1)
-    gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, :width] = planes.T
-    gaps = gaps.view("<u8").ravel()
-    keys = first + np.cumsum(gaps, dtype=np.uint64)
-    return keys if width == 8 else keys[gaps != (1 << 8 * width) - 1]
+    return np.frombuffer(blob, "<u8", 1)[0] + np.cumsum(np.append(np.uint64(0), unpacked(blob[8:])), dtype=np.uint64)
 
 
 def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +258,21 @@ def _answered(batch: pa.RecordBatch, i: int, steps: int) -> dict[tuple[int, int]
         found = sorted(((a["kind"], a["part"], a["data"]) for a in column(batch, f"answers{step}")[i].as_py() or []), key=lambda a: a[:2])
         for kind in {a[0] for a in found}:
             lists = [a[2] for a in found if a[0] == kind]
-            out[divmod(kind, 2)] = np.concatenate([unpacked(x) if kind % 2 == GRAM else np.frombuffer(x, "<f8") for x in lists])
+            out[divmod(kind, 2)] = np.concatenate([unpacked(x) if kind % 2 == GRAM else np.frombuffer(x, "<f4").astype(float) for x in lists])
         # A chunk without such codes asks nothing.
         for level, kind in ((0, GRAM), (1, GRAM)) if step == 1 else ((step - 1, CONTEXT), (step, GRAM)):
             out.setdefault((level, kind), np.empty(0, np.uint64 if kind == GRAM else np.float64))
     return out
 
 
+def _unpacked_lists(blob: bytes) -> Iterator[np.ndarray]:
+    at = 0
+    while at < len(blob):
+        end = at + 4 + int.from_bytes(blob[at : at + 4], "little")
+        yield unpacked(blob[at + 4 : end])
+        at = end
+
+
 CHUNK_COLUMNS = ("chunk", "held_out", "sizes", "words", "codes")
 
 
@@ -272,7 +293,7 @@ def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
                     parts = np.flatnonzero(np.diff(edges))
                     counts, sums = counts.reshape(-1, n).astype(np.uint64), sums.reshape(-1, n)
                     ones, rest = sums[:1].astype("<f4"), sums[1:].astype("<f2")
-                    lists = [(packed_keys(keys[a:b]), packed(counts[:, a:b].ravel()), ones[:, a:b].tobytes() + rest[:, a:b].tobytes()) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
+                    lists = [(packed_keys(keys[a:b]), b"".join(len(x).to_bytes(4, "little") + x for x in map(packed, counts[:, a:b])), ones[:, a:b].tobytes() + rest[:, a:b].tobytes()) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
                     for at in range(0, len(lists), 256):
                         codes, packs, floats = zip(*lists[at : at + 256], strict=True)
                         part = pa.array(parts[at : at + 256], pa.int32())
@@ -285,7 +306,7 @@ def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
                 part = group.take(pa.array(np.flatnonzero(kinds == kind)))
                 lists = [unpacked_keys(x) for x in column(part, "codes").to_pylist()]
                 sizes, seen = np.array([len(x) for x in lists]), 0
-                counts = [unpacked(x).reshape(-1, n) for x, n in zip(column(part, "counts").to_pylist(), sizes.tolist(), strict=True)]
+                counts = [np.stack(list(_unpacked_lists(x))) for x in column(part, "counts").to_pylist()]
                 distinct, at = ranked(np.concatenate(lists), 64 if kind // 2 - kind % 2 == 0 else model.bits)
                 if kind % 2 == GRAM:
                     total = np.bincount(at, np.concatenate(counts, axis=1)[0], len(distinct)).astype(np.uint64)
@@ -298,7 +319,7 @@ def _step(state: DataFrame, step: int, model: Model) -> DataFrame:
                     floats = list(zip(column(part, "sums").to_pylist(), sizes.tolist(), strict=True))
                     sums = [np.concatenate([np.frombuffer(x, "<f4", n) for x, n in floats]), *np.concatenate([np.frombuffer(x, "<f2", 2 * n, 4 * n).reshape(2, n) for x, n in floats], axis=1)]
                     passed = passed_mass(total, np.bincount(at, places, len(distinct)), *(np.bincount(at, x, len(distinct)) for x in sums), model.divergence)
-                    data = [x.tobytes() for x in np.split(passed[at], np.cumsum(sizes)[:-1])]
+                    data = [x.tobytes() for x in np.split(passed.astype("<f4")[at], np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([column(part, "chunk"), column(part, "kind"), column(part, "part"), pa.array(data, pa.binary()), pa.array([seen] + [0] * (len(data) - 1), pa.int64())], ["chunk", "kind", "part", "data", "seen"])
 
     asked = state.mapInArrow(ask, ASKS)
