@@ -4,8 +4,8 @@ Paragraphs are of two kinds. A line of ``min_words`` words or more is one; its f
 tuned for recall at the similarity asked for, lines that collide are joined and verified by exact Jaccard, and verified
 links form classes by components. A passage inside longer lines is met by anchored windows: the least shingle hash of every ``anchor``
 consecutive shingles starts a window of 25 words, so equal passages of 25 + anchor - 1 words or more have a window in
-common wherever they stand. A window's only band is its whole text, so a collision is an equal window; it is extended word
-by word in both directions to the ends of what the texts have in common.
+common wherever they stand. A window's only band is its whole text, verified by a second, independent hash of its words; it
+is extended word by word in both directions to the ends of what the texts have in common.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Words, blobs, byte_slices, column, grouped, mixed, save, shingle_hashes
+from lensfold.llm.common import Words, blobs, byte_slices, column, free_shuffles, grouped, mixed, save, shingle_hashes
 from lensfold.llm.components import connected_components, local_labels
 
 SHINGLE, WINDOW = 5, 25
@@ -80,16 +80,18 @@ class Chunk:
         else:
             self.line_hash = np.empty(0, np.int64)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start positions and keys of anchored windows."""
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start positions of anchored windows, and two independent hashes of their words: a key, and a check of it."""
         usable = np.where(self.within, self.shingles, ~np.uint64(0))
         at = anchors(usable, self.doc[: len(usable)], width)
         at = at[at + WINDOW <= len(self.doc)]
         at = at[self.doc[at] == self.doc[at + WINDOW - 1]]
-        key = np.zeros(len(at), np.uint64)
+        key, check, words = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), self.words.view(np.uint64)
         for k in range(0, WINDOW, SHINGLE):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ self.shingles[at + k])
-        return at, key.view(np.int64)
+        for k in range(WINDOW):
+            check = check * np.uint64(0xD6E8FEB86659FD93) + words[at + k]
+        return at, key.view(np.int64), mixed(check).view(np.int64)
 
     def bands(self, bands: int, rows: int, sums: np.ndarray, factors: np.ndarray) -> np.ndarray:
         """Band keys of each long line, one column a band."""
@@ -137,9 +139,9 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
                 _, once = np.unique(c.line_hash[own], return_index=True)
                 once = own[once]
                 yield rows_of(BAND, keys[once].ravel(), None, None, 0, np.repeat(c.line_hash[once], n_bands))
-            at, key = c.windows(anchor)
+            at, key, check = c.windows(anchor)
             ok = known[c.doc[at]]
-            at, key = at[ok], key[ok]
+            at, key, check = at[ok], key[ok], check[ok]
             doc = c.doc[at]
             # A window that its own document has had before: only what reaches beyond the first one is repeated text.
             order = np.lexsort((at, key, doc))
@@ -147,10 +149,10 @@ def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int)
             first = np.empty(len(at), np.int64)
             first[order] = at[order][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
             again = first < at
-            yield rows_of(SPAN, key[~again], doc[~again], (at - c.base[doc])[~again], WINDOW)
+            yield rows_of(SPAN, key[~again], doc[~again], (at - c.base[doc])[~again], WINDOW, check[~again])
             start = np.maximum(at, first + WINDOW)
             again &= start < at + WINDOW
-            yield rows_of(AGAIN, key[again], doc[again], (start - c.base[doc])[again], (at + WINDOW - start)[again])
+            yield rows_of(AGAIN, key[again], doc[again], (start - c.base[doc])[again], (at + WINDOW - start)[again], check[again])
 
     return docs.mapInArrow(units, "kind byte, key long, doc_id long, tag int, at int, size int, line long")
 
@@ -184,44 +186,45 @@ def extensions(docs: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for ids, tags, c in _chunks(batches, 1 << 62):  # no line is long: only windows are read
-            at, key = c.windows(anchor)
+            at, key, check = c.windows(anchor)
             maybe = marked(bloom, key)
-            at, key = at[maybe], key[maybe]
+            at, key, check = at[maybe], key[maybe], check[maybe]
             known = ids.is_valid().to_numpy(zero_copy_only=False)[c.doc[at]]
-            at, key = at[known], key[known]
+            at, key, check = at[known], key[known], check[known]
             doc = c.doc[at]
             words, place = c.words.astype(np.uint32), at - c.base[doc]
             backward = words[::-1]
             lefts, rights = np.minimum(place, most), np.minimum(c.n_words[doc] - place - WINDOW, most)
             left = [backward[len(words) - a : len(words) - a + n].tobytes() for a, n in zip(at.tolist(), lefts.tolist(), strict=True)]
             right = [words[a + WINDOW : a + WINDOW + n].tobytes() for a, n in zip(at.tolist(), rights.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(doc)), tags.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "doc_id", "tag", "at", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), ids.take(pa.array(doc)), tags.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "line", "doc_id", "tag", "at", "left", "right"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, ({}, {})
         for batch in batches:
             out = []
-            for key, doc, tag, at, *sides in zip(*(column(batch, n).to_pylist() for n in ("key", "doc_id", "tag", "at", "left", "right")), strict=True):
-                if key != now:
-                    now, seen = key, ({}, {})
+            for key, check, doc, tag, at, *sides in zip(*(column(batch, n).to_pylist() for n in ("key", "line", "doc_id", "tag", "at", "left", "right")), strict=True):
+                if (key, check) != now:
+                    now, seen = (key, check), ({}, {})
                 for side, (text, had) in enumerate(zip(sides, seen, strict=True)):
                     n, found = 0, None
                     while 4 * n < len(text) and (place := had.get(text[: 4 * n + 4])):
                         n, found = n + 1, place
                     for k in range(4 * n + 4, len(text) + 1, 4):
                         had[text[:k]] = doc, tag, at
-                    if found is None or (found[0] == doc and found[1] != tag):
+                    if found is None:
                         continue
                     first, end = (at + WINDOW, at + WINDOW + n) if side else (at - n, at)
-                    if found[0] == doc:
+                    if found[:2] == (doc, tag):
                         first = max(first, found[2] + WINDOW + n * side)
                     if first < end:
                         out.append((doc, tag, first, end, found[0]))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "tag", "first", "end", "kept_in"])
 
-    found = save(docs.mapInArrow(around, "key long, doc_id long, tag int, at int, left binary, right binary"))
-    dealt = found.join(wanted, "key", "left_semi").repartition("key").sortWithinPartitions("key", "doc_id", "tag", "at")
+    found = save(docs.mapInArrow(around, "key long, line long, doc_id long, tag int, at int, left binary, right binary"))
+    free_shuffles(docs.sparkSession)
+    dealt = found.join(wanted, "key", "left_semi").repartition("key").sortWithinPartitions("key", "line", "doc_id", "tag", "at")
     return dealt.mapInArrow(extend, "doc_id long, tag int, first int, end int, kept_in long")
 
 
@@ -313,22 +316,25 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, similarity: float = 0.8
     """(documents, spans) of ``docs(doc_id, tag, text)``.
 
     Spans are ``doc_id, tag, first, end, kept_in``: word positions of every occurrence but the first of each class of lines
-    (by doc_id, tag, position) and of each window (by doc_id, then position), extended to what is alike around it, and the
+    (by doc_id, tag, position) and of each window (by doc_id, tag, position), extended to what is alike around it, and the
     document that holds the first.
     """
     units = save(paragraphs(docs, min_words, similarity, anchor))
     classes = line_classes(units, docs, min_words, similarity)
+    free_shuffles(docs.sparkSession)
     lines = units.filter(F.col("kind") == LINE).join(classes.withColumnRenamed("node", "key"), "key", "left")
     lines = lines.select(F.coalesce("component", "key").alias("key"), "doc_id", "tag", "at", "size")
     lines = save(lines)
     firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f"))
     end = F.col("at") + F.col("size")
     of_lines = lines.join(firsts, "key").filter("struct(doc_id, tag, at) <> f").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("f.doc_id").alias("kept_in"))
-    windows = units.filter(F.col("kind") == SPAN).select("key", "doc_id", "tag", "at", "size")
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).filter("kept_in <> last").select("key", "kept_in")
+    windows = units.filter(F.col("kind") == SPAN).select("key", "line", "doc_id", "tag", "at", "size")
+    document = F.struct("doc_id", "tag")
+    shared = windows.groupBy("key", "line").agg(F.min(document).alias("f"), F.max(document).alias("last")).filter("f <> last").select("key", "line", "f")
     shared = save(shared)
-    of_windows = windows.join(shared, "key").filter("doc_id <> kept_in").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), "kept_in")
+    of_windows = windows.join(shared, ["key", "line"]).filter("struct(doc_id, tag) <> f").select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("f.doc_id").alias("kept_in"))
     again = units.filter(F.col("kind") == AGAIN).select("doc_id", "tag", F.col("at").alias("first"), end.alias("end"), F.col("doc_id").alias("kept_in"))
+    free_shuffles(docs.sparkSession)
     met = save(shared.select("key").union(units.filter(F.col("kind") == AGAIN).select("key")).distinct())
     spans = of_lines.unionByName(of_windows).unionByName(again).unionByName(extensions(docs, met, anchor))
     return units.filter(F.col("kind") == DOC).select("doc_id", "tag", F.col("size").cast("long").alias("n_words")), spans
@@ -388,7 +394,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     _, spans = repeated_spans(_tagged(docs))
     found = merged_spans(spans).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, (docs.doc_id.cast("long") == F.col("_id")) & (F.hash("text") == F.col("_tag")), "left").drop("_id", "_tag")
+    joined = docs.join(found, (docs.doc_id.cast("long") == found["_id"]) & (F.hash(docs.text) == found["_tag"]), "left").drop(found["_id"], found["_tag"])
     schema = joined.drop("_spans").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

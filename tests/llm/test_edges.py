@@ -126,3 +126,12 @@ def test_longest_match(spark):
     bench = [("i", item), ("j", " ".join(f"v{k}" for k in range(12))), ("k", "one")]
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")).collect()
     assert {r.doc_id: (r.longest_match, r.longest_at, r.n_hit) for r in got} == {1: (15, 1, 15), 2: (9, 2, 0), 3: (0, None, 0), 4: (5, 3, 0), 5: (1, 1, 1), 6: (0, None, 0)}
+
+
+def test_passage_in_texts_of_one_id(spark):
+    """Rows that share an id and differ in text are different documents."""
+    shared = " ".join(f"p{k}" for k in range(60))
+    own = lambda x: " ".join(f"{x}{k}" for k in range(40))
+    docs = spark.createDataFrame([(5, f"{own('a')} {shared} {own('b')}"), (5, f"{own('c')} {shared} {own('d')}"), (None, f"third {shared}")], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.repeats) for r in substring_dedup.substring_report(docs).collect())
+    assert got == [(61, 0, False), (140, 0, False), (140, 60, True)]
