@@ -236,6 +236,12 @@ def byte_slices(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.Reco
         start = end
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of their texts, so that what a task holds does not depend on the rows of a batch."""
+    for batch in batches:
+        yield from byte_slices(batch, name, size)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply) over uint64."""
     x = x ^ (x >> np.uint64(33))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Shared, blobs
+from lensfold.llm.common import Shared, blobs, text_slices
 
 #: Bytes that are parts of words: digits, a-z and all of non-ASCII; A-Z become a-z, the others spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -196,16 +196,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
-        for batch in batches:
-            texts = blobs(batch, "text")
-            ends = np.cumsum([len(t or b"") for t in texts])
-            start = 0
-            while start < len(texts):
-                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + shard_bytes)))
-                found = list(zip(*judge(texts[start:end], bench), strict=True))
-                arrays = [pa.array(f, k) for f, k in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, *arrays], [*batch.schema.names, *names])
-                start = end
+        for part in text_slices(batches, size=shard_bytes):
+            found = list(zip(*judge(blobs(part, "text"), bench), strict=True))
+            arrays = [pa.array(f, k) for f, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
 
     return docs.mapInArrow(report, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Counter64, column, id_remainder, merged_counts
+from lensfold.llm.common import Counter64, column, id_remainder, merged_counts, text_slices
 
 #: Stands for a word edge inside n-grams; it is no letter.
 EDGE = 1
@@ -66,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = by_lang[lang].flush()
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in text_slices(batches):
         for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
             counter = by_lang.setdefault(lang, Counter64())
             for i in range(0, len(text), BLOCK):
@@ -132,12 +132,10 @@ def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranker(profiles, size)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                found = [rank(t) for t in column(part, "text").to_pylist()]
-                arrays = [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "lang_pred", "score"])
+        for part in text_slices(batches):
+            found = [rank(t) for t in column(part, "text").to_pylist()]
+            arrays = [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, schema)
 

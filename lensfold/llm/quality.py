@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Shared, blobs, column, merged_counts, word_blocks
+from lensfold.llm.common import Shared, blobs, column, merged_counts, text_slices, word_blocks
 
 BITS = 18
 SHAPE_WEIGHT = 4.0
@@ -115,7 +115,7 @@ def learn(rated: DataFrame, docs: DataFrame, grades: int = 3, sample: int = 12_0
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
-        for batch in batches:
+        for batch in text_slices(batches):
             found = [of.of(b) for b in blobs(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "weight"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "grade", "weight", "number", "value"])
 
@@ -138,13 +138,11 @@ def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, of = shared.value, Features()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = [of.of(b) for b in blobs(part, "text")]
-                position = np.array([float(model.weights[i].astype(float) @ v) for i, v in found])
-                tails = model.tails(position)
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(position), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array((tails >= 0.5).sum(axis=1))], ["doc_id", "position", "expected_grade", "tails", "grade"])
+        for part in text_slices(batches):
+            found = [of.of(b) for b in blobs(part, "text")]
+            position = np.array([float(model.weights[i].astype(float) @ v) for i, v in found])
+            tails = model.tails(position)
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(position), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array((tails >= 0.5).sum(axis=1))], ["doc_id", "position", "expected_grade", "tails", "grade"])
 
     return docs.select("doc_id", "text").mapInArrow(grade, docs.select("doc_id", F.lit(0.0).alias("position"), F.lit(0.0).alias("expected_grade"), F.array().cast("array<double>").alias("tails"), F.lit(0).cast("long").alias("grade")).schema)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import blobs, column, save, word_blocks
+from lensfold.llm.common import blobs, column, save, text_slices, word_blocks
 from lensfold.llm.components import connected_components, local_labels
 
 BUDGET = 2
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, fp``: a hash of the text and the fingerprint, as a signed bigint, of each row of ``docs(doc_id, text)``."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             fps = np.array([fingerprint(b) for b in blobs(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 

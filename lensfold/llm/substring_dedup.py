@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Words, blobs, byte_slices, column, free_shuffles, grouped, mixed, save, shingle_hashes
+from lensfold.llm.common import Words, blobs, column, free_shuffles, grouped, mixed, save, shingle_hashes, text_slices
 from lensfold.llm.components import connected_components, local_labels
 
 SHINGLE, WINDOW = 5, 25
@@ -108,9 +108,8 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], min_words: int, size: int = 1 << 20) -> Iterator[tuple[pa.Array, pa.Array, Chunk]]:
-    for batch in batches:
-        for part in byte_slices(batch, "text", size):
-            yield column(part, "doc_id"), column(part, "tag"), Chunk(column(part, "text"), min_words)
+    for part in text_slices(batches, size=size):
+        yield column(part, "doc_id"), column(part, "tag"), Chunk(column(part, "text"), min_words)
 
 
 def paragraphs(docs: DataFrame, min_words: int, similarity: float, anchor: int) -> DataFrame:
@@ -398,7 +397,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = joined.drop("_spans").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             spans = column(batch, "_spans").to_pylist()
             own = batch.select([c for c in batch.schema.names if c != "_spans"])
             at = own.schema.get_field_index("text")

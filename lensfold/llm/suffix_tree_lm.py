@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensfold.llm.common import Words, byte_slices, column, discard, free_shuffles, grouped, id_remainder, mixed, save, save_bucketed
+from lensfold.llm.common import Words, column, discard, free_shuffles, grouped, id_remainder, mixed, save, save_bucketed, text_slices
 
 ADD = 0.1
 DISCOUNT = 0.5
@@ -130,18 +130,17 @@ def chunks(docs: DataFrame) -> DataFrame:
             values = [pa.array([x], t) for x, t in ((number, pa.int64()), (int(sizes.sum()), pa.int64()), (learnt, pa.int64()))]
             return pa.RecordBatch.from_arrays([*values, *lists, pa.array([packed_keys(words)], pa.binary()), pa.array([packed(codes)], pa.binary())], ["chunk", "n_tokens", "n_train", "doc_id", "held_out", "sizes", "words", "codes"])
 
-        for batch in batches:
-            for part in byte_slices(batch, "text", 1 << 20):
-                read = Words(column(part, "text"))
-                sizes = read.counts + 1
-                tokens, ends = np.empty(int(sizes.sum()), np.uint64), np.zeros(int(sizes.sum()), bool)
-                ends[np.cumsum(sizes) - 1] = True
-                tokens[ends], tokens[~ends] = END, read.hashes.view(np.uint64)
-                held.append((column(part, "doc_id"), column(part, "held_out"), sizes, tokens))
-                total += len(tokens)
-                if total >= CHUNK_TOKENS:
-                    yield row()
-                    number, held, total = number + 1, [], 0
+        for part in text_slices(batches):
+            read = Words(column(part, "text"))
+            sizes = read.counts + 1
+            tokens, ends = np.empty(int(sizes.sum()), np.uint64), np.zeros(int(sizes.sum()), bool)
+            ends[np.cumsum(sizes) - 1] = True
+            tokens[ends], tokens[~ends] = END, read.hashes.view(np.uint64)
+            held.append((column(part, "doc_id"), column(part, "held_out"), sizes, tokens))
+            total += len(tokens)
+            if total >= CHUNK_TOKENS:
+                yield row()
+                number, held, total = number + 1, [], 0
         if held:
             yield row()
 
