@@ -211,12 +211,13 @@ def mot_from_boxes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mot_metrics.compute(_box_events(spark, d), mot_metrics.MOTCHALLENGE))
 
 
-@query(f"""WITH {t.LOG}, f AS (SELECT max(frame_id) + 1 AS fo, max(oid) + 1 AS oo, max(hid) + 1 AS ho FROM log WHERE seq = '0')
-SELECT 'merged' AS seq, frame_id, event, type, oid, hid, round(d, 6) AS d FROM log WHERE seq = '0'
-UNION ALL SELECT 'merged', frame_id + fo, event, type, oid + oo, hid + ho, round(d, 6) FROM log, f WHERE seq = '1'""")
+@query(f"""WITH {t.LOG}, f AS (SELECT seq, max(frame_id) + 1 AS fo, max(oid) + 1 AS oo, max(hid) + 1 AS ho FROM log GROUP BY seq),
+o AS (SELECT seq, coalesce(sum(fo) OVER w, 0)::BIGINT AS fo, coalesce(sum(oo) OVER w, 0)::BIGINT AS oo, coalesce(sum(ho) OVER w, 0)::BIGINT AS ho FROM f WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT 'merged' AS seq, frame_id + fo AS frame_id, event, type, oid + oo AS oid, hid + ho AS hid, round(d, 6) AS d FROM log JOIN o USING (seq)""")
 def mot_merged_logs(spark: SparkSession, d: str) -> DataFrame:
+    """All five sequences, one after another."""
     log = t.event_log(spark, d)
-    return rounded(mot_events.merge_logs([log.filter("seq = '0'"), log.filter("seq = '1'")])[0])
+    return rounded(mot_events.merge_logs([log.filter(F.col("seq") == str(k)) for k in range(5)])[0])
 
 
 @query(f"WITH {t.LOG}, c AS (SELECT seq, oid, count(*) AS n FROM log WHERE oid IS NOT NULL GROUP BY seq, oid), m AS (SELECT seq, oid, dense_rank() OVER (PARTITION BY seq ORDER BY oid) - 1 AS id FROM c) SELECT id, sum(n)::BIGINT AS n, count(*) AS seqs FROM c JOIN m USING (seq, oid) GROUP BY id")
