@@ -619,7 +619,16 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     return detection.nms(_nms_boxes(spark, d), 0.3).select("image_id", "label", "id", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.BOXES}, b AS (SELECT frame_id AS image_id, id, (part % 2)::INT AS label, x AS x1, y AS y1, x + 3 * w AS x2, y + 3 * h AS y2, round(score, 6) AS score FROM dt),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS k FROM b),
+nms AS (SELECT image_id, 0::BIGINT AS k, []::STRUCT(id BIGINT, label INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE)[] AS kept FROM (SELECT DISTINCT image_id FROM b)
+  UNION ALL SELECT n.image_id, o.k, CASE WHEN len(list_filter(n.kept, lambda q: greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1)) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1))
+    / ((q.x2 - q.x1) * (q.y2 - q.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1)) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1))) > 0.3)) > 0 THEN n.kept
+    ELSE list_append(n.kept, {{'id': o.id, 'label': o.label, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'score': o.score}}) END
+  FROM nms n JOIN o ON o.image_id = n.image_id AND o.k = n.k + 1),
+u AS (SELECT image_id, unnest(kept) AS q FROM (SELECT image_id, arg_max(kept, k) AS kept FROM nms GROUP BY image_id)),
+r AS (SELECT image_id, q.id AS id, q.label AS label, q.score AS score, row_number() OVER (PARTITION BY image_id ORDER BY q.score DESC, q.id) AS place FROM u)
+SELECT image_id, id, label, score FROM r WHERE place <= 3""")
 def nms_agnostic_top_k(spark: SparkSession, d: str) -> DataFrame:
     return detection.nms(_nms_boxes(spark, d), 0.3, by_class=False, keep=3).select("image_id", "id", "label", "score")
 
