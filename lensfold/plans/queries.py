@@ -545,7 +545,13 @@ def new_poses(spark: SparkSession, d: str) -> DataFrame:
     return pose.new_poses(p, g, ["seq", "frame_id"], 0.3).select("seq", "frame_id", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.BOXES}, c AS (SELECT {_VARIANCES} AS vs), p AS (SELECT *, round(score, 6) AS s, row_number() OVER (PARTITION BY seq, frame_id ORDER BY round(score, 6) DESC, id) AS k FROM dt),
+x AS (SELECT b.seq, b.frame_id, b.k, list(a.k::BIGINT) AS clash FROM p a JOIN p b USING (seq, frame_id), c WHERE a.k < b.k AND {_OKS.format(area='(a.w * a.h + b.w * b.h) / 2')} >= 0.4 GROUP BY ALL),
+o AS (SELECT p.*, coalesce(clash, []::BIGINT[]) AS clash FROM p LEFT JOIN x USING (seq, frame_id, k)),
+n AS (SELECT DISTINCT seq, frame_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM p
+  UNION ALL SELECT n.seq, n.frame_id, o.k, CASE WHEN len(list_intersect(n.kept, o.clash)) > 0 THEN n.kept ELSE list_append(n.kept, o.k::BIGINT) END FROM n JOIN o ON o.seq = n.seq AND o.frame_id = n.frame_id AND o.k = n.k + 1),
+u AS (SELECT seq, frame_id, unnest(kept) AS k FROM (SELECT seq, frame_id, arg_max(kept, k) AS kept FROM n GROUP BY seq, frame_id))
+SELECT seq, frame_id, id, s AS score FROM u JOIN p USING (seq, frame_id, k)""")
 def pose_nms(spark: SparkSession, d: str) -> DataFrame:
     _, p = _poses(spark, d)
     return rounded(pose.pose_nms(p, ["seq", "frame_id"], 0.4).select("seq", "frame_id", "id", "score"))
