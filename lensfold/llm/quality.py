@@ -102,8 +102,8 @@ def learn(rated: DataFrame, docs: DataFrame, grades: int = 3, sample: int = 12_0
     About ``sample`` rated documents are used: half of them in the grades' own shares and half in equal shares, so that a
     rare grade is seen often, and in each grade those with the least hash of their id. The likelihood weighs a grade's
     rows back to its share. That many ids are sent to the scan of ``docs`` and that many feature lists reach the driver.
-    Ratings that are null or outside the range, and null ids,
-    teach nothing; of several ratings of an id the lowest counts. Without ratings every grade is equally likely.
+    Ratings that are null or outside the range, and null ids, teach nothing; of several ratings of an id the lowest counts,
+    of several texts the least. Without ratings, or of an empty table, every grade is equally likely.
     """
     usable = rated.filter(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     many = {r.grade: r["count"] for r in usable.groupBy("grade").count().collect()}
@@ -111,7 +111,7 @@ def learn(rated: DataFrame, docs: DataFrame, grades: int = 3, sample: int = 12_0
     for grade, n in sorted(many.items()):
         quota = min(n, round(sample / 2 * (n / total + 1 / len(many))))
         chosen = chosen.unionByName(usable.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quota).withColumn("weight", F.lit(n / max(1, quota))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "weight").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
@@ -119,7 +119,7 @@ def learn(rated: DataFrame, docs: DataFrame, grades: int = 3, sample: int = 12_0
             found = [of.of(b) for b in blobs(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "weight"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "grade", "weight", "number", "value"])
 
-    rows = texts.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, weight double, number array<int>, value array<float>").limit(2 * sample).toArrow().combine_chunks()
+    rows = texts.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, weight double, number array<int>, value array<float>").toArrow().combine_chunks()
     if not rows.num_rows:
         return Ordinal(np.zeros(1 << BITS, np.float32), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)))
     rows = rows.sort_by("doc_id").combine_chunks()

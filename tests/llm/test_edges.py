@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeats, empty tables and clashing columns: nothing crashes, and each case has its result."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,12 @@ def test_passage_in_texts_of_one_id(spark):
     docs = spark.createDataFrame([(5, f"{own('a')} {shared} {own('b')}"), (5, f"{own('c')} {shared} {own('d')}"), (None, f"third {shared}")], "doc_id long, text string")
     got = sorted((r.n_words, r.n_removed, r.repeats) for r in substring_dedup.substring_report(docs).collect())
     assert got == [(61, 0, False), (140, 0, False), (140, 60, True)]
+
+
+def test_quality_of_repeated_ids(spark):
+    """Several texts of an id teach once, whatever the order and number of rows."""
+    rows = [(k, f"good{k % 5} words here {k}" if k % 2 else f"bad{k % 5} junk there {k}") for k in range(60)]
+    rated = spark.createDataFrame([(k, 2 * (k % 2)) for k in range(60)], "doc_id long, grade int")
+    one = quality.learn(rated, spark.createDataFrame(rows, "doc_id long, text string"))
+    many = quality.learn(rated, spark.createDataFrame(rows[::-1] + [(k, t + " zzz") for k, t in rows] * 3, "doc_id long, text string"))
+    assert np.allclose(one.weights, many.weights, atol=1e-5) and np.allclose(one.thresholds, many.thresholds, atol=1e-5)
