@@ -34,7 +34,7 @@ class Track:
 class Tracker:
     """State of one sequence.
 
-    A frame's detections take the free active track with most affinity, best affinity first (``greedy``). What is left is
+    A frame's detections take, in their order, the free active track with most affinity (``greedy``). What is left is
     compared with inactive tracks by the dot product of features and assigned optimally (if ``reid``). The rest start
     tracks. Tracks without detection grow inactive, and die after ``patience`` frames; those shorter than ``shortest``
     detections die at once.
@@ -49,18 +49,14 @@ class Tracker:
     tracks: list[Track] = field(default_factory=list)
 
     def greedy(self, detections: list, affinity: dict) -> dict:
-        """detection -> track, by falling affinity of a track's last detection; ties by track, then detection."""
-        pairs = []
-        for t in self.tracks:
-            if t.active and t.detections:
-                last = t.detections[-1][1]
-                pairs += [(-affinity[last, d], t.number, d, t) for d in detections if affinity.get((last, d), -np.inf) >= self.min_affinity]
-        taken, used, out = set(), set(), {}
-        for _, number, d, track in sorted(pairs, key=lambda p: p[:3]):
-            if d not in taken and number not in used:
-                taken.add(d)
-                used.add(number)
-                out[d] = track
+        """detection -> track: each detection in turn takes the free active track with most affinity; ties by track."""
+        free = {t.number: t for t in self.tracks if t.active and t.detections}
+        out = {}
+        for d in detections:
+            values = {n: affinity.get((t.detections[-1][1], d), 0.0) for n, t in free.items()}
+            fit = [n for n, v in values.items() if v > 0 and v >= self.min_affinity]
+            if fit:
+                out[d] = free.pop(min(fit, key=lambda n: (-values[n], n)))
         return out
 
     def reassociate(self, detections: list, features: dict) -> dict:
@@ -116,23 +112,52 @@ def track(detections: DataFrame, affinities: DataFrame, **parameters) -> DataFra
     return detections.groupBy("seq").cogroup(affinities.groupBy("pair_seq")).applyInPandas(fold, "seq string, frame_id long, det_id long, track_id long")
 
 
-def fused_affinity(pairs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Add ``value`` = pose affinity + correlation score per joint, and each detection's best track by a vote of the two and their sum.
+def fused_affinity(pairs: DataFrame, pose_threshold: float = 0.8, corr_threshold: float = 0.1, min_joints: int = 3) -> DataFrame:
+    """Add ``pose_held, value, votes, chosen`` to ``pairs(seq, frame_id, track_id, det_id, box, pose, corr, n_joints)``.
+
+    ``box`` is the share of a track's points inside the detection's box, ``corr`` a sum over ``n_joints`` joints. A pair with
+    ``box`` above ``corr_threshold`` has a value, the pose score plus the correlation per joint. A track chooses its pair of
+    most value (ties: smaller detection) if the pose is above ``pose_threshold`` and the correlation above
+    ``corr_threshold`` times ``min_joints``. ``votes`` counts box, correlation and pose where they speak for the pair.
+    Missing scores are 0.
+    """
+    for c in ("box", "pose", "corr"):
+        pairs = pairs.withColumn(c, F.coalesce(c, F.lit(0.0)))
+    near = F.col("box") > corr_threshold
+    per_joint = F.col("corr") / F.greatest(F.coalesce("n_joints", F.lit(0)), F.lit(1))
+    rows = pairs.withColumn("pose_held", F.when(near, F.col("pose")).otherwise(0.0)).withColumn("value", F.when(near, F.col("pose") + per_joint))
+    rows = rows.withColumn("votes", (F.col("box") > 0).cast("int") + (F.col("corr") > 0).cast("int") + (F.col("pose") > pose_threshold).cast("int"))
+    first = F.row_number().over(Window.partitionBy("seq", "frame_id", "track_id").orderBy(F.desc_nulls_last("value"), "det_id")) == 1
+    passes = (F.col("value") > 0) & (F.col("pose") > pose_threshold) & (F.col("corr") > corr_threshold * min_joints)
+    return rows.withColumn("chosen", first & F.coalesce(passes, F.lit(False)))
+
+
+def associated(scored: DataFrame) -> DataFrame:
+    """``seq, frame_id, det_id, track_id``: each detection with the best of the tracks that chose it, among pairs of ``fused_affinity``.
 
-    ``pairs(seq, frame_id, track_id, det_id, pose, corr, n_joints)``; ``votes`` counts the measures that prefer the pair, and a
-    pair needs two of the three and ``least`` in sum.
+    A track chooses one detection, so this equals the greedy pass over a frame's detections.
     """
-    rows = pairs.withColumn("corr", F.try_divide("corr", "n_joints")).withColumn("value", F.col("pose") + F.coalesce("corr", F.lit(0.0)))
-    keys = ["seq", "frame_id", "det_id"]
-    best = lambda c: (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), "track_id")) == 1).cast("int")
-    rows = rows.withColumn("votes", best("pose") + best("corr") + best("value"))
-    return rows.withColumn("chosen", (F.col("votes") >= 2) & (F.col("value") >= least))
+    order = Window.partitionBy("seq", "frame_id", "det_id").orderBy(F.desc("value"), "track_id")
+    return scored.filter("chosen").withColumn("k", F.row_number().over(order)).filter("k = 1").select("seq", "frame_id", "det_id", "track_id")
 
 
-def duplicates(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Detections whose pose and correlation ratios to their best track exceed the threshold together."""
-    best = Window.partitionBy("seq", "frame_id", "det_id").orderBy(F.desc(F.col("pose") + F.col("corr")), "track_id")
-    return pairs.withColumn("k", F.row_number().over(best)).filter((F.col("k") == 1) & (F.col("pose") + F.col("corr") > threshold)).select("seq", "frame_id", "det_id", "track_id")
+def duplicates(scored: DataFrame, threshold: float) -> DataFrame:
+    """``seq, frame_id, det_id, track_id``: detections without a track that look like a second sight of one (the smallest such track).
+
+    Of a track that more than one detection has votes for, pose and correlation are divided by those of the track's own
+    detection: the one it chose, or the frame's first. A ratio to nothing is 0; the two ratios together exceed ``threshold``.
+    """
+    track = Window.partitionBy("seq", "frame_id", "track_id")
+    rows = scored.withColumn("first", F.min("det_id").over(Window.partitionBy("seq", "frame_id")))
+    rows = rows.withColumn("any", F.max("chosen").over(track)).withColumn("n", F.sum((F.col("votes") > 0).cast("int")).over(track))
+    own = F.when(F.col("any"), F.col("chosen")).otherwise(F.col("det_id") == F.col("first"))
+    ratio = F.lit(0.0)
+    for c in ("pose_held", "corr"):
+        best = F.max(F.when(own, F.col(c))).over(track)
+        ratio = ratio + F.when(best > 0, F.col(c) / best).otherwise(0.0)
+    rows = rows.withColumn("ratio", ratio).withColumn("taken", F.max("chosen").over(Window.partitionBy("seq", "frame_id", "det_id")))
+    found = rows.filter((F.col("votes") > 0) & (F.col("n") > 1) & (F.col("ratio") > threshold) & ~F.col("taken"))
+    return found.groupBy("seq", "frame_id", "det_id").agg(F.min("track_id").alias("track_id"))
 
 
 def long_tracks(rows: DataFrame, least: int, least_joints: int = 0, joints: Column | None = None) -> DataFrame:

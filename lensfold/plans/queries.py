@@ -729,24 +729,57 @@ def propagated_poses(spark: SparkSession, d: str) -> DataFrame:
     return tracker.propagated(t.ground_truth(spark, d).select("seq", "frame_id", "id", "x", "y"))
 
 
-_AFFINITY = "af AS (SELECT frame_id, d_id AS det_id, g_id AS track_id, seq, round(iou, 9) AS pose, round(1 / (1 + d2), 9) AS corr FROM bp), a2 AS (SELECT *, pose + corr AS value FROM af), v AS (SELECT *, (row_number() OVER (PARTITION BY seq, frame_id, det_id ORDER BY pose DESC, track_id) = 1)::INT + (row_number() OVER (PARTITION BY seq, frame_id, det_id ORDER BY corr DESC, track_id) = 1)::INT + (row_number() OVER (PARTITION BY seq, frame_id, det_id ORDER BY value DESC, track_id) = 1)::INT AS votes FROM a2)"
+_AFFINITY = """af AS (
+  SELECT seq, frame_id, d_id AS det_id, g_id AS track_id, round(inter / da, 9) AS box, round(iou, 9) AS pose, round(10 / (1 + d2 / 100), 9) AS corr FROM bp
+), best AS (
+  SELECT seq, frame_id, track_id, max(pose + corr / 17) AS most FROM af WHERE box > 0.1 GROUP BY ALL
+), pick AS (
+  SELECT seq, frame_id, track_id, min(det_id) AS det_id
+  FROM af JOIN best USING (seq, frame_id, track_id) WHERE box > 0.1 AND pose + corr / 17 = most GROUP BY ALL
+), chosen AS (
+  SELECT af.*, pose + corr / 17 AS value FROM af JOIN pick USING (seq, frame_id, track_id, det_id) WHERE pose > 0.5 AND corr > 0.1 * 3
+), voted AS (
+  SELECT *, (box > 0)::INT + (corr > 0)::INT + (pose > 0.5)::INT AS votes FROM af
+)"""
 
 
 def _affinities(spark: SparkSession, d: str) -> DataFrame:
     gt = t.ground_truth(spark, d)
     a, b = boxes.pair_boxes()
     d2 = (F.col("g_x") - F.col("d_x")) ** 2 + (F.col("g_y") - F.col("d_y")) ** 2
-    return boxes.frame_pairs(gt, t.detections(gt)).select("seq", "frame_id", F.col("g_id").alias("track_id"), F.col("d_id").alias("det_id"), F.round(geometry.iou(a, b), 9).alias("pose"), F.round(1 / (1 + d2), 9).alias("corr"), F.lit(1).alias("n_joints"))
+    scores = [F.round(geometry.ioa(b, a), 9).alias("box"), F.round(geometry.iou(a, b), 9).alias("pose"), F.round(10 / (1 + d2 / 100), 9).alias("corr"), F.lit(17).alias("n_joints")]
+    pairs = boxes.frame_pairs(gt, t.detections(gt)).select("seq", "frame_id", F.col("g_id").alias("track_id"), F.col("d_id").alias("det_id"), *scores)
+    return tracker.fused_affinity(pairs, pose_threshold=0.5)
 
 
-@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY} SELECT seq, frame_id, track_id, det_id, votes, round(value, 9) AS value FROM v WHERE votes >= 2 AND value >= 0.3")
+@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY} SELECT seq, frame_id, track_id, det_id, votes, round(value, 9) AS value FROM chosen JOIN voted USING (seq, frame_id, track_id, det_id)")
 def fused_affinity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tracker.fused_affinity(_affinities(spark, d)).filter("chosen").select("seq", "frame_id", "track_id", "det_id", "votes", "value"), 9)
-
-
-@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY}, k AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_id, det_id ORDER BY value DESC, track_id) AS k FROM a2) SELECT seq, frame_id, det_id, track_id FROM k WHERE k = 1 AND value > 1.2")
+    return rounded(_affinities(spark, d).filter("chosen").select("seq", "frame_id", "track_id", "det_id", "votes", "value"), 9)
+
+
+@query(f"WITH {t.BOX_PAIRS}, {_AFFINITY} SELECT seq, frame_id, det_id, arg_max(track_id, (value, -track_id)) AS track_id FROM chosen GROUP BY ALL")
+def associated_detections(spark: SparkSession, d: str) -> DataFrame:
+    return tracker.associated(_affinities(spark, d))
+
+
+@query(
+    f"""WITH {t.BOX_PAIRS}, {_AFFINITY}, first AS (
+  SELECT seq, frame_id, min(det_id) AS det_id FROM af GROUP BY ALL
+), own AS (
+  SELECT seq, frame_id, track_id, pose, corr FROM chosen
+  UNION ALL
+  SELECT seq, frame_id, track_id, CASE WHEN box > 0.1 THEN pose ELSE 0 END, corr FROM af SEMI JOIN first USING (seq, frame_id, det_id) ANTI JOIN chosen USING (seq, frame_id, track_id)
+), many AS (
+  SELECT seq, frame_id, track_id FROM voted WHERE votes > 0 GROUP BY ALL HAVING count(*) > 1
+), ratios AS (
+  SELECT v.seq, v.frame_id, v.det_id, v.track_id,
+         CASE WHEN own.pose > 0 AND v.box > 0.1 THEN v.pose / own.pose ELSE 0 END + CASE WHEN own.corr > 0 THEN v.corr / own.corr ELSE 0 END AS ratio
+  FROM voted v JOIN own USING (seq, frame_id, track_id) SEMI JOIN many USING (seq, frame_id, track_id) WHERE v.votes > 0
+)
+SELECT seq, frame_id, det_id, min(track_id) AS track_id FROM ratios ANTI JOIN chosen USING (seq, frame_id, det_id) WHERE ratio > 0.6 GROUP BY ALL"""
+)
 def duplicate_detections(spark: SparkSession, d: str) -> DataFrame:
-    return tracker.duplicates(_affinities(spark, d), 1.2)
+    return tracker.duplicates(_affinities(spark, d), 0.6)
 
 
 @query()

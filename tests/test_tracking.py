@@ -243,6 +243,9 @@ def test_tracker():
     t = tracker.Tracker(min_affinity=0.5, patience=2)
     assert t.step(0, [1, 2], {}, {}) == [(1, 0), (2, 1)]
     assert t.step(1, [3, 4], {(1, 4): 0.9, (2, 3): 0.8, (1, 3): 0.7}, {}) == [(3, 1), (4, 0)]
+    t = tracker.Tracker(min_affinity=0.5)
+    t.step(0, [1], {}, {})
+    assert t.step(1, [3, 4], {(1, 3): 0.7, (1, 4): 0.9}, {}) == [(3, 0), (4, 1)]
     t = tracker.Tracker(min_similarity=0.5, patience=3)
     t.step(0, [1], {}, {1: [1.0, 0.0]})
     t.step(1, [], {}, {})
@@ -251,3 +254,23 @@ def test_tracker():
     t.step(0, [1], {}, {1: [1.0, 0.0]})
     t.step(1, [], {}, {})
     assert t.step(2, [2], {}, {2: [1.0, 0.0]}) == [(2, 1)]
+
+
+def test_fused_affinity(spark):
+    rows = [
+        ("s", 0, 1, 1, 0.9, 0.9, 4.0, 8),  # chosen: 0.9 + 0.5
+        ("s", 0, 1, 2, 0.5, 0.9, 3.9, 8),  # nearly as good, no track of its own
+        ("s", 0, 1, 3, 0.05, 0.99, 4.0, 8),  # box too small: no value, a ratio by correlation alone
+        ("s", 0, 2, 1, 0.9, 0.85, 4.0, 8),  # a second track for detection 1
+        ("s", 0, 3, 3, 0.9, 0.7, 9.0, 1),  # most value, but the pose is too far
+        ("s", 1, 1, 1, None, None, None, 0),
+    ]
+    pairs = spark.createDataFrame(rows, "seq string, frame_id long, track_id long, det_id long, box double, pose double, corr double, n_joints int")
+    scored = tracker.fused_affinity(pairs)
+    chosen = {(r.track_id, r.det_id): (round(r.value, 9), r.votes) for r in scored.filter("chosen").collect()}
+    assert chosen == {(1, 1): (1.4, 3), (2, 1): (1.35, 3)}
+    assert [(r.det_id, r.track_id) for r in tracker.associated(scored).collect()] == [(1, 1)]
+    found = lambda least: sorted((r.det_id, r.track_id) for r in tracker.duplicates(scored, least).collect())
+    assert found(1.5) == [(2, 1)]
+    assert found(0.99) == [(2, 1), (3, 1)]
+    assert found(1.98) == []
