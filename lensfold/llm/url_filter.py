@@ -22,7 +22,8 @@ _STACK = "array<struct<host:string,path:string,verdict:string>>"
 
 
 def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = F.array(*[F.struct(*map(F.lit, rule)) for rule in rules]).cast("array<struct<verdict:string,host:string,path:string>>")
+    return spark.range(1).select(F.inline(rows))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
