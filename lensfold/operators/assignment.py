@@ -91,27 +91,29 @@ def assign(cost: np.ndarray, solver: str | Solver | None = None) -> list[tuple[i
     return sorted(p for p in pairs if ok[p])
 
 
-def assign_groups(edges: DataFrame, keys: list[str], row: str, column: str, cost: str, maximise: bool = False) -> DataFrame:
+def assign_groups(edges: DataFrame, keys: list[str], row: str, column: str, cost: str, maximise: bool = False, solver: str | Solver | None = None) -> DataFrame:
     """``keys, row, column, cost`` of the optimal pairs in each group of ``edges``; a pair without an edge is forbidden.
 
-    One group's matrix is solved in one task: group by what bounds it, such as a frame.
+    One group's matrix is solved in one task: group by what bounds it, such as a frame. ``solver``, or the one in use where this
+    is called, is sent to the tasks.
     """
+    solver = solver if callable(solver) else _SOLVERS[solver or _DEFAULT[-1]]
     edges = edges.select(*keys, row, column, cost)
 
     def solve(g: Group) -> Group | None:
-        own = chosen_edges(g[row], g[column], g[cost] * (-1 if maximise else 1))
+        own = chosen_edges(g[row], g[column], g[cost] * (-1 if maximise else 1), solver)
         return {n: v[own] for n, v in g.items()} if len(own) else None
 
     return fold_groups(edges, keys, solve, edges.schema)
 
 
-def chosen_edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def chosen_edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, solver: str | Solver | None = None) -> np.ndarray:
     """Places of the edges (row, column, cost) that the optimal assignment uses."""
     r, i = np.unique(rows, return_inverse=True)
     c, j = np.unique(columns, return_inverse=True)
     matrix, place = np.full((len(r), len(c)), np.nan), np.zeros((len(r), len(c)), int)
     matrix[i, j], place[i, j] = cost, np.arange(len(cost))
-    return np.array([place[p] for p in assign(matrix)], int)
+    return np.array([place[p] for p in assign(matrix, solver)], int)
 
 
 def best_edges(rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lensfold.functions import geometry, text, vectors
@@ -557,22 +557,41 @@ def pose_nms(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pose.pose_nms(p, ["seq", "frame_id"], 0.4).select("seq", "frame_id", "id", "score"))
 
 
-@query(f"""WITH {t.BOX_PAIRS}, s AS (SELECT frame_id, g_id, d_id, iou FROM bp WHERE iou > 0), a AS (SELECT *, row_number() OVER (PARTITION BY frame_id, d_id ORDER BY round(iou, 9) DESC, g_id) AS k FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, g_id ORDER BY round(iou, 9) DESC, d_id) AS k2 FROM a WHERE k = 1) SELECT frame_id, g_id, d_id FROM b WHERE k2 = 1""")
+def _corners(rows: DataFrame, *more: Column | str) -> DataFrame:
+    """The upper left corner of each box as joint 0 and the lower right one as joint 12."""
+    first = F.struct(F.lit(0).alias("joint"), (F.col("x") + 1).alias("jx"), (F.col("y") + 1).alias("jy"))
+    last = F.struct(F.lit(12).alias("joint"), (F.col("x") + F.col("w")).alias("jx"), (F.col("y") + F.col("h")).alias("jy"))
+    rows = rows.withColumn("c", F.explode(F.array(first, last)))
+    return rows.select("seq", "frame_id", "id", F.col("c.joint").alias("joint"), F.col("c.jx").alias("x"), F.col("c.jy").alias("y"), *more)
+
+
+def _head() -> list[Column]:
+    return [F.lit(0.0).alias("hx1"), F.lit(0.0).alias("hy1"), (F.col("w") / 3).alias("hx2"), (F.col("h") / 3).alias("hy2")]
+
+
+@query(
+    f"""WITH {t.BOXES}, two AS (
+  SELECT g.seq, g.frame_id, g.id AS gt_id, d.id AS dt_id, sqrt((g.w / 3) * (g.w / 3) + (g.h / 3) * (g.h / 3)) * 0.6 AS head,
+         sqrt((g.x + 1 - d.x - 1) ** 2 + (g.y + 1 - d.y - 1) ** 2) AS upper, sqrt((g.x + g.w - d.x - d.w) ** 2 + (g.y + g.h - d.y - d.h) ** 2) AS lower
+  FROM gt g JOIN dt d USING (seq, frame_id)
+), hit AS (
+  SELECT seq, frame_id, gt_id, dt_id, (upper / head <= 0.5)::INT + (lower / head <= 0.5)::INT AS hits FROM two
+), one AS (
+  SELECT seq, frame_id, dt_id, arg_max(gt_id, (hits, -gt_id)) AS gt_id, max(hits) AS hits FROM hit WHERE hits > 0 GROUP BY ALL
+)
+SELECT seq, frame_id, gt_id, arg_max(dt_id, (hits, -dt_id)) AS dt_id FROM one GROUP BY ALL"""
+)
 def mutual_best_match(spark: SparkSession, d: str) -> DataFrame:
-    gt = t.ground_truth(spark, d)
-    pairs = boxes.iou_join(gt, t.detections(gt), 1.0, touching=True).withColumn("iou", F.round("iou", 9))
-    best = lambda by, other: F.row_number().over(Window.partitionBy("frame_id", by).orderBy(F.desc("iou"), other))
-    return pairs.withColumn("k", best("d_id", "g_id")).filter("k = 1").withColumn("k", best("g_id", "d_id")).filter("k = 1").select("frame_id", "g_id", "d_id")
+    gt, keys = t.ground_truth(spark, d), ["seq", "frame_id"]
+    distances = pose.joint_distances(_corners(gt, *_head()), _corners(t.detections(gt), "score"), keys)
+    return pose.match_poses(distances, gt.select(*keys, F.col("id").alias("gt_id"), F.lit(2).alias("n")), keys)
 
 
 @query()
 def keypoint_ap(spark: SparkSession, d: str) -> DataFrame:
     """Keypoint precision of the boxes' corners, with a tenth of the box as head."""
     gt = t.ground_truth(spark, d)
-    corner = F.explode(F.array(F.struct(F.lit(0).alias("joint"), (F.col("x") + 1).alias("jx"), (F.col("y") + 1).alias("jy")), F.struct(F.lit(12).alias("joint"), (F.col("x") + F.col("w")).alias("jx"), (F.col("y") + F.col("h")).alias("jy"))))
-    one = lambda x, *more: x.withColumn("c", corner).select("seq", "frame_id", "id", F.col("c.joint").alias("joint"), F.col("c.jx").alias("x"), F.col("c.jy").alias("y"), *more)
-    head = [F.lit(0.0).alias("hx1"), F.lit(0.0).alias("hy1"), (F.col("w") / 3).alias("hx2"), (F.col("h") / 3).alias("hy2")]
-    return rounded(pose.keypoint_ap(one(gt, *head), one(t.detections(gt), F.round("score", 6).alias("score")), ["seq", "frame_id"]))
+    return rounded(pose.keypoint_ap(_corners(gt, *_head()), _corners(t.detections(gt), F.round("score", 6).alias("score")), ["seq", "frame_id"]))
 
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:

@@ -274,3 +274,10 @@ def test_fused_affinity(spark):
     assert found(1.5) == [(2, 1)]
     assert found(0.99) == [(2, 1), (3, 1)]
     assert found(1.98) == []
+
+
+def test_assignment_solver_reaches_tasks(spark):
+    edges = spark.createDataFrame([(0, i, j, float(i == j)) for i in range(3) for j in range(3)], "g long, i long, j long, c double")
+    pairs = lambda **more: sorted((r.i, r.j) for r in assign_groups(edges, ["g"], "i", "j", "c", **more).collect())
+    assert pairs(solver=lambda cost: np.arange(len(cost))) == [(0, 0), (1, 1), (2, 2)]
+    assert all(i != j for i, j in pairs())
