@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lensfold.llm import decontaminate, embedding_dedup, html_text, language_id, packing, quality, simhash_dedup, substring_dedup, suffix_tree_lm, url_filter
+from lensfold.llm import (
+    decontaminate,
+    embedding_dedup,
+    filter_audit,
+    html_text,
+    language_id,
+    packing,
+    quality,
+    simhash_dedup,
+    spelling_groups,
+    substring_dedup,
+    suffix_tree_lm,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +39,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": lambda s, d: url_filter.judge_urls(_table(s, d, "pages"), url_filter.rules_table(s)),
         "op9_language_id": lambda s, d: language_id.predict_languages(_table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.substring_report(_table(s, d, "documents")),
+        "op11_filter_audit": lambda s, d: filter_audit.filter_audit(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op13_spelling_groups": lambda s, d: spelling_groups.spelling_report(_table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}
+    return {
+        "op1_decontamination": decontaminate.ORACLE,
+        "op4_embedding_dedup": embedding_dedup.ORACLE,
+        "op8_url_filter": url_filter.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op13_spelling_groups": spelling_groups.ORACLE,
+    }
