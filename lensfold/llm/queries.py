@@ -13,6 +13,7 @@ from lensfold.llm import (
     filter_audit,
     html_text,
     language_id,
+    license_scan,
     packing,
     quality,
     simhash_dedup,
@@ -40,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": lambda s, d: language_id.predict_languages(_table(s, d, "documents")),
         "op10_substring_dedup": lambda s, d: substring_dedup.substring_report(_table(s, d, "documents")),
         "op11_filter_audit": lambda s, d: filter_audit.filter_audit(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op12_license_scan": lambda s, d: license_scan.license_report(_table(s, d, "documents")),
         "op13_spelling_groups": lambda s, d: spelling_groups.spelling_report(_table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
@@ -51,5 +53,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embedding_dedup.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op11_filter_audit": filter_audit.ORACLE,
+        "op12_license_scan": license_scan.ORACLE,
         "op13_spelling_groups": spelling_groups.ORACLE,
     }
