@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lensfold.operators.groups import Group, fold_groups
+from lensfold.operators.components import connected_components
+from lensfold.operators.groups import Group, fold_groups, settled
 
 Solver = Callable[[np.ndarray], np.ndarray]
 
@@ -125,28 +128,74 @@ def best_edges(rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.n
     return np.array([place[p] for p in assign(matrix) if matrix[p] < 0], int)
 
 
-def match_by_components(weights: dict[tuple, float]) -> list[tuple]:
-    """Pairs (a, b) of the matching with most weight in a sparse graph of positive weights, one connected part at a time."""
-    neighbours: dict = {}
-    for a, b in weights:
-        neighbours.setdefault(("a", a), set()).add(("b", b))
-        neighbours.setdefault(("b", b), set()).add(("a", a))
-    seen: set = set()
-    out = []
-    for start in neighbours:
-        if start in seen:
-            continue
-        part, todo = set(), [start]
-        while todo:
-            x = todo.pop()
-            if x not in part:
-                part.add(x)
-                todo += neighbours[x] - part
-        seen |= part
-        left, right = sorted(x[1] for x in part if x[0] == "a"), sorted(x[1] for x in part if x[0] == "b")
-        cost = np.zeros((len(left), len(right)))
-        for i, a in enumerate(left):
-            for j, b in enumerate(right):
-                cost[i, j] = -weights.get((a, b), 0.0)
-        out += [(left[i], right[j]) for i, j in assign(cost) if cost[i, j] < 0]
-    return out
+def heaviest_matching(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Places of the edges (row, column, weight > 0) of the matching with the greatest total weight, in memory for the edges only.
+
+    Shortest augmenting paths over adjacency lists. Prices of rows and columns cover every edge's weight; a path from a new
+    row ends at a free column or at a row that is cheapest left alone. Whole weights give an exact optimum.
+    """
+    r, i = np.unique(rows, return_inverse=True)
+    c, j = np.unique(columns, return_inverse=True)
+    order = np.lexsort((j, i))
+    start = np.searchsorted(i[order], np.arange(len(r) + 1)).tolist()
+    source, head, weight = i[order].tolist(), j[order].tolist(), weights[order].tolist()
+    row_price = [max(weight[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+    price, edge_of, row_of = [0] * len(c), [-1] * len(r), [-1] * len(c)
+    for s in range(len(r)):
+        seen, came, done, heap = {s: 0}, {}, {}, []
+        best, alone, column, at, way = row_price[s], s, -1, s, 0  # the path may end at ``column``, or leave the row ``alone``
+        while True:
+            for e in range(start[at], start[at + 1]):
+                k = head[e]
+                far = way + row_price[at] + price[k] - weight[e]
+                if far < best and k not in done and (k not in came or far < came[k][0]):
+                    came[k] = far, e
+                    if row_of[k] < 0:
+                        best, column = far, k
+                    else:
+                        heappush(heap, (far, k))
+            while heap and heap[0][1] in done:
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            way, k = heappop(heap)
+            done[k], at = way, row_of[k]
+            seen[at] = way
+            if way + row_price[at] < best:
+                best, alone, column = way + row_price[at], at, -1
+        for x, far in seen.items():
+            row_price[x] -= max(0, best - far)
+        for k, far in done.items():
+            price[k] += max(0, best - far)
+        if column < 0 and alone != s:
+            column, edge_of[alone] = head[edge_of[alone]], -1
+        while column >= 0:
+            e = came[column][1]
+            x = source[e]
+            row_of[column], before, edge_of[x] = x, edge_of[x], e
+            column = head[before] if x != s else -1
+    return np.sort(order[[e for e in edge_of if e >= 0]])
+
+
+def heaviest_pairs(edges: DataFrame, keys: list[str], row: str, column: str, weight: str, whole: int = 200_000) -> DataFrame:
+    """``keys, row, column, weight``: in each group of ``edges`` the pairs of the matching with the greatest total weight.
+
+    Rows and columns are bigints, one edge a pair; edges with nulls or without positive weight are left out. A group of more
+    than ``whole`` edges is first split into its connected parts, which are dealt over all tasks; smaller groups and parts
+    are solved each in one task, in memory for their edges.
+    """
+    edges = edges.select(*keys, row, column, weight).filter(f"{weight} > 0").dropna()
+
+    def solve(g: Group) -> Group | None:
+        chosen = heaviest_matching(g[row], g[column], g[weight])
+        return {n: g[n][chosen] for n in (*keys, row, column, weight)} if len(chosen) else None
+
+    large = settled(edges.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > whole).drop("_n"))
+    if large.isEmpty():
+        return fold_groups(edges, keys, solve, edges.schema)
+    node = lambda c, side: F.struct(F.lit(side).alias("side"), F.col(c).cast("long").alias("id"))
+    nodes = edges.join(large, keys, "left_semi").select(*keys, node(row, 0).alias("u"), node(column, 1).alias("v"))
+    parts = connected_components(nodes, tuple(keys)).filter("node.side = 0")
+    parts = parts.select(*keys, F.col("node.id").alias(row), F.col("component.id").alias("_part"))
+    split = edges.join(parts, [*keys, row], "left").fillna({"_part": 0})  # smaller groups stay whole
+    return fold_groups(split, [*keys, "_part"], solve, edges.schema)

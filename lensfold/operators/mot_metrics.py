@@ -11,11 +11,10 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lensfold.operators.assignment import match_by_components
+from lensfold.operators.assignment import heaviest_pairs
 
 #: Events that describe pairs or bookkeeping, not an outcome.
 EXTRA = ("RAW", "TRANSFER", "ASCEND", "MIGRATE")
@@ -139,13 +138,7 @@ def identity_matches(events: DataFrame) -> DataFrame:
     the matching of most weight, and the sparse graph of near pairs splits into parts.
     """
     _, _, pairs = id_counts(events)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = {(int(o), int(h)): float(n) for o, h, n in zip(pdf.oid, pdf.hid, pdf.n, strict=True)}
-        chosen = match_by_components(weights)
-        return pd.DataFrame({"seq": pdf.seq.iloc[0], "oid": [a for a, _ in chosen], "hid": [b for _, b in chosen], "n": [int(weights[p]) for p in chosen]})
-
-    return pairs.withColumn("seq", F.col("seq").cast("string")).groupBy("seq").applyInPandas(solve, "seq string, oid long, hid long, n long")
+    return heaviest_pairs(pairs.withColumn("seq", F.col("seq").cast("string")).filter("seq IS NOT NULL"), ["seq"], "oid", "hid", "n")
 
 
 def _outcome(*types: str) -> Callable[[], Column]:

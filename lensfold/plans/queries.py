@@ -186,7 +186,34 @@ def mot_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return mot_metrics.frequencies(log, "oid").select("seq", F.col("oid").alias("id"), F.lit("oid").alias("side"), "n").unionByName(mot_metrics.frequencies(log, "hid").select("seq", F.col("hid").alias("id"), F.lit("hid").alias("side"), "n"))
 
 
-@query()
+#: SQL: the matching of identities with most common frames, by an auction. Each identity in turn bids on its best partner what
+#: it loses by taking the next best one; with frames counted in units of one bid and one more, the last holders are optimal.
+_AUCTION = """pairs AS (SELECT seq, oid, hid, count(*)::BIGINT AS n FROM log WHERE d IS NOT NULL GROUP BY seq, oid, hid),
+bids AS (
+  SELECT seq, list(DISTINCT oid ORDER BY oid) AS todo, count(DISTINCT oid)::BIGINT + 1 AS unit,
+    MAP {}::MAP(BIGINT, BIGINT) AS price, MAP {}::MAP(BIGINT, BIGINT) AS owner FROM pairs GROUP BY seq
+  UNION ALL
+  SELECT seq, CASE WHEN gain > 0 AND held IS NOT NULL THEN list_append(todo[2:], held) ELSE todo[2:] END, unit,
+    CASE WHEN gain > 0 THEN map_concat(price, MAP {hid: cost + gain - next + 1}) ELSE price END,
+    CASE WHEN gain > 0 THEN map_concat(owner, MAP {hid: todo[1]}) ELSE owner END
+  FROM (
+    SELECT *, coalesce(price[hid], 0) AS cost, owner[hid] AS held FROM (
+      SELECT b.seq, any_value(todo) AS todo, any_value(unit) AS unit, any_value(price) AS price, any_value(owner) AS owner,
+        max(n * unit - coalesce(price[p.hid], 0)) AS gain, arg_max(p.hid, n * unit - coalesce(price[p.hid], 0)) AS hid,
+        greatest(0, coalesce(max(n * unit - coalesce(price[p.hid], 0), 2)[2], 0)) AS next
+      FROM bids b JOIN pairs p ON p.seq = b.seq AND p.oid = todo[1] WHERE len(todo) > 0 GROUP BY b.seq
+    )
+  )
+),
+held AS (SELECT seq, unnest(map_entries(owner)) AS pair FROM bids WHERE len(todo) = 0),
+ids AS (SELECT h.seq, sum(n)::BIGINT AS idtp FROM held h JOIN pairs p ON p.seq = h.seq AND p.hid = h.pair.key AND p.oid = h.pair.value GROUP BY h.seq)"""
+
+
+@query(f"""WITH RECURSIVE {t.LOG}, {_AUCTION},
+counts AS (SELECT seq, count(oid) AS o, count(hid) AS h FROM log GROUP BY seq),
+s AS (SELECT coalesce(seq, 'OVERALL') AS seq, sum(coalesce(idtp, 0))::BIGINT AS idtp, sum(o)::BIGINT AS o, sum(h)::BIGINT AS h
+  FROM counts LEFT JOIN ids USING (seq) GROUP BY ROLLUP (seq))
+SELECT seq, idtp, h - idtp AS idfp, o - idtp AS idfn, round(idtp / h, 6) AS idp, round(idtp / o, 6) AS idr, round(2 * idtp / (o + h), 6) AS idf1 FROM s""")
 def mot_id_metrics(spark: SparkSession, d: str) -> DataFrame:
     raw = t.event_log(spark, d)
     both = raw.withColumn("type", F.lit("RAW")).unionByName(raw)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lensfold.operators import boxes, hota, mot_events, mot_metrics, tracker
-from lensfold.operators.assignment import assign, assign_groups, available_solvers, default_solver, match_by_components, register_solver, shortest_paths
+from lensfold.operators.assignment import assign, assign_groups, available_solvers, default_solver, heaviest_matching, heaviest_pairs, register_solver, shortest_paths
+from lensfold.operators.components import connected_components
 
 N = np.nan
 # Costs (NaN forbids) and the pairs expected.
@@ -63,8 +64,68 @@ def test_solvers():
     assert seen
 
 
-def test_match_by_components():
-    assert sorted(match_by_components({(1, 1): 3, (1, 2): 5, (2, 2): 4, (7, 9): 1})) == [(1, 1), (2, 2), (7, 9)]
+def heaviest_total(weights, rows, used=frozenset()):
+    """The greatest total of any matching, by trying all."""
+    if not rows:
+        return 0
+    taken = [weights[rows[0], j] + heaviest_total(weights, rows[1:], used | {j}) for i, j in weights if i == rows[0] and j not in used]
+    return max([heaviest_total(weights, rows[1:], used), *taken])
+
+
+def test_heaviest_matching():
+    """Sparse matchings equal the best of all, with whole weights, ties and fractions."""
+    rng = random.Random(1)
+    for k in range(600):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        weights = {(rng.randrange(n), rng.randrange(m)): rng.random() if k % 3 == 0 else rng.randrange(1, 5) for _ in range(rng.randrange(1, 15))}
+        rows, columns, values = (np.array(x) for x in zip(*[(i, j, w) for (i, j), w in weights.items()], strict=True))
+        chosen = heaviest_matching(rows, columns, values)
+        assert len(set(rows[chosen])) == len(set(columns[chosen])) == len(chosen)
+        assert values[chosen].sum() == pytest.approx(heaviest_total(weights, sorted(set(rows.tolist()))))
+
+
+def test_heaviest_matching_of_many():
+    """One part of 20,000 edges between 4,000 rows and columns, of which a dense matrix would have 16 million cells."""
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 4000, 20000) * 4000 + rng.integers(0, 4000, 20000))
+    chosen = heaviest_matching(key // 4000, key % 4000, rng.integers(1, 50, len(key)))
+    assert 3600 < len(chosen) and len(np.unique(key[chosen] // 4000)) == len(chosen) == len(np.unique(key[chosen] % 4000))
+
+
+def test_heaviest_pairs(spark):
+    """Groups solved whole and split into connected parts give the same totals; nulls and weights of 0 take no part."""
+    rng = random.Random(4)
+    rows = {(f"s{s}", 10 * part + rng.randrange(4), 10 * part + rng.randrange(4)): rng.randrange(0, 6) for s in range(3) for part in range(12) for _ in range(9)}
+    edges = spark.createDataFrame([(*k, w) for k, w in rows.items()] + [("s0", None, 5, 9), ("s1", 3, None, 9), (None, 1, 1, 9)], "seq string, a long, b long, n long")
+    best = {}
+    for s in ("s0", "s1", "s2"):
+        for part in range(12):
+            own = {(a, b): w for (x, a, b), w in rows.items() if x == s and a // 10 == part and w}
+            best[s] = best.get(s, 0) + heaviest_total(own, sorted({a for a, _ in own}))
+    for whole in (0, 80, 1000):
+        got = heaviest_pairs(edges, ["seq"], "a", "b", "n", whole).collect()
+        assert all(rows[r.seq, r.a, r.b] == r.n > 0 for r in got)
+        assert len({(r.seq, r.a) for r in got}) == len({(r.seq, r.b) for r in got}) == len(got)
+        assert {s: sum(r.n for r in got if r.seq == s) for s in best} == best
+    assert heaviest_pairs(edges.limit(0), ["seq"], "a", "b", "n").count() == 0
+
+
+def test_connected_components(spark):
+    """Paths, rings, loops and repeats; one graph a key; strings as nodes; nulls left out."""
+    rng = random.Random(6)
+    edges = [("x", k, k + 1) for k in range(40)] + [("x", 100, 100), ("x", 5, 5), ("x", 200, 201), ("x", 201, 200), ("y", 3, 90), ("y", None, 3), (None, 7, 8)]
+    edges += [("z", rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    low = {}
+    for key, u, v in edges:
+        if None not in (key, u, v):
+            a, b = low.setdefault((key, u), u), low.setdefault((key, v), v)
+            low.update({n: min(a, b) for n, x in low.items() if n[0] == key and x in (a, b)})
+    df = spark.createDataFrame(rng.sample(edges, len(edges)), "g string, u long, v long").dropna()
+    assert {(r.g, r.node): r.component for r in connected_components(df, ("g",)).collect()} == low
+    names = df.filter("g = 'z'").select(F.format_string("n%03d", "u").alias("u"), F.format_string("n%03d", "v").alias("v"))
+    got = connected_components(names).collect()
+    assert {r.node: r.component for r in got} == {f"n{n:03d}": f"n{x:03d}" for (g, n), x in low.items() if g == "z"} and len(got) == len({r.node for r in got})
+    assert connected_components(names.limit(0)).count() == 0
 
 
 FRAMES = [(0, [], [1, 2], []), (1, [1, 2], [], [[], []]), (2, [1, 2], [1, 2], [[1.0, 0.5], [0.3, 1.0]]), (3, [1, 2], [1, 2], [[0.2, None], [None, 0.1]]), (4, [1, 2], [1, 2], [[5.0, 1.0], [1.0, 5.0]]), (5, [], [], [])]
