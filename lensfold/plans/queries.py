@@ -44,11 +44,6 @@ SELECT round(avg(ap), 6) AS map, round(avg((first <= 1)::INT), 6) AS rank_1, rou
   round(avg((first <= 10)::INT), 6) AS rank_10, count(*) AS valid_queries FROM per"""
 
 
-def _related(spark: SparkSession, d: str) -> DataFrame:
-    e, q, g = t.query_gallery(spark, d)
-    return retrieval.with_relevance(retrieval.distances(q, g), e)
-
-
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     e = t.embeddings(spark, d)
     return retrieval.relevant_ranks(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"))
@@ -81,8 +76,9 @@ _NEAR = "nn AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY d, g) AS
 
 @query(f"WITH {t.PAIRS}, {_NEAR}, p AS (SELECT pairs.q, pairs.g, relevant, 0.7 * (CASE WHEN nn.q IS NULL THEN 1 ELSE 0 END) + 0.3 * d AS d FROM pairs LEFT JOIN nn ON pairs.q = nn.q AND pairs.g = nn.g AND nn.rank <= 20){_METRICS}")
 def reid_rerank_binary(spark: SparkSession, d: str) -> DataFrame:
-    v = t.embeddings(spark, d).select("id", "v")
-    return rounded(retrieval.rank_metrics(retrieval.rerank_binary(_related(spark, d), retrieval.knn(v, v, 20))))
+    e = t.embeddings(spark, d)
+    near = retrieval.binary_near(retrieval.knn(e.select("id", "v"), e.select("id", "v"), 20))
+    return rounded(retrieval.metrics_of_ranks(retrieval.reranked_ranks(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"), near)))
 
 
 @query(f"""WITH {t.PAIRS}, {_NEAR},
@@ -99,8 +95,9 @@ x AS (SELECT near.q AS p, v.n, sum(v.w) / any_value(size) AS w FROM near JOIN v
 l AS (SELECT pairs.q, pairs.g, sum(least(a.w, b.w)) AS least FROM pairs JOIN x a ON a.p = pairs.q JOIN x b ON b.p = pairs.g AND a.n = b.n GROUP BY pairs.q, pairs.g),
 p AS (SELECT pairs.q, pairs.g, relevant, 0.7 * coalesce(1 - least / (2 - least), 1) + 0.3 * d AS d FROM pairs LEFT JOIN l ON pairs.q = l.q AND pairs.g = l.g){_METRICS}""")
 def reid_k_reciprocal(spark: SparkSession, d: str) -> DataFrame:
-    v = t.embeddings(spark, d).select("id", "v")
-    return rounded(retrieval.rank_metrics(retrieval.rerank_k_reciprocal(v, _related(spark, d))))
+    e = t.embeddings(spark, d)
+    near = retrieval.k_reciprocal_near(e.select("id", "v"))
+    return rounded(retrieval.metrics_of_ranks(retrieval.reranked_ranks(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"), near)))
 
 
 @query(f"WITH {t.EMB} SELECT CASE WHEN id % 10 = 0 THEN 'query' ELSE 'gallery' END AS split, count(*) AS n, count(DISTINCT pid) AS n_pids, count(DISTINCT cam) AS n_cams FROM emb GROUP BY 1")
