@@ -1,7 +1,8 @@
 """The event log of multi-object tracking: a fold over the frames of each sequence.
 
 Input is one row a frame: ``seq, frame_id, oids, hids, dists``, with a null distance where a pair is not allowed. The fold is
-ordered, so a sequence is one group; sequences run in parallel.
+ordered; a long sequence is cut into segments that are folded side by side, first from nothing, then again from what the
+segments before them end with, until all segments have begun with the right state.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensfold.operators.assignment import assign
+from lensfold.operators.groups import Group, fold_groups, settled
 
 EVENTS = "seq string, frame_id long, event int, type string, oid long, hid long, d double"
 
@@ -59,7 +60,7 @@ class Accumulator:
             for i, j in assign(left):
                 o, h = oids[i], hids[j]
                 had = o in self.matched
-                switch = had and self.matched[o] != h and abs(frame - self.last_seen[o]) <= self.max_switch_time
+                switch = had and self.matched[o] != h and abs(frame - self.last_seen.get(o, frame)) <= self.max_switch_time
                 if switch and h not in self.ever_used:
                     events.append(("ASCEND", o, h, d[i, j]))
                 if h in self.holder and self.holder[h] != o:
@@ -87,19 +88,80 @@ def matrix(dists: list | None, n: int, m: int) -> np.ndarray:
     return out
 
 
-def event_log(frames: DataFrame, max_switch_time: float = float("inf"), auto_id: bool = False) -> DataFrame:
-    """Events of ``frames(seq, frame_id, oids, hids, dists[, ignore])``; schema ``EVENTS``."""
-    frames = frames if "ignore" in frames.columns else frames.withColumn("ignore", F.array().cast("array<long>"))
+#: What a segment passes on: for each of its objects and hypotheses, rows of this type with the id as ``oid`` and the value as ``hid``.
+STATE = ("state matched", "state holder", "state used", "state seen")
+SEGMENTS = f"{EVENTS}, seg long"
+_PASSED, _EVENTS = "type LIKE 'state %'", "type NOT LIKE 'state %'"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        acc, rows = Accumulator(max_switch_time, auto_id), []
-        for r in pdf.sort_values("frame_id").itertuples():
-            oids, hids = [int(x) for x in r.oids], [int(x) for x in r.hids]
-            frame, events = acc.update(oids, hids, matrix(r.dists, len(oids), len(hids)), None if auto_id else r.frame_id, frozenset(int(x) for x in r.ignore))
-            rows += [(r.seq, frame, *e) for e in events]
-        return pd.DataFrame(rows, columns=["seq", "frame_id", "event", "type", "oid", "hid", "d"]).astype({"oid": "Int64", "hid": "Int64", "d": "float64"})
 
-    return frames.groupBy("seq").applyInPandas(fold, EVENTS)
+def event_log(frames: DataFrame, max_switch_time: float = float("inf"), auto_id: bool = False, segment: int = 20_000) -> DataFrame:
+    """Events of ``frames(seq, frame_id, oids, hids, dists[, ignore])``; schema ``EVENTS``. Null lists are empty; rows without seq or frame are left out.
+
+    Sequences of more than ``segment`` frames are cut into ranges of frame ids with about as many frames each. A segment is
+    folded again only while the state of its own objects and hypotheses, as all segments before it leave it, is not the one
+    it has begun with: the first of the wrong ones becomes right in each round, and usually nearly all do in two, since
+    matches soon no longer depend on the start. The result is that of one fold over the whole sequence.
+    """
+    frames = frames if "ignore" in frames.columns else frames.withColumn("ignore", F.lit(None).cast("array<long>"))
+    frames = frames.select(F.col("seq").cast("string").alias("seq"), F.col("frame_id").cast("long").alias("frame_id"), "oids", "hids", "dists", "ignore").dropna(subset=["seq", "frame_id"])
+    if auto_id:
+        frames = frames.withColumn("frame_id", F.row_number().over(Window.partitionBy("seq").orderBy("frame_id")).cast("long") - 1)
+    frames = settled(frames)
+    sizes = frames.groupBy("seq").agg(F.min("frame_id").alias("low"), (F.max("frame_id") - F.min("frame_id") + 1).alias("span"), F.count("*").alias("n"))
+    sizes = settled(sizes)
+    if sizes.filter(F.col("n") > segment).isEmpty():
+        return _fold_segments(frames.withColumn("seg", F.lit(0).cast("long")), None, max_switch_time, None).filter(_EVENTS).drop("seg")
+    width = F.greatest(F.floor(F.col("span") * segment / F.col("n")), F.lit(1).cast("long"))
+    frames = settled(frames.join(sizes, "seq").withColumn("seg", F.floor((F.col("frame_id") - F.col("low")) / width)).drop("low", "span", "n"))
+    key, ids = ["seq", "seg"], ["seq", "seg", "type", "oid"]
+    found = settled(_fold_segments(frames, None, max_switch_time, None))
+    ends, begun = settled(found.filter(_PASSED).select(*ids, "hid")), None
+    for round_ in range(1, 1 << 30):
+        before = Window.partitionBy("seq", "type", "oid").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+        start = settled(ends.select(*ids, F.last("hid", ignorenulls=True).over(before).alias("hid")).filter("hid IS NOT NULL"))
+        both = start.withColumn("now", F.lit(1))
+        both = both if begun is None else both.unionByName(begun.withColumn("now", F.lit(-1)))
+        wrong = settled(both.groupBy(*ids, "hid").agg(F.sum("now").alias("now")).filter("now <> 0").select(*key).distinct())
+        if wrong.isEmpty():
+            return found.filter(_EVENTS).drop("seg")
+        begun = start
+        again = settled(_fold_segments(frames, begun, max_switch_time, wrong))
+        found = found.join(wrong, key, "left_anti").unionByName(again)
+        found = settled(found) if round_ % 8 == 0 else found
+        ends = settled(ends.join(wrong, key, "left_anti").unionByName(again.filter(_PASSED).select(*ids, "hid")))
+    raise RuntimeError("segments did not settle")
+
+
+def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time: float, only: DataFrame | None) -> DataFrame:
+    """Events and final state of each segment (of ``only(seq, seg)``), from the state rows in ``start(seq, seg, type, oid, hid)``."""
+    rows = frames.withColumns({"type": F.lit("frame"), "oid": F.lit(0).cast("long"), "hid": F.lit(0).cast("long")})
+    if start is not None:
+        rows = rows.unionByName(start, allowMissingColumns=True).fillna({"frame_id": -1}).join(only, ["seq", "seg"], "left_semi")
+    nothing: tuple = ()
+
+    def fold(g: Group) -> Group:
+        acc, out = Accumulator(max_switch_time), []
+        states = dict(zip(STATE, (acc.matched, acc.holder, acc.ever_used, acc.last_seen), strict=True))
+        kinds = g["type"]
+        for k in np.flatnonzero(kinds != "frame"):
+            state = states[kinds[k]]
+            state.add(int(g["oid"][k])) if isinstance(state, set) else state.update({int(g["oid"][k]): int(g["hid"][k])})
+        objects: set = set()
+        hypotheses: set = set()
+        own = np.flatnonzero(kinds == "frame")
+        for k in own[np.argsort(g["frame_id"][own], kind="stable")]:
+            oids, hids, ignore = ([int(x) for x in (nothing if g[c][k] is None else g[c][k])] for c in ("oids", "hids", "ignore"))
+            frame, events = acc.update(oids, hids, matrix(g["dists"][k], len(oids), len(hids)), int(g["frame_id"][k]), frozenset(ignore))
+            objects.update(oids)
+            hypotheses.update(hids)
+            out += [(frame, *e) for e in events]
+        seen = objects if np.isfinite(max_switch_time) else nothing
+        out += [(None, None, STATE[0], o, acc.matched.get(o), None) for o in objects] + [(None, None, STATE[1], h, acc.holder.get(h), None) for h in hypotheses]
+        out += [(None, None, STATE[2], h, 1 if h in acc.ever_used else None, None) for h in hypotheses] + [(None, None, STATE[3], o, acc.last_seen[o], None) for o in seen]
+        columns = {c: np.array(v, object) for c, v in zip(("frame_id", "event", "type", "oid", "hid", "d"), zip(*out, strict=True), strict=True)}
+        return {**columns, "seq": np.repeat(g["seq"][:1], len(out)), "seg": np.repeat(g["seg"][:1], len(out))}
+
+    return fold_groups(rows, ["seq", "seg"], fold, SEGMENTS)
 
 
 def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: DataFrame | None = None) -> DataFrame:

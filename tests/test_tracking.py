@@ -342,3 +342,36 @@ def test_assignment_solver_reaches_tasks(spark):
     pairs = lambda **more: sorted((r.i, r.j) for r in assign_groups(edges, ["g"], "i", "j", "c", **more).collect())
     assert pairs(solver=lambda cost: np.arange(len(cost))) == [(0, 0), (1, 1), (2, 2)]
     assert all(i != j for i, j in pairs())
+
+
+def plain_log(frames, **options):
+    """One fold over the whole sequence."""
+    acc, out = mot_events.Accumulator(**options), []
+    for frame, oids, hids, dists in sorted(frames, key=lambda f: f[0]):
+        _, events = acc.update(oids, hids, mot_events.matrix(dists, len(oids), len(hids)), frame)
+        out += [(frame, *e) for e in events]
+    return out
+
+
+@pytest.mark.parametrize("max_switch_time", [float("inf"), 6])
+def test_segments_equal_one_fold(spark, max_switch_time):
+    """A sequence in several segments: gaps, long absences, ties, swaps that last over many segments, and frames without anything."""
+    rng = random.Random(12)
+    sequences = {}
+    for s in range(4):
+        frames = []
+        for frame in sorted(rng.sample(range(160), 110)):
+            oids = [o for o in range(5) if rng.random() < (0.9 if o < 2 else 0.3)]
+            hids = [10 + h for h in range(5) if rng.random() < (0.95 if h < 2 else 0.4)]
+            near = 0.9 if s == 0 else 0.35  # where all is near, matches are carried on through all segments
+            frames.append((frame, oids, hids, [[rng.choice((0.25, 0.5, 0.75, rng.random())) if rng.random() < near else None for _ in hids] for _ in oids]))
+        sequences[f"s{s}"] = frames
+    df = spark.createDataFrame([(s, *f) for s, frames in sequences.items() for f in frames], SCHEMA).repartition(5)
+    for segment in (5, 40, 20_000):
+        rows = mot_events.event_log(df, max_switch_time, segment=segment).collect()
+        for s, frames in sequences.items():
+            got = sorted((r.frame_id, r.event, r.type, r.oid, r.hid, r.d) for r in rows if r.seq == s)
+            assert [tuple(r) for r in got] == [tuple(r) for r in plain_log(frames, max_switch_time=max_switch_time)]
+    numbered = mot_events.event_log(df, max_switch_time, auto_id=True, segment=9).filter("seq = 's1'").agg(F.max("frame_id")).first()[0]
+    assert numbered == len(sequences["s1"]) - 1
+    assert mot_events.event_log(df.limit(0)).count() == 0
