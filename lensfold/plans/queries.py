@@ -225,12 +225,87 @@ def _box_events(spark: SparkSession, d: str) -> DataFrame:
     return mot_events.event_log(frames)
 
 
-@query()
+def _matchings(edges: str, keys: str) -> str:
+    """SQL: ``ml``, all matchings ``ms`` of each frame of ``edges(keys, o, h, d)``; the least of a set has most pairs, then least cost."""
+    own = ", ".join(f"e.{c}" for c in keys.split(", "))
+    return f"""e AS ({edges}),
+mt AS (SELECT DISTINCT {keys}, -1::BIGINT AS g, []::BIGINT[] AS hs, 0::DOUBLE AS cost, []::STRUCT(o BIGINT, h BIGINT, d DOUBLE)[] AS ps FROM e
+  UNION ALL SELECT {own}, e.o, list_append(hs, e.h), cost + e.d, list_append(ps, {{o: e.o, h: e.h, d: e.d}})
+  FROM mt JOIN e USING ({keys}) WHERE e.o > mt.g AND NOT list_contains(hs, e.h)),
+ml AS (SELECT {keys}, list({{n: -len(ps), cost: cost, ps: ps}}) AS ms FROM mt GROUP BY ALL)"""
+
+
+_BOX_EDGES = "SELECT seq::VARCHAR AS seq, frame_id, g_id::BIGINT AS o, d_id::BIGINT AS h, 1 - iou AS d FROM bp WHERE 1 - iou <= 0.5"
+_EVENT = "STRUCT(type VARCHAR, oid BIGINT, hid BIGINT, d DOUBLE)"
+#: SQL: the event log by a recursion over frames. Pairs of before that are still near are carried on, the least matching of
+#: the rest is taken, and the state passes on which hypothesis an object had and which object a hypothesis.
+_FOLD = f"""{t.BOX_PAIRS}, {_matchings(_BOX_EDGES, "seq, frame_id")},
+near AS (SELECT seq, frame_id, list({{o: o, h: h, d: d}} ORDER BY o, h) AS near FROM e GROUP BY ALL),
+fr AS (
+  SELECT seq, frame_id, row_number() OVER (PARTITION BY seq ORDER BY frame_id) AS i, coalesce(oids, []) AS oids, coalesce(hids, []) AS hids,
+    coalesce(near, []) AS near, coalesce(ms, [{{n: 0, cost: 0::DOUBLE, ps: []}}]) AS ms
+  FROM (SELECT seq::VARCHAR AS seq, frame_id, list(id ORDER BY id) AS oids FROM gt GROUP BY ALL)
+  FULL JOIN (SELECT seq::VARCHAR AS seq, frame_id, list(id ORDER BY id) AS hids FROM dt GROUP BY ALL) USING (seq, frame_id)
+  LEFT JOIN near USING (seq, frame_id) LEFT JOIN ml USING (seq, frame_id)
+),
+st AS (
+  SELECT DISTINCT seq, 0::BIGINT AS i, NULL::BIGINT AS frame_id, MAP {{}}::MAP(BIGINT, BIGINT) AS matched, MAP {{}}::MAP(BIGINT, BIGINT) AS holder,
+    []::BIGINT[] AS used, []::{_EVENT}[] AS ev FROM fr
+  UNION ALL
+  SELECT seq, i, frame_id, map_concat(matched, MAP(ao, ah)), map_concat(holder, MAP(ah, ao)), list_distinct(used || ch || ah),
+    [{{type: 'RAW', oid: NULL, hid: NULL, d: NULL}}::{_EVENT}]
+    || list_transform(near, lambda p: {{type: 'RAW', oid: p.o, hid: p.h, d: p.d}}::{_EVENT})
+    || list_transform(list_filter(oids, lambda o: NOT list_contains(no, o)), lambda o: {{type: 'RAW', oid: o, hid: NULL, d: NULL}}::{_EVENT})
+    || list_transform(list_filter(hids, lambda h: NOT list_contains(nh, h)), lambda h: {{type: 'RAW', oid: NULL, hid: h, d: NULL}}::{_EVENT})
+    || list_transform(c, lambda p: {{type: 'MATCH', oid: p.o, hid: p.h, d: p.d}}::{_EVENT})
+    || flatten(list_transform(a, lambda p: list_transform(list_filter([
+        CASE WHEN matched[p.o] <> p.h AND NOT list_contains(used || ch, p.h) THEN 'ASCEND' END,
+        CASE WHEN matched[p.o] IS NULL AND holder[p.h] <> p.o THEN 'MIGRATE' END, CASE WHEN holder[p.h] <> p.o THEN 'TRANSFER' END,
+        CASE WHEN matched[p.o] <> p.h THEN 'SWITCH' ELSE 'MATCH' END], lambda x: x IS NOT NULL),
+      lambda x: {{type: x, oid: p.o, hid: p.h, d: p.d}}::{_EVENT})))
+    || list_transform(list_filter(oids, lambda o: NOT list_contains(co || ao, o)), lambda o: {{type: 'MISS', oid: o, hid: NULL, d: NULL}}::{_EVENT})
+    || list_transform(list_filter(hids, lambda h: NOT list_contains(ch || ah, h)), lambda h: {{type: 'FP', oid: NULL, hid: h, d: NULL}}::{_EVENT})
+  FROM (
+    SELECT *, list_transform(a, lambda p: p.o) AS ao, list_transform(a, lambda p: p.h) AS ah, list_transform(near, lambda p: p.o) AS no,
+      list_transform(near, lambda p: p.h) AS nh
+    FROM (
+      SELECT *, list_sort(list_filter(ms, lambda m: NOT list_has_any(list_transform(m.ps, lambda p: p.o), co)
+        AND NOT list_has_any(list_transform(m.ps, lambda p: p.h), ch)))[1].ps AS a
+      FROM (
+        SELECT *, list_transform(c, lambda p: p.o) AS co, list_transform(c, lambda p: p.h) AS ch
+        FROM (
+          SELECT *, list_filter(c0, lambda p: p.o = list_min(list_transform(list_filter(c0, lambda q: q.h = p.h), lambda q: q.o))) AS c
+          FROM (
+            SELECT fr.*, matched, holder, used, list_filter(near, lambda p: matched[p.o] = p.h) AS c0
+            FROM st JOIN fr ON fr.seq = st.seq AND fr.i = st.i + 1
+          )
+        )
+      )
+    )
+  )
+),
+every AS (SELECT seq, frame_id, (event - 1)::INT AS event, x.type AS type, x.oid AS oid, x.hid AS hid, x.d AS d
+  FROM (SELECT seq, frame_id, unnest(ev) AS x, generate_subscripts(ev, 1) AS event FROM st WHERE i > 0))"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT seq, frame_id, event, type, oid, hid, round(d, 6) AS d FROM every")
 def mot_events_fold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_box_events(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FOLD}, log AS (SELECT * FROM every WHERE type NOT IN ('RAW', 'TRANSFER', 'ASCEND', 'MIGRATE')),
+near_log AS (SELECT * FROM every WHERE type = 'RAW'), {_AUCTION.replace("FROM log", "FROM near_log")}, {_OBJECTS},
+a AS (SELECT coalesce(seq, 'OVERALL') AS seq, count(*) FILTER (type IN ('MATCH', 'SWITCH')) AS det, count(*) FILTER (type = 'FP') AS num_false_positives,
+  count(*) FILTER (type = 'MISS') AS num_misses, count(*) FILTER (type = 'SWITCH') AS num_switches, count(oid) AS o, count(hid) AS h, sum(d) AS sd
+  FROM log GROUP BY ROLLUP (seq)),
+b AS (SELECT coalesce(seq, 'OVERALL') AS seq, count(*) AS num_unique_objects, count(*) FILTER (tracked / frames >= 0.8) AS mostly_tracked,
+  count(*) FILTER (tracked / frames >= 0.2 AND tracked / frames < 0.8) AS partially_tracked, count(*) FILTER (tracked / frames < 0.2) AS mostly_lost,
+  sum(fragments)::BIGINT AS num_fragmentations FROM obj GROUP BY ROLLUP (seq)),
+i AS (SELECT coalesce(seq, 'OVERALL') AS seq, sum(idtp)::BIGINT AS idtp FROM ids GROUP BY ROLLUP (seq))
+SELECT seq, round(2 * idtp / (o + h), 6) AS idf1, round(idtp / h, 6) AS idp, round(idtp / o, 6) AS idr, round(det / o, 6) AS recall,
+  round(det / (num_false_positives + det), 6) AS precision, num_unique_objects, mostly_tracked, partially_tracked, mostly_lost, num_false_positives,
+  num_misses, num_switches, num_fragmentations, round(1 - (num_misses + num_switches + num_false_positives) / o, 6) AS mota, round(sd / det, 6) AS motp
+FROM a JOIN b USING (seq) JOIN i USING (seq)""")
 def mot_from_boxes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mot_metrics.compute(_box_events(spark, d), mot_metrics.MOTCHALLENGE))
 
@@ -742,7 +817,10 @@ def joints_outside_regions(spark: SparkSession, d: str) -> DataFrame:
     return t.ground_truth(spark, d).filter(~geometry.point_in_polygon(F.col("x"), F.col("y"), xs, ys)).select("seq", "frame_id", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.BOX_PAIRS}, {_matchings(_BOX_EDGES, "seq, frame_id")},
+chosen AS (SELECT seq, frame_id, unnest(list_sort(ms)[1].ps) AS p FROM ml),
+bad AS (SELECT c.seq, c.frame_id, p.h AS id FROM chosen c JOIN gt g ON g.seq::VARCHAR = c.seq AND g.frame_id = c.frame_id AND g.id = p.o WHERE g.flag = 'R')
+SELECT seq, frame_id, id FROM dt WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.seq = dt.seq::VARCHAR AND b.frame_id = dt.frame_id AND b.id = dt.id)""")
 def distractors_removed(spark: SparkSession, d: str) -> DataFrame:
     """Detections whose optimal partner is a distractor (returned item) go."""
     gt = t.ground_truth(spark, d)
