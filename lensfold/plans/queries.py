@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lensfold.functions import geometry, text, vectors
+from lensfold.functions import geometry, masks, text, vectors
 from lensfold.functions.keypoints import SIGMAS_17, oks, pckh_similarity
 from lensfold.operators import boxes, detection, hota, mot_events, mot_metrics, pose, profile, retrieval, runs, tracker
 from lensfold.operators.assignment import assign_groups
@@ -831,6 +831,46 @@ def distractors_removed(spark: SparkSession, d: str) -> DataFrame:
     return dt.join(bad, ["seq", "frame_id", "id"], "left_anti").select("seq", "frame_id", "id")
 
 
+# Masks
+
+#: Boxes as masks of an image of 110 x 80 pixels.
+_PIXELS = """px AS (
+  SELECT *, least(greatest(x0, 0), 110) AS x1, least(greatest(y0, 0), 80) AS y1, least(x0 + w0, 110) AS x2, least(y0 + h0, 80) AS y2 FROM (
+    SELECT 'g' AS side, seq, frame_id, id, floor(x / 6)::INT AS x0, floor(y / 6)::INT AS y0, floor(w / 6)::INT AS w0, floor(h / 6)::INT AS h0 FROM gt
+    UNION ALL SELECT 'd', seq, frame_id, id, floor(x / 6)::INT, floor(y / 6)::INT, floor(w / 6)::INT, floor(h / 6)::INT FROM dt))"""
+
+
+def _masks(rows: DataFrame) -> DataFrame:
+    x, y, w, h = (F.floor(F.col(c) / 6).cast("int") for c in "xywh")
+    return rows.select("seq", "frame_id", "id", masks.rle_of_box(x, y, w, h, F.lit(110), F.lit(80)).alias("mask"))
+
+
+@query(f"""WITH {t.BOXES}, {_PIXELS}, m AS (
+  SELECT a.seq, a.frame_id, a.id AS g_id, b.id AS d_id, greatest(0, a.x2 - a.x1) * greatest(0, a.y2 - a.y1) AS ga, greatest(0, b.x2 - b.x1) * greatest(0, b.y2 - b.y1) AS da,
+    greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS common
+  FROM px a JOIN px b ON a.seq = b.seq AND a.frame_id = b.frame_id AND a.side = 'g' AND b.side = 'd')
+SELECT seq, frame_id, g_id, d_id, common::BIGINT AS common, round(common / (ga + da - common), 6) AS iou, round(common / da, 6) AS ioa FROM m WHERE common > 0""")
+def mask_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of run-length masks inside frames."""
+    gt = t.ground_truth(spark, d)
+    a = _masks(gt).select("seq", "frame_id", F.col("id").alias("g_id"), F.col("mask").alias("g"))
+    b = _masks(t.detections(gt)).select("seq", "frame_id", F.col("id").alias("d_id"), F.col("mask").alias("d"))
+    both = a.join(b, ["seq", "frame_id"]).withColumn("common", masks.rle_common(F.col("g"), F.col("d"))).filter("common > 0")
+    ga, da = masks.rle_area(F.col("g")), masks.rle_area(F.col("d"))
+    return rounded(both.select("seq", "frame_id", "g_id", "d_id", "common", (F.col("common") / (ga + da - F.col("common"))).alias("iou"), (F.col("common") / da).alias("ioa")))
+
+
+@query(f"""WITH {t.BOXES}, {_PIXELS}, c AS (SELECT seq, frame_id, id, greatest(x1, 20) - 20 AS x, greatest(y1, 10) - 10 AS y, least(x2, 90) - greatest(x1, 20) AS w, least(y2, 70) - greatest(y1, 10) AS h FROM px WHERE side = 'g')
+SELECT seq, frame_id, id, (greatest(0, w) * greatest(0, h))::BIGINT AS area, CASE WHEN w > 0 AND h > 0 THEN x END AS x, CASE WHEN w > 0 AND h > 0 THEN y END AS y,
+  CASE WHEN w > 0 AND h > 0 THEN w END AS w, CASE WHEN w > 0 AND h > 0 THEN h END AS h FROM c""")
+def mask_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Masks, read back from their text form, cropped to a window: area and box."""
+    window = [F.lit(v) for v in (20, 10, 90, 70)]
+    again = masks.rle_counts(masks.rle_text(F.col("mask")))
+    rows = _masks(t.ground_truth(spark, d)).withColumn("mask", masks.rle_crop(again, F.lit(80), *window))
+    return rows.withColumn("box", masks.rle_box(F.col("mask"), F.lit(60))).select("seq", "frame_id", "id", masks.rle_area(F.col("mask")).alias("area"), "box.*")
+
+
 # Tracks
 
 @query(f"WITH {t.LOG}, s AS (SELECT DISTINCT seq, oid AS track_id, frame_id FROM log WHERE oid IS NOT NULL), g AS (SELECT *, CASE WHEN frame_id - lag(frame_id) OVER w > 25 THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY seq, track_id ORDER BY frame_id)), l AS (SELECT *, sum(new) OVER (PARTITION BY seq, track_id ORDER BY frame_id) AS life FROM g) SELECT seq, track_id, life::BIGINT AS life, min(frame_id) AS first, max(frame_id) AS last, count(*) AS n FROM l GROUP BY ALL")
