@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 Box = tuple[Column, Column, Column, Column]
 
@@ -133,17 +133,57 @@ def polygon_area(xs: Column, ys: Column) -> Column:
     return F.when(n > 2, F.abs(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)) / 2).otherwise(F.lit(0.0))
 
 
-def clipped(ring: np.ndarray, axis: int, sign: int, bound: float) -> np.ndarray:
-    """The part of a polygon on one side of a line along an axis; corners are rows."""
-    if not len(ring):
-        return ring
-    side = (ring[:, axis] - bound) * sign
-    after, next_side = np.roll(ring, -1, axis=0), np.roll(side, -1)
-    crosses = (side >= 0) != (next_side >= 0)
-    share = np.divide(side, side - next_side, out=np.zeros_like(side), where=crosses)
-    meets = ring + (after - ring) * share[:, None]
-    both = np.stack((ring, meets), axis=1).reshape(-1, 2)
-    return both[np.stack((side >= 0, crosses), axis=1).ravel()]
+def box_polygon_area(b: Box, xs: Column, ys: Column) -> Column:
+    """Common area of an xyxy box and a simple polygon given as two arrays of corners.
+
+    Each edge adds the area between it and the box's lower side over the part of its range inside the box, with heights
+    clamped to the box; edges that run back take it off again. The mean of a clamped height over an edge comes from the
+    antiderivative of clamping, so a polygon is one fold over its edges.
+    """
+    n, (left, low, right, high) = F.size(xs), b
+    inside = lambda v: F.least(F.greatest(v, left), right)
+    clamp = lambda y: F.least(F.greatest(y, low), high)
+    total = lambda y: F.when(y < low, low * y).when(y > high, high * y - high * high / 2 + low * low / 2).otherwise(y * y / 2 + low * low / 2)
+
+    def edge(i: Column) -> Column:
+        x1, y1, x2, y2 = xs[i], ys[i], xs[F.pmod(i + 1, n)], ys[F.pmod(i + 1, n)]
+        u, v = inside(x1), inside(x2)
+        slope = (y2 - y1) / F.when(x2 == x1, F.lit(1.0)).otherwise(x2 - x1)
+        at = lambda x: y1 + slope * (x - x1)
+        flat = F.abs(at(v) - at(u)) < 1e-9
+        mean = F.when(flat, clamp((at(u) + at(v)) / 2)).otherwise((total(at(v)) - total(at(u))) / F.when(flat, F.lit(1.0)).otherwise(at(v) - at(u)))
+        return F.when(u == v, F.lit(0.0)).otherwise((v - u) * (mean - low))
+
+    edges = F.transform(F.sequence(F.lit(0), n - 1), edge)
+    return F.when(n > 2, F.abs(F.aggregate(edges, F.lit(0.0), lambda a, x: a + x))).otherwise(F.lit(0.0))
+
+
+def split_ring(ring: np.ndarray, digits: int = 9) -> list[np.ndarray]:
+    """The simple rings into which a ring falls at the points where it crosses or touches itself; corners are rows.
+
+    Every edge is cut where another one meets it; whenever the walk comes back to a point it has been at, what lies between is
+    a ring of its own. Rings without area are left out.
+    """
+    path: list[tuple[float, float]] = []
+    for k, (p, q) in enumerate(zip(ring, np.roll(ring, -1, axis=0), strict=True)):
+        shares = [0.0]
+        for j, (a, b) in enumerate(zip(ring, np.roll(ring, -1, axis=0), strict=True)):
+            d, e = q - p, b - a
+            cross = d[0] * e[1] - d[1] * e[0]
+            if j != k and abs(cross) > 1e-12:
+                t, u = ((a - p)[0] * e[1] - (a - p)[1] * e[0]) / cross, ((a - p)[0] * d[1] - (a - p)[1] * d[0]) / cross
+                if -1e-12 <= u <= 1 + 1e-12 and 1e-12 < t < 1 - 1e-12:
+                    shares.append(t)
+        path += [tuple(np.round(p + (q - p) * t, digits) + 0.0) for t in sorted(shares)]
+    walk: list[tuple[float, float]] = []
+    rings = []
+    for point in path:
+        if point in walk:
+            at = walk.index(point)
+            rings.append(walk[at:])
+            walk = walk[:at]
+        walk.append(point)
+    return [np.array(r) for r in [*rings, walk] if ring_area(np.array(r).reshape(-1, 2)) > 0]
 
 
 def ring_area(ring: np.ndarray) -> float:
@@ -151,23 +191,21 @@ def ring_area(ring: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2) if len(ring) > 2 else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def _box_polygon_area(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-    out = []
-    for a, b, c, d, px, py in zip(x1, y1, x2, y2, xs, ys, strict=True):
-        ring = np.column_stack((np.asarray(px, float), np.asarray(py, float)))
-        for axis, sign, bound in ((0, 1, a), (0, -1, c), (1, 1, b), (1, -1, d)):
-            ring = clipped(ring, axis, sign, bound)
-        out.append(ring_area(ring))
-    return pd.Series(out, dtype="float64")
+_RINGS = ArrayType(StructType([StructField("xs", ArrayType(DoubleType())), StructField("ys", ArrayType(DoubleType()))]))
 
 
-def box_polygon_area(b: Box, xs: Column, ys: Column) -> Column:
-    """Common area of an xyxy box and a simple polygon: each side of the box in turn cuts the polygon.
+@F.pandas_udf(_RINGS)
+def _simple_rings(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    out = []
+    for px, py in zip(xs, ys, strict=True):
+        rings = split_ring(np.column_stack((np.asarray(px, float), np.asarray(py, float)))) if px is not None and py is not None else []
+        out.append([{"xs": r[:, 0].tolist(), "ys": r[:, 1].tolist()} for r in rings])
+    return pd.Series(out)
 
-    Clipping loops over corners, which as an expression would copy itself for each side; it runs in Arrow batches instead.
-    """
-    return _box_polygon_area(*b, xs, ys)
+
+def simple_rings(xs: Column, ys: Column) -> Column:
+    """``array<struct<xs,ys>>``: the simple parts of a polygon that may cross itself; nothing for null. For tables of regions, which are small."""
+    return _simple_rings(xs, ys)
 
 
 def box_from_pose(joints: Column, margin: float, width: Column, height: Column) -> Box:

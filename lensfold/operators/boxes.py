@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensfold.functions.geometry import Box, box, ioa, iou, xywh_to_xyxy
+from lensfold.functions.geometry import Box, area, box, box_polygon_area, ioa, iou, polygon_area, simple_rings, xywh_to_xyxy
 
 KEYS = ["seq", "frame_id"]
 
@@ -59,3 +59,19 @@ def normalised_similarity(pairs: DataFrame, keys: list[str], row: str, column: s
     """Add ``align``: sim / (sum over its row + sum over its column - sim)."""
     rows, columns = F.sum(sim).over(Window.partitionBy(*keys, row)), F.sum(sim).over(Window.partitionBy(*keys, column))
     return pairs.withColumn("align", F.try_divide(F.col(sim), rows + columns - F.col(sim)))
+
+
+def ignore_candidates(boxes: DataFrame, regions: DataFrame, keys: list[str], limit: float = 0.1) -> DataFrame:
+    """``keys, id`` of the ``boxes(keys, id, x, y, w, h)`` whose overlap with one of ``regions(keys, region, xs, ys)`` exceeds ``limit``.
+
+    A region may cross itself: it is split into simple parts first, and the overlap is the common area of all parts over the
+    sum of their unions with the box. Regions without a part are left out.
+    """
+    parts = regions.select(*keys, "region", F.explode(simple_rings(F.col("xs"), F.col("ys"))).alias("part"))
+    parts = parts.select(*keys, "region", F.col("part.xs").alias("xs"), F.col("part.ys").alias("ys"))
+    parts = parts.withColumn("area", polygon_area(F.col("xs"), F.col("ys")))
+    own = xywh_to_xyxy(box())
+    met = boxes.select(*keys, "id", "x", "y", "w", "h").join(parts, keys)
+    met = met.withColumn("common", box_polygon_area(own, F.col("xs"), F.col("ys"))).withColumn("either", F.col("area") + area(own) - F.col("common"))
+    per = met.groupBy(*keys, "id", "region").agg((F.sum("common") / F.sum("either")).alias("overlap"))
+    return per.filter(F.col("overlap") > limit).select(*keys, "id").distinct()

@@ -164,10 +164,11 @@ def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time:
     return fold_groups(rows, ["seq", "seg"], fold, SEGMENTS)
 
 
-def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: DataFrame | None = None) -> DataFrame:
+def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
     """One row a frame from ``gt(seq, frame_id, id)``, ``dt(seq, frame_id, id)`` and allowed ``pairs(seq, frame_id, g_id, d_id, d)``.
 
-    Frames of either side appear, and those of ``every(seq, frame_id)`` if it is given.
+    Frames of either side appear, and those of ``every(seq, frame_id)`` if it is given. ``ignored(seq, frame_id, id)`` are
+    detections that are no false positives if nothing comes near them.
     """
     keys = ["seq", "frame_id"]
     o = gt.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("oids"))
@@ -179,7 +180,8 @@ def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: Dat
     empty = F.array().cast("array<long>")
     rows = rows.withColumn("oids", F.coalesce("oids", empty)).withColumn("hids", F.coalesce("hids", empty))
     row = lambda i: F.transform("hids", lambda j: F.try_element_at("near", F.struct(i.alias("g_id"), j.alias("d_id"))))
-    return rows.select(*keys, "oids", "hids", F.transform("oids", row).alias("dists"))
+    out = rows.select(*keys, "oids", "hids", F.transform("oids", row).alias("dists"))
+    return out if ignored is None else out.join(ignored.groupBy(*keys).agg(F.collect_list("id").alias("ignore")), keys, "left")
 
 
 def merge_logs(logs: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

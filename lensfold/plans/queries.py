@@ -217,11 +217,21 @@ def mot_id_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mot_metrics.compute(both, ["idtp", "idfp", "idfn", "idp", "idr", "idf1"]))
 
 
-def _box_events(spark: SparkSession, d: str) -> DataFrame:
+#: A ring that crosses itself at (200, 150): two squares.
+_REGION = ((100.0, 200.0, 200.0, 300.0, 300.0, 100.0), (50.0, 50.0, 250.0, 250.0, 150.0, 150.0))
+
+
+def _ignored(dt: DataFrame) -> DataFrame:
+    xs, ys = (F.array(*map(F.lit, v)) for v in _REGION)
+    regions = dt.select("seq", "frame_id").distinct().select("*", F.lit(0).alias("region"), xs.alias("xs"), ys.alias("ys"))
+    return boxes.ignore_candidates(dt, regions, ["seq", "frame_id"], 0.05)
+
+
+def _box_events(spark: SparkSession, d: str, ignore: bool = False) -> DataFrame:
     gt = t.ground_truth(spark, d)
     dt = t.detections(gt)
     pairs = boxes.iou_join(gt, dt, 0.5).select("seq", "frame_id", "g_id", "d_id", "d")
-    frames = mot_events.frames_from_boxes(gt, dt, pairs).withColumn("seq", F.col("seq").cast("string"))
+    frames = mot_events.frames_from_boxes(gt, dt, pairs, ignored=_ignored(dt) if ignore else None).withColumn("seq", F.col("seq").cast("string"))
     return mot_events.event_log(frames)
 
 
@@ -293,6 +303,27 @@ def mot_events_fold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_box_events(spark, d))
 
 
+_IGNORED = """ig AS (
+  SELECT seq::VARCHAR AS seq, frame_id, list(id) AS ignore FROM (
+    SELECT *, greatest(0, least(x + w, 200) - greatest(x, 100)) * greatest(0, least(y + h, 150) - greatest(y, 50)) AS one,
+      greatest(0, least(x + w, 300) - greatest(x, 200)) * greatest(0, least(y + h, 250) - greatest(y, 150)) AS two FROM dt)
+  WHERE (one + two) / (20000 + 2 * w * h - one - two) > 0.05 GROUP BY ALL),
+near AS"""
+_FOLD_IGNORING = (
+    _FOLD.replace("near AS", _IGNORED, 1)
+    .replace("LEFT JOIN near USING (seq, frame_id)", "LEFT JOIN near USING (seq, frame_id) LEFT JOIN ig USING (seq, frame_id)")
+    .replace("coalesce(near, []) AS near,", "coalesce(near, []) AS near, coalesce(ignore, []) AS ignore,")
+    .replace("NOT list_contains(nh, h)", "NOT list_contains(nh || ignore, h)")
+    .replace("NOT list_contains(ch || ah, h)", "NOT list_contains(ch || ah || ignore, h)")
+)
+
+
+@query(f"WITH RECURSIVE {_FOLD_IGNORING} SELECT seq, frame_id, event, type, oid, hid, round(d, 6) AS d FROM every")
+def mot_ignored_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The event log where detections in an ignore region, a ring that crosses itself, are no false positives."""
+    return rounded(_box_events(spark, d, ignore=True))
+
+
 @query(f"""WITH RECURSIVE {_FOLD}, log AS (SELECT * FROM every WHERE type NOT IN ('RAW', 'TRANSFER', 'ASCEND', 'MIGRATE')),
 near_log AS (SELECT * FROM every WHERE type = 'RAW'), {_AUCTION.replace("FROM log", "FROM near_log")}, {_OBJECTS},
 a AS (SELECT coalesce(seq, 'OVERALL') AS seq, count(*) FILTER (type IN ('MATCH', 'SWITCH')) AS det, count(*) FILTER (type = 'FP') AS num_false_positives,
