@@ -717,7 +717,20 @@ def mutual_best_match(spark: SparkSession, d: str) -> DataFrame:
     return pose.match_poses(distances, gt.select(*keys, F.col("id").alias("gt_id"), F.lit(2).alias("n")), keys)
 
 
-@query()
+@query(f"""WITH {t.BOXES}, two AS (
+  SELECT g.seq, g.frame_id, g.id AS gt_id, d.id AS dt_id, sqrt((g.w / 3) * (g.w / 3) + (g.h / 3) * (g.h / 3)) * 0.6 AS head,
+    sqrt((g.x + 1 - d.x - 1) ** 2 + (g.y + 1 - d.y - 1) ** 2) AS upper, sqrt((g.x + g.w - d.x - d.w) ** 2 + (g.y + g.h - d.y - d.h) ** 2) AS lower
+  FROM gt g JOIN dt d USING (seq, frame_id)),
+near AS (SELECT seq, frame_id, gt_id, dt_id, upper / head <= 0.5 AS first, lower / head <= 0.5 AS last FROM two),
+one AS (SELECT seq, frame_id, dt_id, arg_max(gt_id, (first::INT + last::INT, -gt_id)) AS gt_id, max(first::INT + last::INT) AS hits FROM near WHERE first OR last GROUP BY ALL),
+pair AS (SELECT seq, frame_id, gt_id, arg_max(dt_id, (hits, -dt_id)) AS dt_id FROM one GROUP BY ALL),
+hit AS (SELECT seq, frame_id, dt_id AS id, first, last FROM pair JOIN near USING (seq, frame_id, gt_id, dt_id)),
+s AS (SELECT joint, concat_ws('/', seq, frame_id, id) AS key, round(score, 6) AS score, coalesce(CASE WHEN joint = 0 THEN first ELSE last END, false) AS positive
+  FROM dt LEFT JOIN hit USING (seq, frame_id, id), (VALUES (0), (12)) AS j (joint)),
+c AS (SELECT joint, row_number() OVER w AS place, sum(positive::INT) OVER w AS hits FROM s WINDOW w AS (PARTITION BY joint ORDER BY score DESC, key ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT joint, place, hits / place AS precision, hits / (SELECT count(*) FROM gt) AS recall FROM c),
+e AS (SELECT *, max(precision) OVER (PARTITION BY joint ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope, recall - lag(recall, 1, 0) OVER (PARTITION BY joint ORDER BY place) AS step FROM r)
+SELECT joint, round(sum(step * envelope), 6) AS ap, round(arg_max(precision, place), 6) AS precision, round(arg_max(recall, place), 6) AS recall FROM e GROUP BY joint""")
 def keypoint_ap(spark: SparkSession, d: str) -> DataFrame:
     """Keypoint precision of the boxes' corners, with a tenth of the box as head."""
     gt = t.ground_truth(spark, d)
@@ -802,12 +815,16 @@ def coco_ap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(detection.coco_ap(shape(gt, F.lit(0).alias("crowd")), shape(t.detections(gt), F.round("score", 6).alias("score"))))
 
 
-@query(f"""WITH {t.BOXES}, {_LOGITS}, pred AS (SELECT image_id, query, logits, (x + w / 2) / 800 AS cx, (y + h / 2) / 600 AS cy, w / 800 AS w, h / 600 AS h FROM lg JOIN gt ON gt.frame_id = image_id AND gt.id = query),
+_SET_COSTS = f"""{t.BOXES}, {_LOGITS}, pred AS (SELECT image_id, query, logits, (x + w / 2) / 800 AS cx, (y + h / 2) / 600 AS cy, w / 800 AS w, h / 600 AS h FROM lg JOIN gt ON gt.frame_id = image_id AND gt.id = query),
 tg AS (SELECT frame_id AS image_id, id AS target, (part % 3)::INT AS label, (x + w / 2) / 800 AS cx, (y + h / 2) / 600 AS cy, w / 800 AS w, h / 600 AS h FROM dt),
 b AS (SELECT p.image_id, query, target, 1 / (1 + exp(-logits[label + 1])) AS s, abs(p.cx - t.cx) + abs(p.cy - t.cy) + abs(p.w - t.w) + abs(p.h - t.h) AS l1,
   greatest(0, least(p.cx + p.w / 2, t.cx + t.w / 2) - greatest(p.cx - p.w / 2, t.cx - t.w / 2)) * greatest(0, least(p.cy + p.h / 2, t.cy + t.h / 2) - greatest(p.cy - p.h / 2, t.cy - t.h / 2)) AS i, p.w * p.h + t.w * t.h AS two,
   (greatest(p.cx + p.w / 2, t.cx + t.w / 2) - least(p.cx - p.w / 2, t.cx - t.w / 2)) * (greatest(p.cy + p.h / 2, t.cy + t.h / 2) - least(p.cy - p.h / 2, t.cy - t.h / 2)) AS hull FROM pred p JOIN tg t USING (image_id))
-SELECT image_id, query, target, round(2 * (0.25 * power(1 - s, 2) * -ln(s + 1e-8) - 0.75 * power(s, 2) * -ln(1 - s + 1e-8)) + 5 * l1 - 2 * (i / (two - i) - (hull - (two - i)) / hull), 5) AS cost FROM b""")
+"""
+_SET_COST = "2 * (0.25 * power(1 - s, 2) * -ln(s + 1e-8) - 0.75 * power(s, 2) * -ln(1 - s + 1e-8)) + 5 * l1 - 2 * (i / (two - i) - (hull - (two - i)) / hull)"
+
+
+@query(f"WITH {_SET_COSTS} SELECT image_id, query, target, round({_SET_COST}, 5) AS cost FROM b")
 def set_matching_costs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_matching_costs(spark, d), 5)
 
@@ -820,7 +837,16 @@ def _matching_costs(spark: SparkSession, d: str) -> DataFrame:
     return detection.set_matching_costs(pred, targets)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SET_COSTS}, e AS (
+  SELECT image_id, query, target, {_SET_COST} AS cost, dense_rank() OVER (PARTITION BY image_id ORDER BY query) - 1 AS q,
+    dense_rank() OVER (PARTITION BY image_id ORDER BY target) AS k FROM b),
+best AS (
+  SELECT DISTINCT image_id, 0::BIGINT AS k, 0::BIGINT AS taken, 0::DOUBLE AS cost, []::BIGINT[] AS qs FROM e
+  UNION ALL SELECT image_id, k, taken, min(cost), arg_min(qs, cost) FROM (
+    SELECT e.image_id, e.k, best.taken + (1::BIGINT << e.q) AS taken, best.cost + e.cost AS cost, list_append(qs, e.q) AS qs
+    FROM best JOIN e ON e.image_id = best.image_id AND e.k = best.k + 1 WHERE (best.taken >> e.q) % 2 = 0) GROUP BY image_id, k, taken),
+ends AS (SELECT image_id, arg_min(qs, (-k, cost)) AS qs FROM best GROUP BY image_id)
+SELECT e.image_id, query, target, round(cost, 5) AS cost FROM e JOIN ends USING (image_id) WHERE qs[e.k] = e.q""")
 def set_matching(spark: SparkSession, d: str) -> DataFrame:
     return rounded(assign_groups(_matching_costs(spark, d), ["image_id"], "query", "target", "cost"), 5)
 
