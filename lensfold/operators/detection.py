@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lensfold.functions.geometry import cxcywh_to_xyxy, giou, iou
 from lensfold.functions.vectors import argmax, l2_normalise, scaled, sigmoid, softmax
-from lensfold.operators.groups import Group, fold_groups
+from lensfold.operators.groups import Group, fold_groups, settled
 from lensfold.operators.pose import greedy_keep, interpolated_ap, precision_recall
 
 
@@ -144,17 +146,25 @@ def heatmap_peaks(cells: DataFrame, keys: list[str]) -> DataFrame:
     return peaks.select(*keys, (F.col("x") + shift("right", "left")).alias("x"), (F.col("y") + shift("down", "up")).alias("y"), "value")
 
 
-def coco_matches(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.75)) -> DataFrame:
-    """``image_id, label, id, score, threshold, positive``: greedy matching by falling score, each ground truth once, crowds last and ignored.
+# The areas of boxes, in pixels, that are counted as small, medium and large.
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+IOUS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+
 
-    ``gt(image_id, label, id, x, y, w, h, crowd)``, ``dt(image_id, label, id, x, y, w, h, score)``; detections matched to a
-    crowd have a null ``positive``. An image's boxes of one label are one group.
+def coco_matches(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.75), areas: tuple[str, ...] = ("all",)) -> DataFrame:
+    """``image_id, label, id, score, rank, area, threshold, positive``: greedy matching by falling score for each range of areas.
+
+    ``gt(image_id, label, id, x, y, w, h, crowd)``, ``dt(image_id, label, id, x, y, w, h, score)``. Crowds and ground truth
+    outside the range are ignored: they are taken only where no other box fits, and only crowds more than once. A detection
+    that takes an ignored box, or none while its own area is outside the range, has a null ``positive``. ``rank`` is its place
+    by score in its image and label, which are one group.
     """
     marked = gt.select("image_id", "label", "id", "x", "y", "w", "h", F.col("crowd").cast("boolean").alias("crowd"), F.lit(0.0).alias("score"), F.lit(True).alias("is_gt")).unionByName(dt.select("image_id", "label", "id", "x", "y", "w", "h", F.lit(False).alias("crowd"), "score", F.lit(False).alias("is_gt")))
+    ranges = [(name, *AREAS[name]) for name in areas]
 
     def one(group: Group) -> Group | None:
         own, is_gt = np.arange(len(group["id"])), group["is_gt"].astype(bool)
-        g = own[is_gt][np.lexsort((group["id"][is_gt], group["crowd"][is_gt].astype(bool)))]
+        g = own[is_gt][np.argsort(group["id"][is_gt], kind="stable")]
         d = own[~is_gt][np.lexsort((group["id"][~is_gt], -group["score"][~is_gt]))]
         if not len(d):
             return None
@@ -164,35 +174,64 @@ def coco_matches(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = (
         inter = np.clip(np.minimum(dx + dw, gx + gw) - np.maximum(dx, gx), 0, None) * np.clip(np.minimum(dy + dh, gy + gh) - np.maximum(dy, gy), 0, None)
         union = np.where(crowd[None, :], dw * dh, dw * dh + gw * gh - inter)
         overlap = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-        found = np.full((len(thresholds), len(d)), -1)
-        for k, t in enumerate(thresholds):
-            taken, least = np.zeros(len(g), bool), min(t, 1 - 1e-10)
-            for i in range(len(d)) if len(g) else ():
-                free = np.where(~taken | crowd, overlap[i], -1.0)
-                real = np.where(crowd, -1.0, free)
-                j = int(real.argmax()) if real.max() >= least else int(free.argmax()) if free.max() >= least else -1
-                if j >= 0:
-                    taken[j], found[k, i] = True, j
-        hit = found >= 0
-        positive = hit.astype(object)
-        if crowd.any():
-            positive[hit & crowd[found]] = None
-        n = len(thresholds)
-        return {c: np.tile(group[c][d], n) for c in ("image_id", "label", "id", "score")} | {"threshold": np.repeat(thresholds, len(d)), "positive": positive.ravel()}
-
-    return fold_groups(marked, ["image_id", "label"], one, "image_id long, label int, id long, score double, threshold double, positive boolean")
-
-
-def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = tuple(round(0.5 + 0.05 * k, 2) for k in range(10)), most: int = 100) -> DataFrame:
-    """``label, threshold, ap`` at 101 recalls, from the ``most`` best detections of each image and label."""
+        sizes, own_size = (gw * gh)[0], (dw * dh)[:, 0]
+        columns: list[np.ndarray] = []
+        for _, low, high in ranges:
+            ignored = crowd | (sizes < low) | (sizes > high)
+            outside = (own_size < low) | (own_size > high)
+            for t in thresholds:
+                taken, positive, least = np.zeros(len(g), bool), np.where(outside, None, False), min(t, 1 - 1e-10)
+                for i in range(len(d)) if len(g) else ():
+                    free = np.where(~taken | crowd, overlap[i], -1.0)
+                    real = np.where(ignored, -1.0, free)
+                    j = int(real.argmax()) if real.max() >= least else int(free.argmax()) if free.max() >= least else -1
+                    if j >= 0:
+                        taken[j], positive[i] = True, None if ignored[j] else True
+                columns.append(positive)
+        n = len(columns)
+        about = {c: np.tile(group[c][d], n) for c in ("image_id", "label", "id", "score")} | {"rank": np.tile(np.arange(1, len(d) + 1), n)}
+        names = np.repeat(np.array([r[0] for r in ranges], object), len(thresholds) * len(d))
+        return about | {"area": names, "threshold": np.tile(np.repeat(thresholds, len(d)), len(ranges)), "positive": np.concatenate(columns)}
+
+    schema = "image_id long, label int, id long, score double, rank int, area string, threshold double, positive boolean"
+    return fold_groups(marked, ["image_id", "label"], one, schema)
+
+
+def _most(dt: DataFrame, most: int) -> DataFrame:
     best = Window.partitionBy("image_id", "label").orderBy(F.desc("score"), "id")
-    dt = dt.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).drop("k")
-    found = coco_matches(gt, dt, thresholds).filter("positive is not null")
-    totals = gt.filter(~F.col("crowd").cast("boolean")).groupBy("label").agg(F.count("*").alias("n"))
-    scored = found.select("label", "threshold", F.concat_ws("/", "image_id", "id").alias("id"), "score", "positive")
+    return dt.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).drop("k")
+
+
+def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = IOUS, most: int = 100, areas: tuple[str, ...] = ("all",)) -> DataFrame:
+    """``label, area, threshold, n, ap`` at 101 recalls, and the ``recall_1``, ``recall_10``, ``recall_100`` of the best detections.
+
+    ``n`` boxes are to be found. The ``most`` best detections of each image and label count; labels without a box in a range
+    of areas have no row there.
+    """
+    keys = ["label", "area", "threshold"]
+    found = settled(coco_matches(gt, _most(dt, most), thresholds, areas).filter("positive is not null"))
+    size = F.col("w") * F.col("h")
+    bounds = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("low"), F.lit(AREAS[a][1]).alias("high")) for a in areas])
+    boxes = gt.filter(~F.col("crowd").cast("boolean")).select("label", size.alias("size"), F.explode(bounds).alias("r"))
+    totals = boxes.filter("size >= r.low AND size <= r.high").groupBy("label", F.col("r.area").alias("area")).agg(F.count("*").alias("n"))
     every = totals.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    aps = interpolated_ap(precision_recall(scored, every, ["label", "threshold"]), ["label", "threshold"])
-    return every.join(aps, ["label", "threshold"], "left").select("label", "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    scored = found.select(*keys, F.concat_ws("/", "image_id", "id").alias("id"), "score", "positive")
+    aps = interpolated_ap(precision_recall(scored, every, keys), keys)
+    hits = found.filter("positive").groupBy(*keys).agg(*[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in (1, 10, 100)])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = every.join(aps, keys, "left").join(hits, keys, "left")
+    return out.select(*keys, "n", zero(F.col("ap")).alias("ap"), *[zero(F.col(f"hits_{k}") / F.col("n")).alias(f"recall_{k}") for k in (1, 10, 100)])
+
+
+def coco_summary(gt: DataFrame, dt: DataFrame) -> DataFrame:
+    """One row of twelve numbers: mean ``ap``, at 0.5 and 0.75, of small, medium and large boxes; ``ar`` with 1, 10 and 100 detections, and by area."""
+    per = coco_ap(gt, dt, areas=tuple(AREAS))
+    mean = lambda value, area, *more: F.avg(F.when((F.col("area") == area) & reduce(lambda a, b: a & b, more, F.lit(True)), F.col(value)))
+    at = lambda t: F.abs(F.col("threshold") - t) < 1e-9
+    ap = [mean("ap", "all").alias("ap"), mean("ap", "all", at(0.5)).alias("ap_50"), mean("ap", "all", at(0.75)).alias("ap_75")]
+    ap += [mean("ap", a).alias(f"ap_{a}") for a in ("small", "medium", "large")]
+    ar = [mean(f"recall_{k}", "all").alias(f"ar_{k}") for k in (1, 10, 100)] + [mean("recall_100", a).alias(f"ar_{a}") for a in ("small", "medium", "large")]
+    return per.agg(*ap, *ar)
 
 
 def set_matching_costs(predictions: DataFrame, targets: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 2.0), alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:

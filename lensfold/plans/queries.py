@@ -808,11 +808,57 @@ def video_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(detection.video_summary(named(t.detections(gt)), named(gt)))
 
 
-@query()
-def coco_ap(spark: SparkSession, d: str) -> DataFrame:
+def _coco(*areas: str) -> str:
+    """SQL: ``per``, average precision and recalls by label, range of areas and threshold; greedy matches by a recursion over detections."""
+    ranges = ", ".join(f"('{a}', {detection.AREAS[a][0]}::DOUBLE, {detection.AREAS[a][1]}::DOUBLE)" for a in areas)
+    return f"""{t.BOX_PAIRS}, ranges AS (SELECT * FROM (VALUES {ranges}) AS r (area, low, high)),
+ious AS (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS threshold FROM range(10) r(k)),
+g AS (SELECT frame_id AS image, (part % 2)::INT AS label, id, w * h AS size FROM gt),
+d AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, id) AS k
+  FROM (SELECT frame_id AS image, (part % 2)::INT AS label, id, w * h AS size, round(score, 6) AS score FROM dt)),
+p AS (SELECT d.image, d.label, d.k, g.id AS g, g.size, bp.iou FROM bp JOIN g ON g.image = bp.frame_id AND g.id = bp.g_id JOIN d ON d.image = bp.frame_id AND d.id = bp.d_id AND d.label = g.label WHERE iou >= 0.5),
+st AS (
+  SELECT DISTINCT image, label, area, low, high, threshold, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS g, NULL::DOUBLE AS got, NULL::DOUBLE AS own FROM d, ranges, ious
+  UNION ALL
+  SELECT image, label, area, low, high, threshold, k, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g) END, g, got, own FROM (
+    SELECT st.image, st.label, area, low, high, threshold, d.k, any_value(taken) AS taken, any_value(d.size) AS own,
+      arg_max(p.g, ((p.size BETWEEN low AND high)::INT, p.iou, -p.g)) AS g, arg_max(p.size, ((p.size BETWEEN low AND high)::INT, p.iou, -p.g)) AS got
+    FROM st JOIN d ON d.image = st.image AND d.label = st.label AND d.k = st.k + 1
+      LEFT JOIN p ON p.image = d.image AND p.label = d.label AND p.k = d.k AND p.iou >= least(threshold, 1 - 1e-10) AND NOT list_contains(taken, p.g)
+    GROUP BY st.image, st.label, area, low, high, threshold, d.k)
+),
+f AS (SELECT label, area, threshold, d.k, d.score, concat_ws('/', d.image, d.id) AS key, st.g IS NOT NULL AS hit FROM st JOIN d USING (image, label, k)
+  WHERE CASE WHEN st.g IS NULL THEN own BETWEEN low AND high ELSE got BETWEEN low AND high END),
+n AS (SELECT label, area, count(*) AS n FROM g JOIN ranges ON size BETWEEN low AND high GROUP BY ALL),
+c AS (SELECT label, area, threshold, n, hit, row_number() OVER w AS place, sum(hit::INT) OVER w AS hits FROM f JOIN n USING (label, area)
+  WINDOW w AS (PARTITION BY label, area, threshold ORDER BY score DESC, key ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, max(hits / place) OVER (PARTITION BY label, area, threshold ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope,
+  floor((hits / n + 1e-12) * 100) AS hi, CASE WHEN place = 1 THEN 0 ELSE floor(((hits - hit::INT) / n + 1e-12) * 100) + 1 END AS lo FROM c),
+aps AS (SELECT label, area, threshold, sum(envelope * (hi - lo + 1)) FILTER (hi >= lo) / 101 AS ap FROM e GROUP BY ALL),
+hits AS (SELECT label, area, threshold, count(*) FILTER (k <= 1) AS h1, count(*) FILTER (k <= 10) AS h10, count(*) FILTER (k <= 100) AS h100 FROM f WHERE hit GROUP BY ALL),
+per AS (SELECT label, area, threshold, n, coalesce(ap, 0) AS ap, coalesce(h1 / n, 0) AS recall_1, coalesce(h10 / n, 0) AS recall_10, coalesce(h100 / n, 0) AS recall_100
+  FROM (SELECT * FROM n, ious) LEFT JOIN aps USING (label, area, threshold) LEFT JOIN hits USING (label, area, threshold))"""
+
+
+def _coco_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     gt = t.ground_truth(spark, d)
     shape = lambda x, *more: x.select(F.col("frame_id").alias("image_id"), (F.col("part") % 2).cast("int").alias("label"), "id", "x", "y", "w", "h", *more)
-    return rounded(detection.coco_ap(shape(gt, F.lit(0).alias("crowd")), shape(t.detections(gt), F.round("score", 6).alias("score"))))
+    return shape(gt, F.lit(0).alias("crowd")), shape(t.detections(gt), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_coco("all")} SELECT label, threshold, n, round(ap, 6) AS ap, round(recall_1, 6) AS recall_1, round(recall_10, 6) AS recall_10,
+  round(recall_100, 6) AS recall_100 FROM per""")
+def coco_ap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(detection.coco_ap(*_coco_tables(spark, d)).drop("area"))
+
+
+@query(f"""WITH RECURSIVE {_coco(*detection.AREAS)} SELECT {", ".join(f"round(avg({v}) FILTER (area = '{a}'{c}), 6) AS {name}" for name, v, a, c in (
+    ("ap", "ap", "all", ""), ("ap_50", "ap", "all", " AND threshold = 0.5"), ("ap_75", "ap", "all", " AND threshold = 0.75"),
+    ("ap_small", "ap", "small", ""), ("ap_medium", "ap", "medium", ""), ("ap_large", "ap", "large", ""),
+    ("ar_1", "recall_1", "all", ""), ("ar_10", "recall_10", "all", ""), ("ar_100", "recall_100", "all", ""),
+    ("ar_small", "recall_100", "small", ""), ("ar_medium", "recall_100", "medium", ""), ("ar_large", "recall_100", "large", "")))} FROM per""")
+def coco_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(detection.coco_summary(*_coco_tables(spark, d)))
 
 
 _SET_COSTS = f"""{t.BOXES}, {_LOGITS}, pred AS (SELECT image_id, query, logits, (x + w / 2) / 800 AS cx, (y + h / 2) / 600 AS cy, w / 800 AS w, h / 600 AS h FROM lg JOIN gt ON gt.frame_id = image_id AND gt.id = query),
