@@ -44,10 +44,20 @@ def ngrams(text: str, letters: Letters) -> np.ndarray:
     return np.concatenate((a[a != EDGE], pairs, triples))
 
 
-def gram_counts(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram codes and their counts. A long text is counted in blocks cut at any character."""
-    parts = [np.unique(ngrams(text[i : i + BLOCK], letters), return_counts=True) for i in range(0, max(1, len(text)), BLOCK)]
-    return merged_counts(parts)
+def pieces(text: str, size: int = BLOCK) -> Iterator[str]:
+    """The text in pieces of ``size`` characters, and more where a word goes on, so that no word is cut."""
+    start = 0
+    while start < len(text):
+        end = min(len(text), start + size)
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield text[start:end]
+        start = end
+
+
+def gram_counts(text: str, letters: Letters, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram codes of a text and their counts, taken piece by piece."""
+    return merged_counts([np.unique(ngrams(piece, letters), return_counts=True) for piece in pieces(text, size)] or [(np.empty(0, np.int64),) * 2])
 
 
 def top(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -69,8 +79,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
             counter = by_lang.setdefault(lang, Counter64())
-            for i in range(0, len(text), BLOCK):
-                counter.add(ngrams(text[i : i + BLOCK], letters))
+            for piece in pieces(text):
+                counter.add(ngrams(piece, letters))
             if counter.full():
                 yield rows(lang)
     for lang in by_lang:
@@ -125,7 +135,7 @@ def identify_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
     """Add ``lang_pred string, score double`` to ``docs`` (needs ``text``), each row from its whole text alone.
 
     Null texts and texts without a letter (empty ones too) give ``und`` and 0; repeated rows get the same answer; a very
-    long text is counted in blocks. Columns of the names added are replaced; all others pass through unread.
+    long text is counted in pieces that end between words. Columns of the names added are replaced; all others pass through unread.
     """
     docs = docs.drop("lang_pred", "score")
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
