@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 Group = dict[str, np.ndarray]
+_OWN: dict[str, str] = {}
 
 
 def fold_groups(rows: DataFrame, keys: list[str], fn: Callable[[Group], Group | None], schema: str | StructType, order: tuple[str, ...] = ()) -> DataFrame:
@@ -60,15 +61,23 @@ def _starts(held: Group, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if path is None and context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="lensfold-")
+    return (path or _OWN[context.applicationId]).rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint, so that numbers of partitions stay as they are when an executor is lost.
 
-    Files go to ``spark.checkpoint.dir``; a local session without one gets a folder of its own.
+    Files go to :func:`shared_folder`.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="lensfold-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -14,7 +14,7 @@ from lensfold.operators import boxes, detection, hota, mot_events, mot_metrics,
 from lensfold.operators.assignment import assign_groups
 from lensfold.plans import tables as t
 from lensfold.sources import readers, writers
-from lensfold.streaming import windows
+from lensfold.streaming import videos, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -801,13 +801,26 @@ def nms_agnostic_top_k(spark: SparkSession, d: str) -> DataFrame:
     return detection.nms(_nms_boxes(spark, d), 0.3, by_class=False, keep=3).select("image_id", "id", "label", "score")
 
 
-@query(f"WITH {t.BOXES}, f AS (SELECT DISTINCT seq AS video, frame_id AS frame FROM gt), p AS (SELECT seq AS video, frame_id AS frame, count(*) AS n, sum(score) AS s FROM dt GROUP BY ALL) SELECT video, count(*) AS frames, count(n) AS positive_frames, coalesce(sum(n), 0)::BIGINT AS detections, round(coalesce(sum(n), 0) / count(*), 6) AS per_frame, round(count(n) / count(*), 6) AS positive_rate, round(sum(s) / sum(n), 6) AS mean_score FROM f LEFT JOIN p USING (video, frame) GROUP BY video")
+_VIDEO_SUMMARY = f"WITH {t.BOXES}, f AS (SELECT DISTINCT seq AS video, frame_id AS frame FROM gt), p AS (SELECT seq AS video, frame_id AS frame, count(*) AS n, sum(score) AS s FROM dt GROUP BY ALL) SELECT video, count(*) AS frames, count(n) AS positive_frames, coalesce(sum(n), 0)::BIGINT AS detections, round(coalesce(sum(n), 0) / count(*), 6) AS per_frame, round(count(n) / count(*), 6) AS positive_rate, round(sum(s) / sum(n), 6) AS mean_score FROM f LEFT JOIN p USING (video, frame) GROUP BY video"
+
+
+@query(_VIDEO_SUMMARY)
 def video_summary(spark: SparkSession, d: str) -> DataFrame:
     gt = t.ground_truth(spark, d)
     named = lambda x: x.withColumnRenamed("seq", "video").withColumnRenamed("frame_id", "frame")
     return rounded(detection.video_summary(named(t.detections(gt)), named(gt)))
 
 
+@query(f"SELECT video::VARCHAR AS video, frames, positive_frames, detections, per_frame, positive_rate, mean_score FROM ({_VIDEO_SUMMARY})")
+def video_stream_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The last rows of running summaries, from a stream over the frames, each at the second of its number, a day after the epoch."""
+    gt = t.ground_truth(spark, d)
+    scores = t.detections(gt).groupBy("seq", "frame_id").agg(F.collect_list("score").alias("scores"))
+    frames = gt.select("seq", "frame_id").distinct().join(scores, ["seq", "frame_id"], "left")
+    frames = frames.select(F.col("seq").cast("string").alias("video"), F.col("frame_id").alias("frame"), F.timestamp_seconds(F.col("frame_id") + 86400).alias("ts"), "scores")
+    return rounded(videos.replayed(frames, silence=10**9).filter("ended").drop("ended"))
+
+
 def _coco(*areas: str) -> str:
     """SQL: ``per``, average precision and recalls by label, range of areas and threshold; greedy matches by a recursion over detections."""
     ranges = ", ".join(f"('{a}', {detection.AREAS[a][0]}::DOUBLE, {detection.AREAS[a][1]}::DOUBLE)" for a in areas)

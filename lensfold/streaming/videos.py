@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from lensfold.operators.groups import shared_folder
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 #: State of a video: what has been counted, and the time at which its timer stands.
 TOTALS = "frames long, positive long, detections long, score double, timer long"
 SUMMARY = "video string, ended boolean, frames long, positive_frames long, detections long, per_frame double, positive_rate double, mean_score double"
@@ -66,7 +71,8 @@ def summary_rows(video: str, ended: bool, frames: np.ndarray, positive: np.ndarr
 def video_stream(frames: DataFrame, every: int = 30, silence: int = 60, lateness: str = "10 seconds") -> DataFrame:
     """Summaries of a stream ``frames(video, frame, ts, scores array<double>)``; schema ``SUMMARY``, in append mode.
 
-    Null or empty ``scores`` are a frame without detections; rows without video or time are left out. Needs the RocksDB state store
+    Null or empty ``scores`` are a frame without detections; rows without video or time are left out, and times must lie after
+    1970 began, where watermarks start. Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``). ``silence`` is in seconds.
     """
     scores = F.coalesce("scores", F.array().cast("array<double>"))
@@ -74,3 +80,25 @@ def video_stream(frames: DataFrame, every: int = 30, silence: int = 60, lateness
     rows = frames.filter("video IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", lateness)
     rows = rows.select("video", "frame", "ts", F.unix_millis("ts").alias("at"), F.size(scores).alias("n"), total.alias("score"))
     return rows.groupBy("video").transformWithStateInPandas(VideoSummary(every, silence * 1000), SUMMARY, "Append", "EventTime")
+
+
+def replayed(frames: DataFrame, every: int = 30, silence: int = 60) -> DataFrame:
+    """:func:`video_stream` over a table of frames: it is written below the shared folder and read as a stream to its end, with a
+    frame of no video long after the others, which ends all videos. The session's state store is as before afterwards.
+    """
+    spark, path = frames.sparkSession, f"{shared_folder(frames.sparkSession)}/lensfold-streams/{uuid.uuid4().hex}"
+    frames = frames.select("video", "frame", F.col("ts").cast("timestamp").alias("ts"), "scores")
+    frames.write.parquet(f"{path}/in/frames")
+    after = spark.read.schema(frames.schema).parquet(f"{path}/in/frames").agg(F.max("ts").alias("ts"))
+    after = after.select(F.lit("").alias("video"), F.lit(0).cast("long").alias("frame"), (F.col("ts") + F.make_dt_interval(secs=F.lit(float(silence + 86400)))).alias("ts"), F.lit(None).cast("array<double>").alias("scores"))
+    after.write.parquet(f"{path}/in/zz-after")
+    store = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(frames.schema).parquet(f"{path}/in/*")
+        out = video_stream(stream, every, silence).filter("video <> ''")
+        query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, store) if store else spark.conf.unset(STORE)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
