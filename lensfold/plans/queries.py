@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lensfold.functions import geometry, masks, text, vectors
 from lensfold.functions.keypoints import SIGMAS_17, oks, pckh_similarity
-from lensfold.operators import boxes, detection, hota, mot_events, mot_metrics, pose, profile, retrieval, runs, tracker
+from lensfold.operators import boxes, detection, hota, memory, mot_events, mot_metrics, pose, profile, retrieval, runs, tracker
 from lensfold.operators.assignment import assign_groups
 from lensfold.plans import tables as t
 from lensfold.sources import readers, writers
@@ -947,6 +947,27 @@ def distractors_removed(spark: SparkSession, d: str) -> DataFrame:
     return dt.join(bad, ["seq", "frame_id", "id"], "left_anti").select("seq", "frame_id", "id")
 
 
+# Memory
+
+@query(f"""WITH {t.EMB}, l AS (SELECT pid, list(v ORDER BY id) AS vs, count(*) AS n FROM emb GROUP BY pid),
+p AS (SELECT pid, n, list_reduce(list_prepend(list_transform(vs[1], lambda x: x / sqrt(list_inner_product(vs[1], vs[1]))), vs[2:]),
+  lambda a, b: list_transform(list_transform(a, lambda x, i: 0.5 * x + 0.5 * b[i]), lambda y: y / sqrt(list_inner_product(
+    list_transform(a, lambda x, i: 0.5 * x + 0.5 * b[i]), list_transform(a, lambda x, i: 0.5 * x + 0.5 * b[i]))))) AS v FROM l)
+SELECT pid, n, (i - 1)::INT AS i, round(v[i], 6) AS x FROM (SELECT pid, n, v, unnest(range(1, len(v) + 1)) AS i FROM p)""")
+def prototype_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Prototypes of persons after all vectors in the order of their ids."""
+    rows = t.embeddings(spark, d).select("pid", F.col("id").alias("place"), "v")
+    return rounded(memory.prototypes(rows).select(F.col("pid").cast("int").alias("pid"), "n", F.posexplode("v").alias("i", "x")))
+
+
+@query(f"""WITH {t.EMB}, u AS (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM emb WHERE pid % 2 = 1)
+SELECT ((k + 5) % 64)::INT AS slot, id AS place, round(v[1], 6) AS first FROM u WHERE k >= n - 64""")
+def unknown_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of the vectors of unknown persons, odd labels here, written from slot 5 on."""
+    rows = t.embeddings(spark, d).filter("pid % 2 = 1").select(F.col("id").alias("place"), "v")
+    return rounded(memory.circular_queue(rows, 64, header=5).select("slot", "place", F.col("v")[0].alias("first")))
+
+
 # Masks
 
 #: Boxes as masks of an image of 110 x 80 pixels.
