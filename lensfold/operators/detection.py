@@ -250,6 +250,44 @@ def set_matching_costs(predictions: DataFrame, targets: DataFrame, weights: tupl
     return both.select("image_id", "query", "target", (weights[0] * focal + weights[1] * l1 - weights[2] * overlap).alias("cost"))
 
 
+def _cross_entropy(x: Column, y: Column) -> Column:
+    """Of a logit and a target between 0 and 1."""
+    return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+
+
+def focal_value(logit: Column, target: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """Cross entropy of a logit, weighed down where it is right already; ``target`` is 0 or 1."""
+    p = sigmoid(logit)
+    miss = F.when(target == 1, 1 - p).otherwise(p)
+    return F.when(target == 1, F.lit(alpha)).otherwise(F.lit(1 - alpha)) * F.pow(miss, F.lit(gamma)) * _cross_entropy(logit, target)
+
+
+def varifocal_value(logit: Column, quality: Column, target: Column, alpha: float = 0.75, gamma: float = 2.0) -> Column:
+    """Cross entropy against the overlap ``quality`` of a matched class, by which it is weighed; other classes weigh by their score."""
+    score = F.when(target == 1, quality).otherwise(F.lit(0.0))
+    weight = F.when(target == 1, quality).otherwise(alpha * F.pow(sigmoid(logit), F.lit(gamma)))
+    return weight * _cross_entropy(logit, score)
+
+
+def matched_losses(predictions: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row ``loss_focal, loss_vfl, loss_bbox, loss_giou`` over all predictions, per target box (one at least).
+
+    Tables as for :func:`set_matching_costs`, ``pairs(image_id, query, target)`` as matched. A prediction without a pair is
+    background in every class. No predictions give nulls.
+    """
+    corners = ("cx", "cy", "w", "h")
+    t = targets.select("image_id", "target", "label", *[F.col(c).alias(f"t_{c}") for c in corners])
+    rows = predictions.join(pairs.select("image_id", "query", "target").join(t, ["image_id", "target"]), ["image_id", "query"], "left")
+    own, other = tuple(F.col(c) for c in corners), tuple(F.col(f"t_{c}") for c in corners)
+    quality = iou(cxcywh_to_xyxy(own), cxcywh_to_xyxy(other))
+    cells = loss_values(rows).select("*", quality.alias("quality"), F.posexplode("logits").alias("class", "logit"))
+    hit = F.coalesce(F.col("class") == F.col("label"), F.lit(False)).cast("int")
+    first = lambda c: F.sum(F.when(F.col("class") == 0, F.col(c)))  # noqa: E731 once a prediction; null without a pair
+    sums = {"focal": F.sum(focal_value(F.col("logit"), hit)), "vfl": F.sum(varifocal_value(F.col("logit"), F.col("quality"), hit)), "bbox": first("l1"), "giou": first("giou_loss")}
+    n = max(1, targets.count())
+    return cells.agg(*[(value / n).alias(f"loss_{name}") for name, value in sums.items()])
+
+
 def loss_values(pairs: DataFrame) -> DataFrame:
     """Add ``l1`` and ``giou_loss`` to matched ``pairs`` of normalised centre boxes (own and ``t_``)."""
     own, other = tuple(F.col(c) for c in ("cx", "cy", "w", "h")), tuple(F.col(f"t_{c}") for c in ("cx", "cy", "w", "h"))

@@ -888,15 +888,18 @@ def set_matching_costs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_matching_costs(spark, d), 5)
 
 
-def _matching_costs(spark: SparkSession, d: str) -> DataFrame:
+def _set_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     gt = t.ground_truth(spark, d)
     shape = [((F.col("x") + F.col("w") / 2) / 800).alias("cx"), ((F.col("y") + F.col("h") / 2) / 600).alias("cy"), (F.col("w") / 800).alias("w"), (F.col("h") / 600).alias("h")]
     pred = _logits(spark, d).join(gt.select(F.col("frame_id").alias("image_id"), F.col("id").alias("query"), *shape), ["image_id", "query"])
-    targets = t.detections(gt).select(F.col("frame_id").alias("image_id"), F.col("id").alias("target"), (F.col("part") % 3).cast("int").alias("label"), *shape)
-    return detection.set_matching_costs(pred, targets)
+    return pred, t.detections(gt).select(F.col("frame_id").alias("image_id"), F.col("id").alias("target"), (F.col("part") % 3).cast("int").alias("label"), *shape)
+
+
+def _matching_costs(spark: SparkSession, d: str) -> DataFrame:
+    return detection.set_matching_costs(*_set_tables(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_SET_COSTS}, e AS (
+_SET_MATCHES = f"""{_SET_COSTS}, e AS (
   SELECT image_id, query, target, {_SET_COST} AS cost, dense_rank() OVER (PARTITION BY image_id ORDER BY query) - 1 AS q,
     dense_rank() OVER (PARTITION BY image_id ORDER BY target) AS k FROM b),
 best AS (
@@ -904,12 +907,31 @@ best AS (
   UNION ALL SELECT image_id, k, taken, min(cost), arg_min(qs, cost) FROM (
     SELECT e.image_id, e.k, best.taken + (1::BIGINT << e.q) AS taken, best.cost + e.cost AS cost, list_append(qs, e.q) AS qs
     FROM best JOIN e ON e.image_id = best.image_id AND e.k = best.k + 1 WHERE (best.taken >> e.q) % 2 = 0) GROUP BY image_id, k, taken),
-ends AS (SELECT image_id, arg_min(qs, (-k, cost)) AS qs FROM best GROUP BY image_id)
-SELECT e.image_id, query, target, round(cost, 5) AS cost FROM e JOIN ends USING (image_id) WHERE qs[e.k] = e.q""")
+ends AS (SELECT image_id, arg_min(qs, (-k, cost)) AS qs FROM best GROUP BY image_id)"""
+
+
+@query(f"WITH RECURSIVE {_SET_MATCHES} SELECT e.image_id, query, target, round(cost, 5) AS cost FROM e JOIN ends USING (image_id) WHERE qs[e.k] = e.q")
 def set_matching(spark: SparkSession, d: str) -> DataFrame:
     return rounded(assign_groups(_matching_costs(spark, d), ["image_id"], "query", "target", "cost"), 5)
 
 
+@query(f"""WITH RECURSIVE {_SET_MATCHES}, m AS (SELECT e.image_id, query, target FROM e JOIN ends USING (image_id) WHERE qs[e.k] = e.q),
+v AS (SELECT p.image_id, p.query, logits, label, l1, i / (two - i) AS iou, i / (two - i) - (hull - (two - i)) / hull AS giou
+  FROM pred p LEFT JOIN m ON m.image_id = p.image_id AND m.query = p.query LEFT JOIN b ON b.image_id = m.image_id AND b.query = m.query AND b.target = m.target
+  LEFT JOIN tg ON tg.image_id = m.image_id AND tg.target = m.target),
+c AS (SELECT l, 1 / (1 + exp(-l)) AS p, coalesce(label = k, false) AS hit, iou FROM (SELECT *, unnest(logits) AS l, generate_subscripts(logits, 1) - 1 AS k FROM v)),
+x AS (SELECT *, CASE WHEN hit THEN iou ELSE 0 END AS q, greatest(l, 0) + ln(1 + exp(-abs(l))) AS base FROM c),
+n AS (SELECT greatest(count(*), 1) AS n FROM tg)
+SELECT round((SELECT sum(CASE WHEN hit THEN 0.25 * power(1 - p, 2) * (base - l) ELSE 0.75 * power(p, 2) * base END) FROM x) / n, 6) AS loss_focal,
+  round((SELECT sum((CASE WHEN hit THEN iou ELSE 0.75 * power(p, 2) END) * (base - l * q)) FROM x) / n, 6) AS loss_vfl,
+  round((SELECT sum(l1) FROM v) / n, 6) AS loss_bbox, round((SELECT sum(1 - giou) FROM v) / n, 6) AS loss_giou FROM n""")
+def matched_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Focal, varifocal and box losses of the matched sets."""
+    pred, targets = _set_tables(spark, d)
+    pairs = assign_groups(detection.set_matching_costs(pred, targets), ["image_id"], "query", "target", "cost")
+    return rounded(detection.matched_losses(pred, targets, pairs))
+
+
 @query(f"""WITH {t.BOX_PAIRS}, p AS (SELECT seq, frame_id, d_id AS id, min(CASE WHEN 1 - iou <= 0.5 THEN 1 END) AS near FROM bp GROUP BY ALL),
 r AS (SELECT *, 100.0::DOUBLE AS rx1, 50.0::DOUBLE AS ry1, 300.0::DOUBLE AS rx2, 250.0::DOUBLE AS ry2 FROM dt),
 i AS (SELECT r.*, near, greatest(0, least(r.x + r.w, rx2) - greatest(r.x, rx1)) * greatest(0, least(r.y + r.h, ry2) - greatest(r.y, ry1)) AS inter FROM r LEFT JOIN p USING (seq, frame_id, id))
