@@ -7,15 +7,20 @@ detection.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lensfold.operators.assignment import assign
 
+TRACKED = "seq string, frame_id long, det_id long, track_id long"
+
 
 @dataclass
 class Track:
@@ -46,11 +51,12 @@ class Tracker:
     shortest: int = 1
     memory: int = 5
     reid: bool = True
-    tracks: list[Track] = field(default_factory=list)
+    tracks: list[Track] = field(default_factory=list)  # those that are not dead
+    started: int = 0
 
     def greedy(self, detections: list, affinity: dict) -> dict:
         """detection -> track: each detection in turn takes the free active track with most affinity; ties by track."""
-        free = {t.number: t for t in self.tracks if t.active and t.detections}
+        free = {t.number: t for t in self.tracks if t.active and t.detections} if affinity else {}
         out = {}
         for d in detections:
             values = {n: affinity.get((t.detections[-1][1], d), 0.0) for n, t in free.items()}
@@ -74,7 +80,8 @@ class Tracker:
         found |= self.reassociate([d for d in detections if d not in found], features)
         for d in detections:
             if d not in found:
-                found[d] = Track(len(self.tracks))
+                found[d] = Track(self.started)
+                self.started += 1
                 self.tracks.append(found[d])
         seen = set()
         for d in detections:
@@ -90,26 +97,56 @@ class Tracker:
             if not t.dead and t.number not in seen:
                 t.inactive += 1
                 t.dead = t.inactive > self.patience or len(t.detections) < self.shortest
+        self.tracks = [t for t in self.tracks if not t.dead]
         return [(d, found[d].number) for d in detections]
 
 
 def track(detections: DataFrame, affinities: DataFrame, **parameters) -> DataFrame:
     """``seq, frame_id, det_id, track_id`` of ``detections(seq, frame_id, det_id, feature)`` and ``affinities(seq, a, b, value)``.
 
-    ``value`` is the affinity of detection ``a`` of an earlier frame and ``b``. A sequence is one ordered group.
+    ``value`` is the affinity of detection ``a`` of an earlier frame and ``b``. A sequence is one ordered fold, through Arrow
+    batches of its frames; a detection brings its affinities along, and only living tracks are held.
     """
-
-    def fold(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows = Tracker(**parameters), []
-        affinity = {(int(x), int(y)): float(v) for x, y, v in zip(a.a, a.b, a.value, strict=True)} if len(a) else {}
-        for frame, group in d.sort_values(["frame_id", "det_id"]).groupby("frame_id"):
-            features = {int(k): f for k, f in zip(group.det_id, group.feature, strict=True)}
-            rows += [(d.seq.iloc[0], int(frame), k, t) for k, t in tracker.step(int(frame), [int(k) for k in group.det_id], affinity, features)]
-        return pd.DataFrame(rows, columns=["seq", "frame_id", "det_id", "track_id"])
-
-    # Both sides may come from one table; a fresh name keeps their columns apart.
-    affinities = affinities.select(F.col("seq").alias("pair_seq"), "a", "b", "value")
-    return detections.groupBy("seq").cogroup(affinities.groupBy("pair_seq")).applyInPandas(fold, "seq string, frame_id long, det_id long, track_id long")
+    schema = to_arrow_schema(_parse_datatype_string(TRACKED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracker, seq, frame, out = Tracker(**parameters), None, None, []
+        present: list[int] = []
+        affinity: dict[tuple[int, int], float] = {}
+        features: dict = {}
+
+        def close() -> None:
+            out.extend((seq, frame, d, n) for d, n in tracker.step(frame, present, affinity, features))
+
+        for batch in batches:
+            seqs, frames, own, feature, near = (batch.column(batch.schema.get_field_index(c)) for c in ("seq", "frame_id", "det_id", "feature", "near"))
+            starts, a, value = near.offsets.to_pylist(), near.values.field("a").to_pylist(), near.values.field("value").to_pylist()
+            plain = feature.null_count == len(feature)
+            for k, (s, f, d) in enumerate(zip(seqs.to_pylist(), frames.to_pylist(), own.to_pylist(), strict=True)):
+                if s != seq or f != frame:
+                    if present:
+                        close()
+                    tracker = tracker if s == seq else Tracker(**parameters)
+                    seq, frame, present, affinity, features = s, f, [], {}, {}
+                present.append(d)
+                affinity.update({(a[i], d): value[i] for i in range(starts[k], starts[k + 1])})
+                features[d] = None if plain else feature[k].as_py()
+            yield from _tracked(out, schema)
+            out.clear()
+        if present:
+            close()
+        yield from _tracked(out, schema)
+
+    pairs = affinities.groupBy(F.col("seq").alias("_seq"), F.col("b").alias("_b")).agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("value").cast("double").alias("value"))).alias("near"))
+    kinds = {"seq": F.col("seq").cast("string"), "frame_id": F.col("frame_id").cast("long"), "det_id": F.col("det_id").cast("long")}
+    met = (F.col("seq") == F.col("_seq")) & (F.col("det_id") == F.col("_b"))
+    rows = detections.join(pairs, met, "left").filter("seq IS NOT NULL AND frame_id IS NOT NULL").withColumns(kinds).select(*kinds, "feature", "near")
+    return rows.repartition(F.xxhash64("seq")).sortWithinPartitions("seq", "frame_id", "det_id").mapInArrow(run, TRACKED)
+
+
+def _tracked(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def fused_affinity(pairs: DataFrame, pose_threshold: float = 0.8, corr_threshold: float = 0.1, min_joints: int = 3) -> DataFrame:
