@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensfold.operators.components import connected_components
-from lensfold.operators.groups import Group, fold_groups, settled
+from lensfold.operators.groups import Group, fold_batches, fold_groups, settled
 
 Solver = Callable[[np.ndarray], np.ndarray]
 
@@ -103,29 +103,74 @@ def assign_groups(edges: DataFrame, keys: list[str], row: str, column: str, cost
     solver = solver if callable(solver) else _SOLVERS[solver or _DEFAULT[-1]]
     edges = edges.select(*keys, row, column, cost)
 
-    def solve(g: Group) -> Group | None:
-        own = chosen_edges(g[row], g[column], g[cost] * (-1 if maximise else 1), solver)
+    def solve(g: Group, starts: np.ndarray) -> Group | None:
+        own = chosen_edges(starts, g[row], g[column], g[cost] * (-1 if maximise else 1), solver)
         return {n: v[own] for n, v in g.items()} if len(own) else None
 
-    return fold_groups(edges, keys, solve, edges.schema)
+    return fold_batches(edges, keys, solve, edges.schema)
 
 
-def chosen_edges(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, solver: str | Solver | None = None) -> np.ndarray:
-    """Places of the edges (row, column, cost) that the optimal assignment uses."""
-    r, i = np.unique(rows, return_inverse=True)
-    c, j = np.unique(columns, return_inverse=True)
-    matrix, place = np.full((len(r), len(c)), np.nan), np.zeros((len(r), len(c)), int)
-    matrix[i, j], place[i, j] = cost, np.arange(len(cost))
-    return np.array([place[p] for p in assign(matrix, solver)], int)
+def places_in_groups(starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each of the ``ids`` among the distinct ones of its group, and how many of these each group has."""
+    order = np.lexsort((ids, group))
+    same = (group[order][1:] == group[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+    number = np.cumsum(np.append(True, ~same)) - 1
+    first = number[starts]
+    out = np.empty(len(ids), np.int64)
+    out[order] = number - first[group]
+    return out, np.diff(np.append(first, number[-1] + 1))
 
 
-def best_edges(rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Places of the edges (row, column, score) of the matching with the greatest total; absent pairs and pairs of 0 add nothing and are left out."""
-    r, i = np.unique(rows, return_inverse=True)
-    c, j = np.unique(columns, return_inverse=True)
-    matrix, place = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)), int)
-    matrix[i, j], place[i, j] = -score, np.arange(len(score))
-    return np.array([place[p] for p in assign(matrix) if matrix[p] < 0], int)
+def _optimal(starts: np.ndarray, rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, solve: Solver, absent: float, cells: int = 1 << 21) -> np.ndarray:
+    """Places of the edges that the optimal assignment of each group uses.
+
+    Pairs without an edge cost ``absent``; NaN forbids them, as :func:`assign` does. Groups of one shape are one array, in which
+    those are settled at once whose rows all have their own cheapest column; the others are given to ``solve``.
+    """
+    if not len(rows):
+        return np.empty(0, int)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    (i, heights), (j, widths) = (places_in_groups(starts, group, x) for x in (rows, columns))
+    shapes, of = np.unique(np.stack((heights, widths)), axis=1, return_inverse=True)
+    of = of.ravel()
+    edges = np.argsort(of[group], kind="stable")
+    ends = np.cumsum(np.bincount(of[group], minlength=shapes.shape[1]))
+    found = []
+    for k, (n, m) in enumerate(shapes.T.tolist()):
+        all_edges = edges[ends[k - 1] if k else 0 : ends[k]]
+        slots = np.cumsum(np.append(True, group[all_edges][1:] != group[all_edges][:-1])) - 1
+        most = max(1, cells // (n * m))
+        for at in range(0, slots[-1] + 1, most):
+            lo, hi = np.searchsorted(slots, (at, at + most))
+            own, slot = all_edges[lo:hi], slots[lo:hi] - at
+            full, place = np.full((slot[-1] + 1, n, m), absent), np.zeros((slot[-1] + 1, n, m), int)
+            full[slot, i[own], j[own]], place[slot, i[own], j[own]] = cost[own], own
+            ok = np.isfinite(full)
+            if not ok.all():
+                top = np.where(ok, np.abs(full), 0.0).max((1, 2))
+                full = np.where(ok, full, (2 * min(n, m) * (top + 1) + 1)[:, None, None])
+            if n > m:
+                full, place, ok = (x.transpose(0, 2, 1) for x in (full, place, ok))
+            best = full.argmin(2)
+            taken = np.sort(best, axis=1)
+            for b in np.flatnonzero((taken[:, 1:] == taken[:, :-1]).any(1) & ok.any((1, 2))):
+                best[b] = solve(full[b].copy())
+            used = np.arange(len(best))[:, None], np.arange(best.shape[1])[None, :], best
+            found.append(place[used][ok[used] & ((full[used] < 0) | np.isnan(absent))])
+    return np.sort(np.concatenate(found))
+
+
+def chosen_edges(starts: np.ndarray, rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, solver: str | Solver | None = None) -> np.ndarray:
+    """Places of the edges (row, column, cost) that the optimal assignments use; groups of edges begin at ``starts``."""
+    return _optimal(starts, rows, columns, cost, solver if callable(solver) else _SOLVERS[solver or _DEFAULT[-1]], np.nan)
+
+
+def best_edges(starts: np.ndarray, rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the edges (row, column, score) of the matchings with the greatest total; absent pairs and pairs of 0 add nothing and are left out.
+
+    Groups of edges begin at ``starts``.
+    """
+    return _optimal(starts, rows, columns, -score, _SOLVERS[_DEFAULT[-1]], 0.0)
 
 
 def heaviest_matching(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:

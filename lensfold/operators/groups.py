@@ -23,6 +23,17 @@ def fold_groups(rows: DataFrame, keys: list[str], fn: Callable[[Group], Group |
     Rows are dealt by their keys and sorted, so that a group's rows come one after another through Arrow batches of many
     groups. A group is held in memory whole. Keys must not be null.
     """
+
+    def each(held: Group, starts: np.ndarray) -> Group | None:
+        ends = np.append(starts[1:], len(held[keys[0]]))
+        found = [out for lo, hi in zip(starts, ends, strict=True) if (out := fn({n: v[lo:hi] for n, v in held.items()})) is not None]
+        return {n: np.concatenate([f[n] for f in found]) for n in found[0]} if found else None
+
+    return fold_batches(rows, keys, each, schema, order)
+
+
+def fold_batches(rows: DataFrame, keys: list[str], fn: Callable[[Group, np.ndarray], Group | None], schema: str | StructType, order: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`fold_groups`, for an ``fn`` of the columns of many whole groups and of the places where each of these starts."""
     names = rows.columns
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
@@ -34,26 +45,33 @@ def fold_groups(rows: DataFrame, keys: list[str], fn: Callable[[Group], Group |
                 continue
             new = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
             held = new if held is None else {n: np.concatenate((held[n], new[n])) for n in names}
-            starts = _starts(held, keys)
+            starts = group_starts(held, keys)
             if len(starts) > 1:
-                yield from _apply(held, starts[:-1], starts[1:])
+                yield from _apply({n: v[: starts[-1]] for n, v in held.items()}, starts[:-1])
                 held = {n: v[starts[-1] :] for n, v in held.items()}
         if held is not None:
-            starts = _starts(held, keys)
-            yield from _apply(held, starts, np.append(starts[1:], len(held[names[0]])))
+            yield from _apply(held, group_starts(held, keys))
 
-    def _apply(held: Group, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = [out for lo, hi in zip(starts, ends, strict=True) if (out := fn({n: v[lo:hi] for n, v in held.items()})) is not None]
-        if found:
-            arrays = [pa.array(np.concatenate([f[field.name] for f in found]), field.type, from_pandas=True) for field in arrow]
+    def _apply(held: Group, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = fn(held, starts)
+        if found is not None:
+            arrays = [pa.array(found[field.name], field.type, from_pandas=True) for field in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    # Dealt by a hash of the keys: a union of sides that are dealt by the keys counts as dealt by them, even where adaptive
-    # execution then plans the sides differently, and a shuffle by the keys themselves would be left out.
-    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return dealt(rows, keys, order).mapInArrow(run, kind)
+
+
+def dealt(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with each group in one task and its rows one after another.
+
+    Dealt by a hash of the keys: a union of sides that are dealt by the keys counts as dealt by them, even where adaptive
+    execution then plans the sides differently, and a shuffle by the keys themselves would be left out.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
-def _starts(held: Group, keys: list[str]) -> np.ndarray:
+def group_starts(held: Group, keys: list[str]) -> np.ndarray:
+    """Where groups begin in columns that are sorted by ``keys``."""
     n = len(held[keys[0]])
     new = np.zeros(n, bool)
     new[:1] = True

@@ -6,13 +6,18 @@ detections. A frame's matching needs only the sequence's counts, so frames are s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lensfold.operators.assignment import best_edges
+from lensfold.operators.assignment import best_edges, places_in_groups
 from lensfold.operators.boxes import normalised_similarity
-from lensfold.operators.groups import Group, fold_groups, settled
+from lensfold.operators.groups import Group, dealt, fold_batches, group_starts, settled
 
 #: Thresholds .05 to .95.
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 20))
@@ -47,32 +52,111 @@ def matches(pairs: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str], ali
     kept = scored.drop("score").schema
     names = kept.names
 
-    def solve(g: Group) -> Group | None:
-        own = best_edges(g["gt_id"], g["tr_id"], g["score"])
+    def solve(g: Group, starts: np.ndarray) -> Group | None:
+        own = best_edges(starts, g["gt_id"], g["tr_id"], g["score"])
         return {n: g[n][own] for n in names} if len(own) else None
 
-    return fold_groups(scored, [*keys, "t"], solve, kept)
+    return fold_batches(scored, [*keys, "t"], solve, kept)
 
 
 def matches_per_alpha(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Matchings made anew for each threshold: most pairs that reach it first, then most similarity; absent pairs score 0. Adds ``alpha``."""
+    """Matchings made anew for each threshold: most pairs that reach it first, then most similarity; absent pairs score 0.
+
+    Adds ``at``, with bit k set where the pair is matched at the k-th of ``ALPHAS``; a pair is one row for all of them.
+    """
     near = pairs.select(*keys, "t", "gt_id", "tr_id", "sim")
 
-    def solve(g: Group) -> Group | None:
-        parts: list[tuple[np.ndarray, float]] = []
-        before, chosen = None, np.empty(0, int)
-        for alpha in ALPHAS:
+    def solve(g: Group, starts: np.ndarray) -> Group | None:
+        sizes = np.diff(np.append(starts, len(g["sim"])))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        compete = np.logical_or(*(places_in_groups(starts, group, g[c])[1] < sizes for c in ("gt_id", "tr_id")))
+        own = np.flatnonzero(compete[group])  # elsewhere each pair is matched wherever it reaches the threshold
+        chosen, at = np.ones(len(group), bool), np.zeros(len(group), np.int64)
+        before = None
+        for k, alpha in enumerate(ALPHAS):
             over = g["sim"] >= alpha - EPS
-            if before is None or (over != before).any():
-                chosen, before = best_edges(g["gt_id"], g["tr_id"], np.where(over, 1000.0, 0.0) + g["sim"]), over
-            if len(own := chosen[over[chosen]]):
-                parts.append((own, alpha))
-        if not parts:
-            return None
-        own = np.concatenate([p for p, _ in parts])
-        return {n: v[own] for n, v in g.items()} | {"alpha": np.repeat([a for _, a in parts], [len(p) for p, _ in parts])}
+            if len(own):
+                new = np.zeros(len(starts), bool)
+                new[group[own if before is None else own[over[own] != before[own]]]] = True
+                again, before = own[new[group[own]]], over
+                if len(again):
+                    first = np.flatnonzero(np.append(True, group[again][1:] != group[again][:-1]))
+                    chosen[again] = False
+                    chosen[again[best_edges(first, g["gt_id"][again], g["tr_id"][again], np.where(over, 1000.0, 0.0)[again] + g["sim"][again])]] = True
+            at |= (chosen & over).astype(np.int64) << k
+        used = np.flatnonzero(at)
+        return {n: v[used] for n, v in g.items()} | {"at": at[used]} if len(used) else None
+
+    return fold_batches(near, [*keys, "t"], solve, near.withColumn("at", F.lit(0).cast("long")).schema)
+
+
+class Runs:
+    """Counts of matches, which come in the order of group and time through batches; a run is what an object keeps of one hypothesis.
+
+    Only the run that each threshold has open is held. A run of n matches that goes on with m more adds m * m + 2 * n * m to
+    the squares, so nothing has to wait for its end.
+    """
 
-    return fold_groups(near, [*keys, "t"], solve, near.withColumn("alpha", F.lit(0.0)).schema)
+    def __init__(self) -> None:
+        self.group: tuple | None = None
+        self.open: list[tuple | None] = [None] * len(ALPHAS)
+
+    def add(self, group: list[tuple], of: np.ndarray, tr_id: np.ndarray, sim: np.ndarray, at: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """``group, tr, alpha, m, squares, sim`` of a batch: places in the names ``group`` and in ``tr_id``, whose rows are ``of`` them."""
+        if group[0] != self.group:
+            self.open = [None] * len(ALPHAS)
+        ids, tr = np.unique(tr_id, return_inverse=True)
+        codes, first, code = np.unique(of * len(ids) + tr, return_index=True, return_inverse=True)
+        out = []
+        for k, alpha in enumerate(ALPHAS):
+            own = np.flatnonzero(sim >= alpha - EPS if at is None else at >> k & 1)
+            if not len(own):
+                self.open[k] = self.open[k] if len(group) == 1 else None
+                continue
+            c = code[own]
+            starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))  # codes tell groups and hypotheses apart
+            n = np.diff(np.append(starts, len(c)))
+            squares = (n * n).astype(np.float64)
+            length = int(n[-1])
+            if self.open[k] is not None and of[own[0]] == 0 and self.open[k][0] == tr_id[own[0]]:
+                squares[0] += 2.0 * self.open[k][1] * n[0]
+                length += self.open[k][1] if len(n) == 1 else 0
+            self.open[k] = (tr_id[own[-1]], length) if of[own[-1]] == len(group) - 1 else None
+            m = np.bincount(c, minlength=len(codes))
+            used = np.flatnonzero(m)
+            sums = np.bincount(c[starts], squares, len(codes)), np.bincount(c, sim[own], len(codes))
+            out.append((of[first[used]], first[used], np.full(len(used), alpha), m[used], *(x[used] for x in sums)))
+        self.group = group[-1]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else ()
+
+
+def run_sums(matched: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, alpha, gt_id, tr_id, m, squares, sim``: matches, the sum of squared lengths of their runs and of similarities.
+
+    ``matched`` has a row a match for all thresholds that its similarity reaches, or for those in ``at``. Rows may be partial sums.
+    """
+    own = [*keys, "gt_id"]
+    rows = matched.select(*own, "t", "tr_id", "sim", *(["at"] if "at" in matched.columns else []))
+    names = rows.columns
+    kinds = [*(rows.schema[c] for c in (*own, "tr_id")), StructField("alpha", DoubleType()), StructField("m", LongType()), StructField("squares", DoubleType()), StructField("sim", DoubleType())]
+    kind = StructType(kinds)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+            starts = group_starts(g, own)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+            found = runs.add(list(zip(*(g[c][starts].tolist() for c in own), strict=True)), of, g["tr_id"], g["sim"], g.get("at"))
+            if found:
+                group, tr, *sums = found
+                columns = [*(g[c][starts][group] for c in own), g["tr_id"][tr], *sums]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return dealt(rows, own, ("t",)).mapInArrow(run, kind)
 
 
 def _sizes(gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,18 +167,12 @@ def _sizes(gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fields(matched: DataFrame, gt: DataFrame, tr: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys`` and ``alpha``: counts, localisation and association sums, from matches with or without an ``alpha``.
+    """Per ``keys`` and ``alpha``: counts, localisation and association sums, from matches as for :func:`run_sums`.
 
     One side empty: its counts stand, the others are 0 and the localisation is 1.
     """
-    if "alpha" not in matched.columns:
-        matched = matched.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS]))).filter(F.col("sim") >= F.col("alpha") - EPS)
     own = [*keys, "alpha"]
-    order = Window.partitionBy(*own, "gt_id").orderBy("t")
-    runs = matched.withColumn("changed", F.when(F.lag("tr_id").over(order) == F.col("tr_id"), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("changed").over(order))
-    parts = runs.groupBy(*own, "gt_id", "tr_id", "run").agg(F.count("*").alias("n"), F.sum("sim").alias("sim"))
-    pairs = parts.groupBy(*own, "gt_id", "tr_id").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("sim").alias("sim"))
+    pairs = run_sums(matched, keys).groupBy(*own, "gt_id", "tr_id").agg(*[F.sum(c).alias(c) for c in ("m", "squares", "sim")])
     g, t = id_frames(gt, keys).withColumnRenamed("id", "gt_id").withColumnRenamed("n", "gc"), id_frames(tr, keys).withColumnRenamed("id", "tr_id").withColumnRenamed("n", "tc")
     pairs = pairs.join(g, [*keys, "gt_id"]).join(t, [*keys, "tr_id"])
     either = F.col("gc") + F.col("tc") - F.col("m")

@@ -1,12 +1,14 @@
 """What makes work grow faster than the tables: rows moved twice, work repeated for equal inputs, folds over all that has been."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lensfold.functions import geometry
-from lensfold.operators import boxes, detection, mot_events, tracker
+from lensfold.operators import assignment, boxes, detection, hota, mot_events, tracker
 from lensfold.plans import tables
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,52 @@ def test_matching_is_shared(monkeypatch):
     group |= {"x": np.array([0.0, 0.0]), "y": np.array([0.0, 0.0]), "w": np.array([50.0, 50.0]), "h": np.array([50.0, 50.0])}
     _, outcomes = detection._outcomes(group, detection.IOUS, tuple(detection.AREAS))
     assert len(calls) == 2 and [o[0] for o in outcomes] == [1] * 10 + [-1] * 10 + [1] * 10 + [-1] * 10
+
+
+def test_hota_rows_are_not_multiplied(spark):
+    """A match is one row for all thresholds until it is counted, also where matchings differ between thresholds; runs go on through Arrow batches."""
+    rng = np.random.default_rng(5)
+    pairs = [("s", f, g, int(rng.integers(0, 3)), float(rng.uniform(0.01, 1))) for f in range(200) for g in range(2)]
+    pairs = list({p[:4]: p for p in pairs}.values())
+    df = spark.createDataFrame(pairs, "seq string, t long, gt_id long, tr_id long, sim double")
+    assert hota.matches_per_alpha(df, ["seq"]).count() <= len(pairs)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sums = hota.run_sums(df, ["seq"])
+        assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+        got = sums.groupBy("alpha", "gt_id", "tr_id").agg(F.sum("m"), F.sum("squares")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for alpha in hota.ALPHAS:
+        for g in range(2):
+            own = [p[3] for p in pairs if p[2] == g and p[4] >= alpha - hota.EPS]
+            for d, run in itertools.groupby(own):
+                n = len(list(run))
+                m, squares = want.get((alpha, g, d), (0, 0))
+                want[alpha, g, d] = m + n, squares + n * n
+    assert {tuple(r[:3]): tuple(r[3:]) for r in got} == want
+
+
+def test_groups_are_assigned_together(monkeypatch):
+    """Frames whose rows do not compete need no solver, and all groups get what each gets alone."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setitem(assignment._SOLVERS, "shortest_paths", lambda cost: pytest.fail("solved"))
+    starts, rows = np.arange(0, 60, 2), np.arange(60) % 2
+    assert len(assignment.best_edges(starts, rows, 1 - rows, np.ones(60))) == 60
+    monkeypatch.undo()
+    group = np.sort(rng.integers(0, 40, 300))
+    _, keep = np.unique(np.stack((group, i := rng.integers(0, 4, 300), j := rng.integers(0, 5, 300))), axis=1, return_index=True)
+    group, i, j, cost = group[keep], i[keep], j[keep], np.where(rng.uniform(size=len(keep)) < 0.1, np.nan, rng.normal(size=len(keep)))
+    order = np.argsort(group, kind="stable")
+    group, i, j, cost = (x[order] for x in (group, i, j, cost))
+    got = assignment.chosen_edges(np.flatnonzero(np.append(True, group[1:] != group[:-1])), i, j, cost)
+    want = []
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        r, c = np.unique(i[own]), np.unique(j[own])
+        matrix = np.full((len(r), len(c)), np.nan)
+        matrix[np.searchsorted(r, i[own]), np.searchsorted(c, j[own])] = cost[own]
+        want += [(int(g), int(r[a]), int(c[b])) for a, b in assignment.assign(matrix)]
+    assert sorted(zip(group[got].tolist(), i[got].tolist(), j[got].tolist(), strict=True)) == sorted(want)
