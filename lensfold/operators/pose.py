@@ -13,6 +13,15 @@ from lensfold.operators.groups import settled
 PARTS = {"Head": (12, 13, 14), "Shou": (8, 9), "Elb": (7, 10), "Wri": (6, 11), "Hip": (2, 3), "Knee": (1, 4), "Ankl": (0, 5)}
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
+    """``a`` and ``b`` joined on ``keys`` and ``same``, of which only ``keys`` decide where rows are dealt: frames that are dealt already are not moved."""
+    named = {c: f"_{c}" for c in same}
+    agree = F.lit(True)
+    for c, other in named.items():
+        agree = agree & F.when(F.col(c) == F.col(other), True).otherwise(False)
+    return a.join(b.withColumnsRenamed(named), keys).filter(agree).drop(*named.values())
+
+
 def joint_distances(gt: DataFrame, dt: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, gt_id, dt_id, joint, dist, score`` for joints that both poses have.
 
@@ -20,7 +29,7 @@ def joint_distances(gt: DataFrame, dt: DataFrame, keys: list[str]) -> DataFrame:
     """
     g = gt.filter(is_valid(F.col("x"), F.col("y"))).select(*keys, F.col("id").alias("gt_id"), "joint", F.col("x").alias("gx"), F.col("y").alias("gy"), head_size(F.col("hx1"), F.col("hy1"), F.col("hx2"), F.col("hy2")).alias("head"))
     d = dt.filter(is_valid(F.col("x"), F.col("y"))).select(*keys, F.col("id").alias("dt_id"), "joint", F.col("x").alias("dx"), F.col("y").alias("dy"), "score")
-    both = g.join(d, [*keys, "joint"])
+    both = _met(g, d, keys, ["joint"])
     return both.select(*keys, "gt_id", "dt_id", "joint", pckh_distance(F.col("gx"), F.col("gy"), F.col("dx"), F.col("dy"), F.col("head")).alias("dist"), "score")
 
 
@@ -31,7 +40,7 @@ def match_poses(distances: DataFrame, gt_sizes: DataFrame, keys: list[str], limi
     the smaller id.
     """
     hit = distances.groupBy(*keys, "gt_id", "dt_id").agg(F.count_if(F.col("dist") <= limit).alias("hits"))
-    scored = hit.join(gt_sizes, [*keys, "gt_id"]).withColumn("pck", F.col("hits") / F.col("n")).filter("pck > 0")
+    scored = _met(hit.filter("hits > 0"), gt_sizes, keys, ["gt_id"]).withColumn("pck", F.col("hits") / F.col("n")).filter("pck > 0")
     best = lambda by, other: F.row_number().over(Window.partitionBy(*keys, by).orderBy(F.desc("pck"), other))
     one = scored.withColumn("k", best("dt_id", "gt_id")).filter("k = 1")
     return one.withColumn("k", best("gt_id", "dt_id")).filter("k = 1").select(*keys, "gt_id", "dt_id")
@@ -91,7 +100,7 @@ def keypoint_ap(gt: DataFrame, dt: DataFrame, keys: list[str], limit: float = 0.
     distances = joint_distances(gt, dt, keys)
     sizes = gt.filter(is_valid(F.col("x"), F.col("y"))).groupBy(*keys, F.col("id").alias("gt_id")).agg(F.count("*").alias("n"))
     matched = match_poses(distances, sizes, keys, limit)
-    hits = distances.join(matched, [*keys, "gt_id", "dt_id"]).filter(F.col("dist") <= limit).select(*keys, F.col("dt_id").alias("id"), "joint", F.lit(True).alias("positive"))
+    hits = _met(distances.filter(F.col("dist") <= limit), matched, keys, ["gt_id", "dt_id"]).select(*keys, F.col("dt_id").alias("id"), "joint", F.lit(True).alias("positive"))
     scored = dt.filter(is_valid(F.col("x"), F.col("y"))).join(hits, [*keys, "id", "joint"], "left").fillna(False, ["positive"])
     scored = scored.select("joint", F.concat_ws("/", *keys, "id").alias("id"), "score", "positive")
     totals = gt.filter(is_valid(F.col("x"), F.col("y"))).groupBy("joint").agg(F.count("*").alias("n"))
@@ -121,8 +130,11 @@ def pose_nms(poses: DataFrame, keys: list[str], threshold: float = 0.5, least_sc
 def new_poses(candidates: DataFrame, existing: DataFrame, keys: list[str], threshold: float, least_score: float | None = None) -> DataFrame:
     """Candidates whose similarity to every existing pose of their frame is at most ``threshold``."""
     old = existing.select(*keys, F.col("joints").alias("old_joints"), F.col("area").alias("old_area"))
-    near = candidates.join(old, keys).filter(oks(F.col("old_joints"), F.col("joints"), F.col("old_area"), least_score=least_score) > threshold).select(*keys, "id").distinct()
-    return candidates.join(near, [*keys, "id"], "left_anti")
+    old = old.withColumnsRenamed({c: f"_{c}" for c in keys})
+    near = oks(F.col("old_joints"), F.col("joints"), F.col("old_area"), least_score=least_score) > threshold
+    for c in keys:
+        near = near & (F.col(c) == F.col(f"_{c}"))
+    return candidates.join(old, near, "left_anti")  # one pass over the frames; a pose is compared no further once one is near
 
 
 def least_joints(joints: Column, n: int) -> Column:

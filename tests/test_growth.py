@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lensfold.functions import geometry
 from lensfold.operators import assignment, boxes, detection, hota, mot_events, tracker
 from lensfold.plans import tables
+from lensfold.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +129,16 @@ def test_groups_are_assigned_together(monkeypatch):
         matrix[np.searchsorted(r, i[own]), np.searchsorted(c, j[own])] = cost[own]
         want += [(int(g), int(r[a]), int(c[b])) for a, b in assignment.assign(matrix)]
     assert sorted(zip(group[got].tolist(), i[got].tolist(), j[got].tolist(), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["hota_fields", "new_poses", "keypoint_similarity", "mutual_best_match"])
+def test_line_items_are_moved_once(spark, name):
+    """Uses of the boxes in a plan share the exchange of the line items, but where one keeps rows without an order and one does not; then frames stay."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "ReusedExchange" not in line]
+    assert sum("l_orderkey" in line for line in moved) == (2 if name in ("hota_fields", "new_poses") else 1)
+    assert sum("frame_id" in line for line in moved) == 0
