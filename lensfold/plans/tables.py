@@ -50,9 +50,16 @@ LOG = """log AS (
   FROM events)"""
 
 
+#: Line items of a task: what a task sorts and joins is some times its line items, so their number is bounded.
+TASK_ROWS = 1 << 18
+
+
 def ground_truth(spark: SparkSession, d: str) -> DataFrame:
     """``seq, frame_id, id, x, y, w, h, flag, discount, tax``: a box a line item, an order as frame; ids count inside it."""
     rows = table(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey") % 20)
+    # Adaptive execution makes few partitions of many rows out of those of the session, so large tables get their own number.
+    parts = -(-rows.count() // TASK_ROWS)
+    rows = rows.repartition(parts, "seq", "l_orderkey") if parts > spark.sparkContext.defaultParallelism else rows
     # Dealt by what frames are joined and grouped by later, so that neither moves the rows once more. All else is derived
     # afterwards: what is moved is then the same whichever columns are used, and moved once for all uses in a plan.
     order = Window.partitionBy("seq", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")

@@ -145,3 +145,12 @@ def test_line_items_are_moved_once(spark, name):
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "ReusedExchange" not in line]
     assert sum("l_orderkey" in line for line in moved) == (2 if name in ("hota_fields", "new_poses") else 1)
     assert sum("frame_id" in line for line in moved) == 0
+
+
+def test_line_items_of_a_task_are_bounded(spark, monkeypatch):
+    """Larger tables are dealt to more tasks, not to as many larger ones, and all uses still share one exchange."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    gt = tables.ground_truth(spark, SF)
+    parts = gt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 12 and max(r["count"] for r in parts) < 1000
+    test_line_items_are_moved_once(spark, "mutual_best_match")
