@@ -1,7 +1,7 @@
 """The event log of multi-object tracking: a fold over the frames of each sequence.
 
-Input is one row a frame: ``seq, frame_id, oids, hids, dists``, with a null distance where a pair is not allowed. The fold is
-ordered; a long sequence is cut into segments that are folded side by side, first from nothing, then again from what the
+Input is one row a frame: ``seq, frame_id, oids, hids, dists``, with a null distance where a pair is not allowed, or ``near``
+with the allowed pairs in place of ``dists``. The fold is ordered; a long sequence is cut into segments that are folded side by side, first from nothing, then again from what the
 segments before them end with, until all segments have begun with the right state.
 """
 
@@ -45,14 +45,16 @@ class Accumulator:
         self.fold(frame, oids, hids, np.array(dists, dtype=float).reshape(len(oids) * len(hids)).tolist(), ignore, events)
         return frame, [(k, *e) for k, e in enumerate(events)]
 
-    def fold(self, frame: int, oids: list, hids: list, dists: list, ignore: frozenset | set | list, events: list | None) -> None:
+    def fold(self, frame: int, oids: list, hids: list, dists: list, ignore: frozenset | set | list, events: list | None, near: list | None = None) -> None:
         """Fold one frame whose matrix of distances is a flat list, NaN where a pair is not allowed; ``events`` gets its rows unless it is None.
 
+        ``near`` are the allowed pairs (row, column, distance) in their order, in place of the matrix.
+
         Frames hold a few rows, so this is plain Python; matrices are made only where pairs compete.
         """
         self.last_frame = frame
         n, m = len(oids), len(hids)
-        near = [(k // m, k % m, d) for k, d in enumerate(dists) if -INFINITE < d < INFINITE]
+        near = [(k // m, k % m, d) for k, d in enumerate(dists) if -INFINITE < d < INFINITE] if near is None else near
         free_rows, free_columns = [True] * n, [True] * m
         if events is not None:
             rows, columns = {i for i, _, _ in near}, {j for _, j, _ in near}
@@ -111,12 +113,14 @@ def matrix(dists: list | None, n: int, m: int) -> np.ndarray:
 #: What a segment passes on: for each of its objects and hypotheses, rows of this type with the id as ``oid`` and the value as ``hid``.
 STATE = ("state matched", "state holder", "state used", "state seen")
 PASSED = "seq string, seg long, type string, oid long, hid long"
+#: Allowed pairs of a frame as a matrix with nulls, or one by one, of its own ids and in the order of its lists.
+KINDS = {"dists": "array<array<double>>", "near": "array<struct<o:long,h:long,d:double>>"}
 #: Events of this many frames leave a task as one batch.
 BATCH = 4096
 
 
 def event_log(frames: DataFrame, max_switch_time: float = float("inf"), auto_id: bool = False, segment: int = 20_000) -> DataFrame:
-    """Events of ``frames(seq, frame_id, oids, hids, dists[, ignore])``; schema ``EVENTS``. Null lists are empty; rows without seq or frame are left out.
+    """Events of ``frames(seq, frame_id, oids, hids, dists[, ignore])``, or with ``near`` for ``dists``; schema ``EVENTS``. Null lists are empty; rows without seq or frame are left out.
 
     Sequences of more than ``segment`` frames are cut into ranges of frame ids with about as many frames each. What a segment
     passes on is folded again only while the state of its own objects and hypotheses, as all segments before it leave it, is
@@ -125,8 +129,8 @@ def event_log(frames: DataFrame, max_switch_time: float = float("inf"), auto_id:
     result is that of one fold over the whole sequence.
     """
     frames = frames if "ignore" in frames.columns else frames.withColumn("ignore", F.lit(None).cast("array<long>"))
-    frames = frames.select(F.col("seq").cast("string").alias("seq"), F.col("frame_id").cast("long").alias("frame_id"), "oids", "hids", "dists", "ignore").dropna(subset=["seq", "frame_id"])
-    lists = {c: F.col(c).cast("array<long>") for c in ("oids", "hids", "ignore")} | {"dists": F.col("dists").cast("array<array<double>>")}
+    frames = frames.select(F.col("seq").cast("string").alias("seq"), F.col("frame_id").cast("long").alias("frame_id"), "oids", "hids", pairs := "near" if "near" in frames.columns else "dists", "ignore").dropna(subset=["seq", "frame_id"])
+    lists = {c: F.col(c).cast("array<long>") for c in ("oids", "hids", "ignore")} | {pairs: F.col(pairs).cast(KINDS[pairs])}
     frames = frames.withColumns(lists)
     if auto_id:
         frames = frames.withColumn("frame_id", F.row_number().over(Window.partitionBy("seq").orderBy("frame_id")).cast("long") - 1)
@@ -159,7 +163,21 @@ def _lists(column: pa.Array) -> tuple[list, list]:
     return column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
 
 
-def _frames(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list, list, list]]:
+def _near_frames(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list, list, list, list]]:
+    """As :func:`_frames` with no distances, but the allowed pairs as (row, column, distance)."""
+    of = {name: batch.column(batch.schema.get_field_index(name)) for name in ("frame_id", "oids", "hids", "near", "ignore")}
+    (o, oids), (h, hids), (g, ignore) = (_lists(of[c]) for c in ("oids", "hids", "ignore"))
+    starts = of["near"].offsets.to_pylist()
+    first, second, far = (of["near"].values.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("o", "h", "d"))
+    for k, frame in enumerate(of["frame_id"].to_pylist()):
+        own, other, near = oids[o[k] : o[k + 1]], hids[h[k] : h[k + 1]], []
+        if starts[k] < starts[k + 1]:
+            row, column = {x: i for i, x in enumerate(own)}, {x: j for j, x in enumerate(other)}
+            near = [(row[first[i]], column[second[i]], far[i]) for i in range(starts[k], starts[k + 1]) if -INFINITE < far[i] < INFINITE]
+        yield frame, own, other, [], ignore[g[k] : g[k + 1]], near
+
+
+def _frames(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list, list, list, None]]:
     """``frame_id, oids, hids, dists, ignore`` of each row, the distances as one flat list with NaN for forbidden pairs."""
     of = {name: batch.column(batch.schema.get_field_index(name)) for name in ("frame_id", "oids", "hids", "dists", "ignore")}
     (o, oids), (h, hids), (g, ignore) = (_lists(of[c]) for c in ("oids", "hids", "ignore"))
@@ -174,7 +192,7 @@ def _frames(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list, list, list
     for k, frame in enumerate(of["frame_id"].to_pylist()):
         own, other = oids[o[k] : o[k + 1]], hids[h[k] : h[k + 1]]
         dists = values[starts[rows[k]] : starts[rows[k + 1]]] if whole[k] else matrix(of["dists"][k].as_py(), len(own), len(other)).ravel().tolist()
-        yield frame, own, other, dists, ignore[g[k] : g[k + 1]]
+        yield frame, own, other, dists, ignore[g[k] : g[k + 1]], None
 
 
 def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time: float, passed: bool = False) -> DataFrame:
@@ -185,7 +203,7 @@ def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time:
     none = lambda kind: F.lit(None).cast(kind)
     rows = frames.withColumns({"type": none("string"), "oid": none("long"), "hid": none("long")})
     rows = rows if start is None else rows.unionByName(start, allowMissingColumns=True)
-    schema = PASSED if passed else EVENTS
+    schema, each = PASSED if passed else EVENTS, _near_frames if "near" in frames.columns else _frames
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def ends(acc: Accumulator, key: tuple, objects: set, hypotheses: set) -> pa.RecordBatch:
@@ -210,7 +228,7 @@ def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time:
         for batch in batches:
             names = batch.schema.get_field_index
             seqs, segs, kinds, first, second = (batch.column(names(c)).to_pylist() for c in ("seq", "seg", "type", "oid", "hid"))
-            for seq, seg, kind, a, b, (frame, oids, hids, dists, ignore) in zip(seqs, segs, kinds, first, second, _frames(batch), strict=True):
+            for seq, seg, kind, a, b, (frame, oids, hids, dists, ignore, near) in zip(seqs, segs, kinds, first, second, each(batch), strict=True):
                 if (seq, seg) != now:
                     if now is not None and passed:
                         yield ends(acc, now, objects, hypotheses)
@@ -219,12 +237,12 @@ def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time:
                     state = (acc.matched, acc.holder, acc.ever_used, acc.last_seen)[STATE.index(kind)]
                     state.add(a) if isinstance(state, set) else state.update({a: b})
                 elif passed:
-                    acc.fold(frame, oids, hids, dists, ignore, None)
+                    acc.fold(frame, oids, hids, dists, ignore, None, near)
                     objects.update(oids)
                     hypotheses.update(hids)
                 else:
                     events: list[tuple] = []
-                    acc.fold(frame, oids, hids, dists, ignore, events)
+                    acc.fold(frame, oids, hids, dists, ignore, events, near)
                     keys.append((seq, frame))
                     found.append(events)
                     if len(found) == BATCH:
@@ -239,23 +257,27 @@ def _fold_segments(frames: DataFrame, start: DataFrame | None, max_switch_time:
     return rows.repartition(F.xxhash64("seq", "seg")).sortWithinPartitions("seq", "seg", "frame_id").mapInArrow(run, schema)
 
 
-def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
+def frames_from_boxes(gt: DataFrame, dt: DataFrame, pairs: DataFrame, every: DataFrame | None = None, ignored: DataFrame | None = None, matrix: bool = True) -> DataFrame:
     """One row a frame from ``gt(seq, frame_id, id)``, ``dt(seq, frame_id, id)`` and allowed ``pairs(seq, frame_id, g_id, d_id, d)``.
 
     Frames of either side appear, and those of ``every(seq, frame_id)`` if it is given. ``ignored(seq, frame_id, id)`` are
-    detections that are no false positives if nothing comes near them.
+    detections that are no false positives if nothing comes near them. Without ``matrix`` the pairs stay ``near`` and are not
+    spread over matrices.
     """
     keys = ["seq", "frame_id"]
     o = gt.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("oids"))
     h = dt.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("hids"))
-    p = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("g_id", "d_id"), "d"))).alias("near"))
+    if matrix:
+        p = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("g_id", "d_id"), "d"))).alias("near"))
+    else:
+        p = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("g_id").alias("o"), F.col("d_id").alias("h"), "d"))).alias("near"))
     rows = o.join(h, keys, "full_outer")
     rows = rows if every is None else every.select(*keys).distinct().join(rows, keys, "left")
     rows = rows.join(p, keys, "left")
     empty = F.array().cast("array<long>")
     rows = rows.withColumn("oids", F.coalesce("oids", empty)).withColumn("hids", F.coalesce("hids", empty))
     row = lambda i: F.transform("hids", lambda j: F.try_element_at("near", F.struct(i.alias("g_id"), j.alias("d_id"))))
-    out = rows.select(*keys, "oids", "hids", F.transform("oids", row).alias("dists"))
+    out = rows.select(*keys, "oids", "hids", F.transform("oids", row).alias("dists") if matrix else "near")
     return out if ignored is None else out.join(ignored.groupBy(*keys).agg(F.collect_list("id").alias("ignore")), keys, "left")
 
 

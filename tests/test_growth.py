@@ -154,3 +154,14 @@ def test_line_items_of_a_task_are_bounded(spark, monkeypatch):
     parts = gt.groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) >= 12 and max(r["count"] for r in parts) < 1000
     test_line_items_are_moved_once(spark, "mutual_best_match")
+
+
+def test_pairs_of_frames_are_not_spread(spark):
+    """The event log of boxes takes the allowed pairs as they are; matrices, which it was made of before, give the same events."""
+    gt = tables.ground_truth(spark, SF).filter("frame_id < 300")
+    dt = tables.detections(gt)
+    pairs = boxes.iou_join(gt, dt, 0.5).select("seq", "frame_id", "g_id", "d_id", "d")
+    whole, near = (mot_events.frames_from_boxes(gt, dt, pairs, matrix=m) for m in (True, False))
+    assert "map_from_entries" not in near._jdf.queryExecution().optimizedPlan().toString()
+    want, got = (sorted(map(str, mot_events.event_log(frames, segment=5).collect())) for frames in (whole, near))
+    assert got == want and len(got) > 300
