@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Per-joint falloff of object keypoint similarity for 17 joints.
 SIGMAS_17 = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
@@ -18,6 +23,25 @@ def oks(a: Column, b: Column, area: Column, sigmas: tuple[float, ...] = SIGMAS_1
     return F.when(F.size(used) > 0, F.aggregate(used, F.lit(0.0), lambda s, x: s + x) / F.size(used)).otherwise(F.lit(0.0))
 
 
+def oks_of_derived(a: list[Column], b: list[Column], area: Column, joints: Callable[..., tuple[np.ndarray, np.ndarray]], sigmas: tuple[float, ...] = SIGMAS_17) -> Column:
+    """As :func:`oks`, of poses that ``joints`` derives from the numbers ``a`` and ``b`` inside tasks; null if one of these is null.
+
+    ``joints`` takes an array a column and gives x and y, a row a pose and a column a joint. Whole Arrow batches are compared at
+    a time, and what is moved to Python are the numbers, not the joints of each pair.
+    """
+    scale, n = 2 * (2 * np.array(sigmas)) ** 2, len(a)
+
+    @F.arrow_udf(DoubleType())
+    def similarity(*numbers: pa.Array) -> pa.Array:
+        known = np.logical_and.reduce([x.is_valid().to_numpy(zero_copy_only=False) for x in numbers])
+        *numbers, area = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in numbers)
+        (ax, ay), (bx, by) = joints(*numbers[:n]), joints(*numbers[n:])
+        near = np.exp(-((ax - bx) ** 2 + (ay - by) ** 2) / (scale * (area[:, None] + 2.220446049250313e-16)))
+        return pa.array(near.sum(axis=1) / len(sigmas), mask=~known)
+
+    return similarity(*a, *b, area)
+
+
 def head_size(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """0.6 of the head box's diagonal."""
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * 0.6

@@ -165,3 +165,16 @@ def test_pairs_of_frames_are_not_spread(spark):
     assert "map_from_entries" not in near._jdf.queryExecution().optimizedPlan().toString()
     want, got = (sorted(map(str, mot_events.event_log(frames, segment=5).collect())) for frames in (whole, near))
     assert got == want and len(got) > 300
+
+
+def test_similarity_by_batches(spark):
+    """Derived joints give what arrays of joints give, null for a null number, and no function over arrays runs for each pair."""
+    from lensfold.functions import keypoints
+
+    rows = spark.createDataFrame([(0.0, 1.0, 3.5, 2.0), (5.0, 2.0, 5.0, 40.0), (None, 0.0, 1.0, 9.0)], "x double, y double, u double, area double")
+    row_of = lambda x, y: (x[:, None] + np.arange(17), y[:, None] + np.zeros(17))
+    joints = lambda x, y: F.array(*[F.struct((x + k).alias("x"), y.alias("y"), F.lit(1.0).alias("score")) for k in range(17)])
+    x, y, u, area = (F.col(c) for c in rows.columns)
+    got = rows.select(keypoints.oks_of_derived([x, y], [u, y], area, row_of), keypoints.oks(joints(x, y), joints(u, y), area)).collect()
+    assert [r[0] for r in got[:2]] == pytest.approx([r[1] for r in got[:2]]) and got[2][0] is None and got[1][0] == 1
+    assert "zip_with" not in QUERIES["keypoint_similarity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
